@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripleweave.llm import fingerprints, ngramjoin, pieces, tokencounts
+from tripleweave.llm import fingerprints, ngramjoin, pieces, tokencounts, vectors
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(_table(spark, sf_dir, "documents"), tokencounts.tokenizer_path(WORD_BPE))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_join(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -35,6 +39,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_near_vectors": op2_near_vectors,
         "op4_ngram_join": op4_ngram_join,
         "op8_piece_dropout": op8_piece_dropout,
         "op10_fingerprints": op10_fingerprints,
@@ -42,4 +47,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_near_vectors": vectors.ORACLE_SQL,
+    }
