@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tripleweave.llm import fingerprints, ngramjoin, pieces, tokencounts, vectors
+from tripleweave.llm import fingerprints, linededup, ngramjoin, pieces, tokencounts, toxicity, vectors
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -23,6 +24,11 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.deduplicated(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_join(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -32,6 +38,12 @@ def op8_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encoded(docs, tokencounts.tokenizer_path(PIECE_BPE), dropout=0.1, seed=1))
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, _table(spark, sf_dir, "labels"), toxicity.label_chain())
+    return toxicity.scored(docs, chain).drop("text").withColumnRenamed("flagged", "toxic")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(_table(spark, sf_dir, "documents"))
 
@@ -40,8 +52,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_near_vectors": op2_near_vectors,
+        "op3_line_dedup": op3_line_dedup,
         "op4_ngram_join": op4_ngram_join,
         "op8_piece_dropout": op8_piece_dropout,
+        "op9_toxicity_chain": op9_toxicity_chain,
         "op10_fingerprints": op10_fingerprints,
     }
 
