@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.llm import fingerprints, linededup, ngramjoin, pieces, tokencounts, toxicity, vectors
+from tripleweave.llm import fingerprints, linededup, ngramjoin, pieces, pii, tokencounts, toxicity, vectors
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -33,6 +33,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_join(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op8_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digests(pieces.encoded(docs, tokencounts.tokenizer_path(PIECE_BPE), dropout=0.1, seed=1))
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_vectors": op2_near_vectors,
         "op3_line_dedup": op3_line_dedup,
         "op4_ngram_join": op4_ngram_join,
+        "op7_personal_data": op7_personal_data,
         "op8_piece_dropout": op8_piece_dropout,
         "op9_toxicity_chain": op9_toxicity_chain,
         "op10_fingerprints": op10_fingerprints,
