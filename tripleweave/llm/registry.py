@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.llm import fingerprints, linededup, ngramjoin, pieces, pii, tokencounts, toxicity, vectors
+from tripleweave.llm import fingerprints, licences, linededup, mixing, ngramjoin, pieces, pii, tokencounts, toxicity, vectors
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -33,6 +33,17 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_join(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), mixing.quality_domain(), mixing.TARGETS)
+    shares = [F.col("posteriors")[d].alias(f"p_{d}") for d in mixing.TARGETS]
+    return out.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licences.scanned(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.personal_data(_table(spark, sf_dir, "documents")))
 
@@ -52,16 +63,25 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_near_vectors": op2_near_vectors,
         "op3_line_dedup": op3_line_dedup,
         "op4_ngram_join": op4_ngram_join,
+        "op5_mixing": op5_mixing,
+        "op6_licences": op6_licences,
         "op7_personal_data": op7_personal_data,
         "op8_piece_dropout": op8_piece_dropout,
         "op9_toxicity_chain": op9_toxicity_chain,
         "op10_fingerprints": op10_fingerprints,
+        "pipeline": pipeline,
     }
 
 
