@@ -1 +1,77 @@
-"""Queries of sources and sinks."""
+"""Queries of sources and sinks: text formats and JSON-LD."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tripleweave.catalogue import NATION, REGION, _store, lines, query
+from tripleweave.functions.terms import serialized
+from tripleweave.operators.store import TripleStore
+from tripleweave.sources import jsonld as J
+from tripleweave.sources import rdf_text as R
+from tripleweave.sources.tables import BASE
+
+EVENT_CONTEXT = {"@vocab": BASE, "ev": BASE + "events/", "user": {"@id": BASE + "user_id", "@type": "@id"}}
+
+
+@query("ntriples_write", f"select s || ' <' || p || '> ' || o || ' .' as value from ({NATION} union all {REGION})")
+def _write(spark, sf_dir):
+    return R.ntriples_lines(_store(spark, sf_dir, "nation", "region").df)
+
+
+@query("ntriples_roundtrip", f"select * from ({NATION} union all {REGION})")
+def _roundtrip(spark, sf_dir):
+    return lines(R.parse_ntriples(R.ntriples_lines(_store(spark, sf_dir, "nation", "region").df)))
+
+
+@query(
+    "turtle_write",
+    "select '<{B}nation/' || n_nationkey || '>' as s, '<{B}nation/' || n_nationkey || '> <{B}n_name> \"' || n_name || '\" ;' || chr(10) || '    <{B}n_regionkey> <{B}region/' || n_regionkey || '> ;' || chr(10) || '    <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <{B}Nation> .' as value from nation",
+)
+def _turtle(spark, sf_dir):
+    return R.turtle_blocks(_store(spark, sf_dir, "nation").df)
+
+
+@query("turtle_roundtrip", f"select * from ({REGION})")
+def _turtle_roundtrip(spark, sf_dir):
+    text = R.to_turtle(_store(spark, sf_dir, "region"))
+    return lines(R.parse_string(TripleStore(spark), text).df)
+
+
+def _documents(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ident = F.concat(F.lit("ev:"), F.col("event_id").cast("string"))
+    user = F.concat(F.lit(BASE + "customer/"), F.col("user_id").cast("string"))
+    body = F.struct(ident.alias("@id"), F.lit("Events").alias("@type"), user.alias("user"), F.col("event_type"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return events.select(F.to_json(body).alias("value"))
+
+
+@query(
+    "jsonld_to_triples",
+    "select '<{B}events/' || event_id || '>' as s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' as p, '<{B}Events>' as o from events union all select '<{B}events/' || event_id || '>', '{B}user_id', '<{B}customer/' || user_id || '>' from events union all select '<{B}events/' || event_id || '>', '{B}event_type', '\"' || event_type || '\"' from events union all select '<{B}events/' || event_id || '>', '{B}k', '\"' || (props->>'$.k') || '\"^^<http://www.w3.org/2001/XMLSchema#integer>' from events where props->>'$.k' is not null",
+)
+def _jsonld(spark, sf_dir):
+    return lines(J.documents_to_triples(_documents(spark, sf_dir), context=J.parse_context_object(EVENT_CONTEXT)))
+
+
+@query("jsonld_typed", "select 'ev:' || event_id as id, event_type, cast(props->>'$.k' as integer) as k from events")
+def _typed(spark, sf_dir):
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("event_type", T.StringType()), T.StructField("k", T.IntegerType())])
+    docs = _documents(spark, sf_dir).select(F.replace("value", F.lit('"event_type"'), F.lit('"eventType"')).alias("value"))
+    return J.typed_records(docs, schema, J.Context(vocab=BASE))
+
+
+@query(
+    "jsonld_from_triples",
+    "select '<{B}nation/' || n_nationkey || '>' as s, '{\"@id\":\"{B}nation/' || n_nationkey || '\",\"@type\":[\"{B}Nation\"],\"{B}n_name\":[{\"@value\":\"' || n_name || '\"}],\"{B}n_regionkey\":[{\"@id\":\"{B}region/' || n_regionkey || '\"}]}' as json from nation",
+)
+def _from_triples(spark, sf_dir):
+    return J.triples_to_nodes(_store(spark, sf_dir, "nation").df).select(serialized(F.col("s")).alias("s"), "json")
+
+
+@query("jsonld_context", "select '{B}event_type' as expanded, 'event_type' as compacted, 'ev:7' as prefixed, '{B}events/7' as full_iri")
+def _context(spark, sf_dir):
+    c = J.parse_context_object(EVENT_CONTEXT)
+    row = (J.expand_iri("event_type", c), J.compact_iri(BASE + "event_type", c), J.compact_iri(BASE + "events/7", c), J.expand_iri("ev:7", c))
+    return spark.createDataFrame([row], "expanded string, compacted string, prefixed string, full_iri string")
