@@ -24,7 +24,7 @@ LEXER = re.compile(
     |(?P<string>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
     |(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)
     |(?P<number>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)
-    |(?P<curie>(?:[A-Za-z_][\w-]*)?:(?:[\w%-](?:[\w.%:/-]*[\w%/-])?)?)
+    |(?P<curie>(?:[A-Za-z_][\w-]*)?:(?:[\w%-](?:[\w.%:-]*[\w%-])?)?)
     |(?P<word>[A-Za-z_]\w*)
     |(?P<symbol>\^\^|&&|\|\||!=|<=|>=|[{}().;,=<>!*+/\[\]-])""",
     re.X | re.S,

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripleweave.functions.terms import IRI, TRIPLE_SCHEMA, BlankNode, Literal, RDFNode, Triple, serialized, triple_rows
 from tripleweave.functions.vocab import RDF, XSD
@@ -70,7 +71,7 @@ def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(subject.alias("s"), part(3).alias("p"), target.alias("o"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(values: pd.Series) -> pd.Series:
     """Texts with numeric escapes; rare, so they alone leave the engine."""
 
