@@ -4,19 +4,22 @@ Each document is the set of its distinct word shingles, hashed to 64 bits. The g
 shingles puts rare ones first and the commonest last, so that a document's prefix (the part in which
 any partner must share a shingle) avoids passages that many documents hold.
 
-1. One pass gives every document's set size and set digest, and counts common shingles.
-2. A second pass emits prefixes, packed into one block for each target partition. Documents of a task
-   that share a shingle and have fitting sizes become one run first, so a shingle that a third of all
-   documents hold crosses the shuffle once a task. A run carries its range of sizes; runs whose ranges
-   fit are chained, never paired off.
-3. Chains join into candidate groups. Within a group the sets, copies left out, go into a radix tree in
-   the global order, commonest first, so that near copies share long paths. Every set walks the tree
-   with its overlap so far, leaves subtrees whose remaining length cannot bring the overlap that is
-   needed, and skips subtrees that are already in its component.
-   A group too large for a task is cut into chunks and every pair of chunks is a task of its own.
-4. The links found join into components.
-
-The counts of step 1 only order shingles: any order gives the same links, so the bounded list of common
+1. One pass gives every document's set size and set digest; equal sets are one from here on.
+2. A document can only link if ``percent`` hundredths of its shingles also occur in others. Shingles go, as
+   packed blocks, to the partition of their hash, and the number of repeated ones comes back for each
+   document. Documents below the bound link with nothing; the step is run again on those that remain,
+   until few more go. Their sets are kept as a table.
+3. Prefixes of the remaining documents are chained: documents of a task that share a shingle and have
+   fitting sizes become one run first, so a shingle that a third of all documents hold crosses the
+   shuffle once a task. A run carries its range of sizes; runs whose ranges fit are chained, never
+   paired off. Chains join into candidate groups.
+4. Within a group the sets go into a radix tree in the global order, commonest first, so that near copies
+   share long paths. Every set walks the tree with its overlap so far, leaves subtrees whose remaining
+   length cannot bring the overlap that is needed, and skips subtrees already in its component. A group
+   too large for a task is cut into chunks, and every pair of chunks is a task of its own.
+5. The links found join into components.
+
+Counts of common shingles only order them: any order gives the same links, so the bounded list of common
 shingles loses nothing.
 
 Defined results: a null or blank text has no shingles and links with nothing; a text of fewer words
@@ -41,9 +44,11 @@ from tripleweave.llm.shared import components, small_side, written
 #: Shingles that a task holds at a time.
 CHUNK = 2_000_000
 #: A shingle is common if a chunk has it in so many documents; so many common shingles are ranked.
-COMMON_LOCAL, COMMON_RANKED = 4, 1 << 17
-#: Shingles of a candidate group that one task takes, and bytes of prefixes to a partition.
-GROUP_SHINGLES, PREFIX_BYTES = 1 << 21, 12_000_000
+COMMON_LOCAL, COMMON_RANKED = 3, 1 << 17
+#: Shingles of a candidate group that one task takes, and shingles to a partition of a shuffle.
+GROUP_SHINGLES, PART_SHINGLES = 1 << 21, 2_500_000
+#: Documents of a chunk, counted in 16 bits.
+CHUNK_DOCS = 60_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -82,17 +87,18 @@ def needed(a: int, b: int, percent: int) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and shingle sets of about ``CHUNK`` shingles at a time."""
+    """Ids and shingle sets, from texts or stored sets, of about ``CHUNK`` shingles at a time."""
     ids, sets, total = [], [], 0
     for batch in batches:
+        stored = "items" in batch.schema.names
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                s = shingles(text, k)
+            for doc_id, value in zip(part["doc_id"].to_pylist(), part["items" if stored else "text"].to_pylist(), strict=True):
+                s = np.frombuffer(value, np.uint64) if stored else shingles(value, k)
                 ids.append(doc_id)
                 sets.append(s)
                 total += len(s)
-                if total >= CHUNK:
+                if total >= CHUNK or len(ids) >= CHUNK_DOCS:
                     yield ids, sets
                     ids, sets, total = [], [], 0
     if ids:
@@ -160,6 +166,73 @@ def _opened(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def parts_for(shingle_count: int) -> int:
+    return max(1, -(-int(shingle_count) // PART_SHINGLES))
+
+
+def _part_of(token: np.ndarray, parts: int) -> np.ndarray:
+    return (token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def repeated(source: DataFrame, k: int, parts: int) -> DataFrame:
+    """``(doc_id, repeated)``: shingles of a document that other documents of ``source`` have too.
+
+    Within a partition shingles are told apart by 32 bits; a chance meeting only keeps a document longer.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _sets(batches, k):
+            full = [(i, s) for i, s in zip(ids, sets, strict=True) if len(s) and i is not None]
+            if not full:
+                continue
+            token = np.concatenate([s for _, s in full])
+            doc = np.repeat(np.arange(len(full), dtype=np.uint16), [len(s) for _, s in full])
+            order = np.argsort(token)
+            token, doc = token[order], doc[order]
+            cuts = np.searchsorted(_part_of(token, parts), np.arange(parts + 1))
+            short = (token * np.uint64(parts) & np.uint64(0xFFFFFFFFFFFFFFFF)).astype(np.uint64) >> np.uint64(32)
+            names = _packed(np.array([i for i, _ in full], np.int64))
+            rows = [(p, names, _packed(short[x:y].astype(np.uint32), doc[x:y])) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            for row in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "names", "block"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, tokens, docs, sizes = [], [], [], []
+        for batch in batches:
+            for name, block in zip(batch["names"].to_pylist(), batch["block"].to_pylist(), strict=True):
+                token, doc = _opened(block, np.uint32, np.uint16)
+                names.append(name)
+                tokens.append(token)
+                docs.append(doc)
+                sizes.append(len(_opened(name, np.int64)[0]))
+        if not names:
+            return
+        token = np.concatenate(tokens)
+        order = np.argsort(token, kind="stable")
+        same = token[order][1:] == token[order][:-1]
+        often = np.zeros(len(token), bool)
+        often[order[1:][same]] = True
+        often[order[:-1][same]] = True
+        start = 0
+        for name, doc, size in zip(names, docs, sizes, strict=True):
+            held = np.bincount(doc[often[start : start + len(doc)]], minlength=size).astype(np.uint32)
+            start += len(doc)
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(name) >> 1], pa.int64()), pa.array([name], pa.binary()), pa.array([_packed(held)], pa.binary())], names=["chunk", "names", "held"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            for name, held in zip(batch["names"].to_pylist(), batch["held"].to_pylist(), strict=True):
+                add = _opened(held, np.uint32)[0].astype(np.int64)
+                sums[name] = sums[name] + add if name in sums else add
+        for name, held in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(_opened(name, np.int64)[0]), pa.array(held)], names=["doc_id", "repeated"])
+
+    blocks = source.mapInArrow(emit, "part int, names binary, block binary")
+    counts = blocks.repartitionById(parts, F.col("part")).mapInArrow(count, "chunk long, names binary, held binary")
+    return counts.repartition("chunk").mapInArrow(total, "doc_id long, repeated long").groupBy("doc_id").agg(F.max("repeated").alias("repeated"))
+
+
 POSTING = (np.uint64, np.int64, np.uint32, np.uint32)
 
 
@@ -186,8 +259,7 @@ def candidates(source: DataFrame, k: int, percent: int, common: np.ndarray, part
             size = np.repeat(np.array([len(s) for _, s in full], np.int64), counts)
             (a, b), runs = chained(np.concatenate(heads), np.repeat(np.array([i for i, _ in full], np.int64), counts), size, size, percent)
             a, b = spanning(a, b)
-            bucket = (runs[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-            cuts = np.searchsorted(bucket, np.arange(parts + 1))
+            cuts = np.searchsorted(_part_of(runs[0], parts), np.arange(parts + 1))
             rows = [(p, 0, _packed(*(r[x:y].astype(t) for r, t in zip(runs, POSTING, strict=True)))) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
             if len(a):
                 rows.append((int(a[0]) % parts, 1, _packed(a, b)))
@@ -299,51 +371,40 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
     return links
 
 
-def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for each row; linked: Jaccard of at least ``percent`` hundredths."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def common_shingles(sets: DataFrame, k: int) -> np.ndarray:
+    """Common shingles, sorted, each with its rank from the rarest up; ``COMMON_RANKED`` at most."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, k):
-            marks = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            token, count = np.unique(np.concatenate(sets), return_counts=True)
+        for _, held in _sets(batches, k):
+            token, count = np.unique(np.concatenate(held), return_counts=True)
             often = count >= COMMON_LOCAL
-            token, count = token[often].view(np.int64), count[often]
-            n, m = len(ids), len(token)
-            columns = [pa.array(ids + [None] * m, pa.int64()), pa.array([len(s) for s in sets] + [None] * m, pa.int64()), pa.array(marks + [None] * m, pa.binary())]
-            columns += [pa.array([None] * n + token.tolist(), pa.int64()), pa.array([None] * n + count.tolist(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "mark", "token", "n"])
-
-    seen = written(source.mapInArrow(survey, "doc_id long, n_shingles long, mark binary, token long, n long"), "sets")
-    own = seen.where("token is null").select("doc_id", "n_shingles", "mark")
-    top = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON_RANKED).toPandas()
+            yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often])], names=["token", "n"])
+
+    top = sets.mapInArrow(survey, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON_RANKED).toPandas()
     common = np.stack([top["token"].to_numpy(np.int64).view(np.uint64), np.arange(len(top), 0, -1).astype(np.uint64)], 1)
-    common = common[np.argsort(common[:, 0])]
+    return common[np.argsort(common[:, 0])]
 
-    shingled = own.where("n_shingles > 0 and doc_id is not null")
-    total = shingled.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(1, -(-int(total * (100 - percent) / 100 * 16 + 24 * 1000) // PREFIX_BYTES))
-    groups = components(candidates(source, k, percent, common, parts), "candidates")
 
-    # equal sets are one; the document with the smallest id stands for them
-    alike = shingled.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("mark", "rep")
-    alike = written(alike, "alike")
-    alike_side = small_side(alike, 48)
-    placed = shingled.join(alike_side, "mark", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    apart = placed.where("doc_id = rep").select("doc_id", "n_shingles").distinct().join(groups.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "grp"), "doc_id")
-    sizes = apart.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("held")).where("members > 1")
-    sizes = sizes.select("grp", F.ceil(F.col("held") / GROUP_SHINGLES).cast("int").alias("chunks"))
-    todo = written(apart.join(sizes, "grp").select("doc_id", "grp", "chunks"), "todo")
-    chosen = source.join(small_side(todo, 40), "doc_id")
+def stored_sets(chosen: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, n_shingles, items)`` of ``chosen(doc_id, text, n_shingles)``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 blobs = [shingles(t, k).tobytes() for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["grp"], part["chunks"], part["doc_id"], pa.array(blobs, pa.binary())], names=["grp", "chunks", "doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["n_shingles"], pa.array(blobs, pa.binary())], names=["doc_id", "n_shingles", "items"])
+
+    return chosen.select("doc_id", "text", "n_shingles").mapInArrow(pack, "doc_id long, n_shingles long, items binary")
+
 
-    packed = chosen.select("doc_id", "text", "grp", "chunks").mapInArrow(pack, "grp long, chunks int, doc_id long, items binary")
+def links_in_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Links ``(src, dst)`` found by walking the tree of every candidate group."""
+    apart = sets.select("doc_id", "n_shingles").join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
+    sizes = apart.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("held")).where("members > 1")
+    sizes = sizes.select("grp", F.ceil(F.col("held") / GROUP_SHINGLES).cast("int").alias("chunks"))
+    todo = written(apart.join(sizes, "grp").select("doc_id", "grp", "chunks"), "todo")
+    packed = sets.join(small_side(todo, 40), "doc_id")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(mine, c).alias("a"), F.greatest(mine, c).alias("b")))
     pairs = F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.filter(others, lambda p: p["a"] != p["b"]))
@@ -367,8 +428,46 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         if out := close():
             yield pa.RecordBatch.from_pylist([{"src": s, "dst": d} for s, d in out])
 
-    links = tasks.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b", "doc_id").mapInArrow(walk, "src long, dst long")
-    joined = written(components(links, "links"), "joined")
+    return tasks.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b", "doc_id").mapInArrow(walk, "src long, dst long")
+
+
+def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for each row; linked: Jaccard of at least ``percent`` hundredths."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _sets(batches, k):
+            columns = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "mark"])
+
+    own = written(source.mapInArrow(survey, "doc_id long, n_shingles long, mark binary"), "sizes")
+    shingled = own.where("n_shingles > 0 and doc_id is not null")
+
+    # equal sets are one; the document with the smallest id stands for them
+    alike = shingled.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep <> other").select("mark", "rep")
+    alike = small_side(written(alike, "alike"), 48)
+    placed = own.join(alike, "mark", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    placed = written(placed, "placed")
+    copies = placed.where("doc_id <> rep").select("doc_id").distinct()
+    alone = source.where("doc_id is not null").join(small_side(copies, 24), "doc_id", "left_anti")
+
+    sizes = placed.where("n_shingles > 0 and doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    sizes = written(sizes, "alone")
+    total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
+    enough = F.col("repeated") >= F.ceil(F.col("n_shingles") * percent / 100)
+    remain = written(repeated(alone, k, parts_for(total)).join(sizes, "doc_id").where(enough).select("doc_id", "n_shingles"), "remain")
+    sets = written(stored_sets(alone.join(small_side(remain, 24), "doc_id"), k), "stored")
+    before = None
+    while True:
+        held = sets.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("n")).first()
+        if before is not None and held["rows"] > 0.95 * before or not held["rows"]:
+            break
+        before = held["rows"]
+        again = repeated(sets, k, parts_for(held["n"])).join(sizes, "doc_id").where(enough).select("doc_id")
+        keep = small_side(written(again, "remain"), 16)
+        sets = written(sets.join(keep, "doc_id", "left_semi"), "stored")
+
+    groups = components(candidates(sets, k, percent, common_shingles(sets, k), parts_for((held["n"] or 0) // 2)), "candidates")
+    joined = written(components(links_in_groups(sets, groups, percent), "links"), "joined")
     moved = small_side(joined.where("node <> component").withColumnRenamed("node", "rep"), 24)
-    named = own.join(alike_side, "mark", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
-    return named.join(moved, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+    return placed.join(moved, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
