@@ -103,17 +103,20 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the kept lines as text, and ``n_lines``, ``n_exact`` and ``n_near`` (lines lost)."""
+    """``docs`` with the kept lines as text, and ``n_lines``, ``n_exact`` and ``n_near`` (lines lost).
+
+    Columns of ``docs`` by these three names are replaced.
+    """
     added = ("n_lines", "n_exact", "n_near")
     docs = docs.drop(*added)
-    drops = written(dropped_lines(docs, id_col, text_col), "dropped")
+    drops = written(dropped_lines(docs, id_col, text_col), "dropped").toDF("__dk", "__rk", "__exact", "__near")
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [F.col(c) for c in docs.columns if c != text_col]
-    source = docs.select(*kept, F.split(text, "\n", -1).alias("__lines"), _place(id_col).alias("dk"), F.xxhash64(text).alias("rk"))
+    source = docs.select(*kept, F.split(text, "\n", -1).alias("__lines"), _place(id_col).alias("__dk"), F.xxhash64(text).alias("__rk"))
     small = drops.count() * 400 <= BROADCAST_BYTES
-    joined = source.join(drops.hint("broadcast" if small else "shuffle_hash"), ["dk", "rk"], "left")
+    joined = source.join(drops.hint("broadcast" if small else "shuffle_hash"), ["__dk", "__rk"], "left")
     none = F.array().cast("array<int>")
-    exact, near = F.coalesce("exact", none), F.coalesce("near", none)
+    exact, near = F.coalesce("__exact", none), F.coalesce("__near", none)
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.concat(exact, near))
     joined = joined.withColumns({"__left": left, "n_lines": F.size("__lines").cast("long"), "n_exact": F.size(exact).cast("long"), "n_near": F.size(near).cast("long")})
     joined = joined.withColumn(text_col, F.expr("array_join(transform(__left, i -> __lines[i]), '\n')"))
