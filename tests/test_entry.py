@@ -62,7 +62,7 @@ def test_streams(spark, tmp_path):
     table = next(t for t in sample_graph(spark, SF).tables if t.name == "events")
     (tmp_path / "in").mkdir()
     table.df.write.parquet(str(tmp_path / "in/a"))
-    table = replace(table, df=spark.readStream.schema(table.df.schema).parquet(str(tmp_path / "in/*")))
+    table = replace(table, source=spark.readStream.schema(table.df.schema).parquet(str(tmp_path / "in/*")))
     shape = S.NodeShape(IRI(BASE + "S"), (S.TargetClass(IRI(BASE + "Events")),), (), (S.PropertyShape(IRI(BASE + "value"), (S.MaxExclusive(50), S.MinCount(1))),))
     query = stream_violations(table, [shape]).writeStream.format("memory").queryName("bad").option("checkpointLocation", str(tmp_path / "c")).start()
     query.processAllAvailable()

@@ -94,6 +94,18 @@ def test_jsonld_to_triples(spark, document, n):
     assert bulk.count() == n
 
 
+def test_flat_documents_give_the_same_triples(spark):
+    c = J.parse_context_object({"@vocab": SCHEMA, "ex": EX, "friend": {"@id": "ex:friend", "@type": "@id"}})
+    docs = [{"@id": "ex:a", "@type": ["Person", "ex:B"], "name": ["x", 'q"\n', None], "age": 3, "ok": True, "friend": ["ex:b", "_:c"], "@index": "i"}, {"name": "no id"}, {"@id": "_:z", "n": -5, "f": 1.5}, {"a": {"b": "c"}}, {"@id": "rel", "s": "a { brace", "big": 12345678901}]
+    texts = [json.dumps(d) for d in docs]
+    want = {t for d in texts for t in J.document_triples(d, c)}
+    got = J.documents_to_triples(spark.createDataFrame([(t,) for t in [*texts, None]], "value string"), context=c)
+    assert set(TripleStore(spark, got)) == want
+    bare = J.Context(prefixes={"ex": EX})
+    flat = json.dumps({"@id": "ex:a", "ex:p": "v", "dropped": 1})
+    assert set(TripleStore(spark, J.documents_to_triples(spark.createDataFrame([(flat,)], "value string"), context=bare))) == set(J.document_triples(flat, bare))
+
+
 def test_contexts():
     c = J.parse_context_object({"@vocab": SCHEMA, "ex": EX, "mail": {"@id": "ex:mail", "@type": "@id"}})
     assert [J.expand_iri(t, c) for t in ("name", "ex:a", "mail", "http://x/", "_:b", "@type")] == [SCHEMA + "name", EX + "a", EX + "mail", "http://x/", "_:b", "@type"]

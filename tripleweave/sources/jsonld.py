@@ -17,11 +17,11 @@ from dataclasses import dataclass, field
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripleweave.functions.terms import IRI, TRIPLE_SCHEMA, BlankNode, Literal, RDFNode, Triple, triple_rows
+from tripleweave.functions.terms import IRI, TRIPLE_SCHEMA, BlankNode, Literal, RDFNode, Triple, bnode_term, iri_term, triple_rows
 from tripleweave.functions.vocab import RDF, XSD
 from tripleweave.operators.store import TripleStore
 
@@ -237,7 +237,57 @@ def jsonld_to_triples(store: TripleStore, document, base: str | None = None) ->
 
 
 def documents_to_triples(docs: DataFrame, column: str = "value", context: Context | None = None) -> DataFrame:
-    """Triples of a column of JSON-LD documents."""
+    """Triples of a column of JSON-LD documents.
+
+    Under a given context, documents without inner objects and fractions stay in the engine.
+    """
+    if context is None or context.base:
+        return _nested_triples(docs, column, context)
+    flat = F.col(column).rlike(r"^\s*\{[^{]*$") & ~F.col(column).rlike(r"[:\[,]\s*-?[0-9]+[.eE]")
+    nested = docs.where(F.col(column).isNotNull() & ~flat)
+    return _flat_triples(docs.where(flat), column, context).union(_nested_triples(nested, column, context))
+
+
+def _expanded(name: Column, context: Context) -> Column:
+    """``expand_iri`` as an expression."""
+    found = F.when(name.rlike("^(?:https?://|urn:|_:|@)"), name)
+    for prefix, ns in context.prefixes.items():
+        found = found.when(name.startswith(prefix + ":"), F.concat(F.lit(ns), F.substring(name, F.lit(len(prefix) + 2), F.length(name))))
+    for term in context.terms:
+        found = found.when(name == term, expand_iri(term, context))
+    return found.otherwise(F.concat(F.lit(context.vocab), name) if context.vocab else name)
+
+
+def _named(value: Column) -> Column:
+    return F.when(value.startswith("_:"), bnode_term(F.substring(value, F.lit(3), F.length(value)))).otherwise(iri_term(value))
+
+
+def _flat_triples(docs: DataFrame, column: str, context: Context) -> DataFrame:
+    """Triples of documents that are one object of scalars and arrays of them."""
+    spark = docs.sparkSession
+    scope = F.concat(F.lit("b"), F.substring(F.sha2(F.col(column), 256), 1, 16), F.lit("n0"))
+    parsed = docs.select(F.parse_json(column).alias("j"), scope.alias("own"))
+    ident = F.try_variant_get("j", "$['@id']", "string")
+    parsed = parsed.select("j", F.when(ident.isNull(), bnode_term(F.col("own"))).otherwise(_named(_expanded(ident, context))).alias("s"))
+    pairs = spark.sql("select t.s, v.key as k, v.value as v, schema_of_variant(v.value) as kind from {t} t, lateral variant_explode(t.j) v", t=parsed)
+    single = pairs.where(~F.col("kind").startswith("ARRAY"))
+    many = spark.sql("select t.s, t.k, e.value as v, schema_of_variant(e.value) as kind from {t} t, lateral variant_explode(t.v) e", t=pairs.where(F.col("kind").startswith("ARRAY")))
+    items = single.union(many).where("kind <> 'VOID'").withColumn("text", F.try_variant_get("v", "$", "string"))
+    key = F.col("k")
+    iri = _expanded(key, context)
+    plain = F.lit(True) if context.vocab else (iri != key) | F.contains(iri, F.lit(":"))
+    items = items.where((key == "@type") | ~key.startswith("@") & plain)
+    links = [t for t, d in context.terms.items() if d.type == "@id"]
+    is_link = (key == "@type") | (F.col("kind") == "STRING") & key.isin(links)
+    datatype = F.when(F.col("kind") == "BIGINT", XSD.integer.value).when(F.col("kind") == "BOOLEAN", XSD.boolean.value)
+    none = F.lit(None).cast("string")
+    literal = F.struct(F.lit("literal").alias("kind"), F.col("text").alias("value"), datatype.alias("datatype"), none.alias("lang"))
+    target = F.when(is_link, _named(_expanded(F.col("text"), context))).otherwise(literal)
+    return items.select("s", F.when(key == "@type", RDF.type.value).otherwise(iri).alias("p"), target.alias("o"))
+
+
+def _nested_triples(docs: DataFrame, column: str, context: Context | None) -> DataFrame:
+    """Triples of documents of any shape, expanded in Arrow batches."""
     names = ("kind", "value", "datatype", "lang")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

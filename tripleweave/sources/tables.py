@@ -7,8 +7,9 @@ and joins compare keys.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,13 @@ class Property:
 
 @dataclass(frozen=True)
 class TableMap:
-    """``keys`` identify a row; ``nullable``: columns that may hold NULL (they are then no triple)."""
+    """``keys`` identify a row; ``nullable``: columns that may hold NULL (they are then no triple).
+
+    ``source`` may be a function, so that only the tables of a query are opened.
+    """
 
     name: str
-    df: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     prefix: str
     keys: tuple
     rdf_class: str
@@ -44,8 +48,16 @@ class TableMap:
     nullable: frozenset = frozenset()
     weight: float = 1e6
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source() if callable(self.source) else self.source
+
+    @cached_property
+    def types(self) -> dict[str, str]:
+        return dict(self.df.dtypes)
+
     def type_of(self, column: str) -> str:
-        return dict(self.df.dtypes)[column]
+        return self.types[column]
 
     def subject(self) -> Bound:
         native = self.type_of(self.keys[0]) if len(self.keys) == 1 else ""
@@ -86,23 +98,26 @@ class VirtualGraph(Graph):
         else:
             found = [t for t in self.tables if any(x.predicate == p.value for x in t.properties)]
         if not isinstance(pattern.subject, A.Var):
-            found = [t for t in found if could_be(t.subject(), pattern.subject)]
+            found = [t for t in found if could_be(Bound(t.form, t.keys, prefix=t.prefix), pattern.subject)]
         return found
 
     # plain scans
     def triples(self, subject: RDFNode | None = None, predicate: IRI | None = None, object: RDFNode | None = None) -> DataFrame:
         parts = []
         for t in self.tables:
-            own = t.subject()
-            if subject is not None and not could_be(own, subject):
+            if subject is not None and not could_be(Bound(t.form, t.keys, prefix=t.prefix), subject):
+                continue
+            wanted = [p for p in t.properties if predicate in (None, IRI(p.predicate))]
+            if not wanted and predicate != RDF.type:
                 continue
+            if object is not None and not self._may_hold(t, wanted, object, predicate):
+                continue
+            own = t.subject()
             df = t.df.where(matches(own, subject, guard=False)) if subject is not None else t.df
             made: list[tuple[Column, Column, Column]] = []
             if predicate in (None, RDF.type) and object in (None, IRI(t.rdf_class)):
                 made.append((F.lit(RDF.type.value), iri_term(F.lit(t.rdf_class)), F.lit(True)))
-            for p in t.properties:
-                if predicate is not None and p.predicate != predicate.value:
-                    continue
+            for p in wanted:
                 b = t.object(p)
                 if object is not None and not could_be(b, object):
                     continue
@@ -119,6 +134,15 @@ class VirtualGraph(Graph):
                 parts.append(df.select(own.term().alias("s"), F.explode(pairs).alias("t")).where("t is not null").select("s", "t.p", "t.o"))
         return reduce(lambda a, b: a.union(b), parts) if parts else self.empty()
 
+    @staticmethod
+    def _may_hold(t: TableMap, wanted: list[Property], node: RDFNode, predicate: IRI | None) -> bool:
+        """Whether an object can come from a table, judged without opening it."""
+        if isinstance(node, Literal):
+            return any(p.prefix is None for p in wanted)
+        if isinstance(node, IRI):
+            return predicate in (None, RDF.type) and node.value == t.rdf_class or any(p.prefix is not None and node.value.startswith(p.prefix) for p in wanted)
+        return False
+
     # stars
     def stars(self, patterns: list[A.TriplePattern]) -> list[tuple]:
         found: list[_Star] = []
@@ -193,21 +217,20 @@ BASE = "http://example.org/tpch/"
 def sample_graph(spark: SparkSession, sf_dir: str) -> VirtualGraph:
     """The graph of the benchmark's tables."""
 
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def read(name: str) -> Callable[[], DataFrame]:
+        return lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def table(name: str, keys: str, literals: str = "", links: str = "", weight: float = 1e6, df: DataFrame | None = None, prefix: str | None = None, form: str = "iri", lang: dict | None = None) -> TableMap:
+    def table(name: str, keys: str, literals: str = "", links: str = "", weight: float = 1e6, source: Callable[[], DataFrame] | None = None, prefix: str | None = None, form: str = "iri", lang: dict | None = None) -> TableMap:
         props = [Property(BASE + c, c, lang=(lang or {}).get(c)) for c in literals.split()]
         for link in links.split():
             column, target = link.split(">")
             predicate, _, column = column.rpartition("=")
             props.append(Property(BASE + (predicate or column), column, prefix=f"{BASE}{target}/"))
-        return TableMap(name, read(name) if df is None else df, prefix if prefix is not None else f"{BASE}{name}/", tuple(keys.split()), BASE + name.capitalize(), tuple(props), form, weight=weight)
+        return TableMap(name, source or read(name), prefix if prefix is not None else f"{BASE}{name}/", tuple(keys.split()), BASE + name.capitalize(), tuple(props), form, weight=weight)
 
-    nation, lineitem = read("nation"), read("lineitem").withColumn("l_count", F.col("l_quantity").cast("bigint"))
     tables = [
         table("region", "r_regionkey", "r_name", weight=5),
-        table("nation", "n_nationkey", "n_name", "n_regionkey>region", 25, nation),
+        table("nation", "n_nationkey", "n_name", "n_regionkey>region", 25),
         table("customer", "c_custkey", "c_name c_acctbal c_mktsegment", "c_nationkey>nation", 1.5e5),
         table("supplier", "s_suppkey", "s_name s_acctbal", "s_nationkey>nation", 1e4),
         table("part", "p_partkey", "p_name p_brand p_type p_size p_retailprice", weight=2e5),
@@ -218,7 +241,7 @@ def sample_graph(spark: SparkSession, sf_dir: str) -> VirtualGraph:
             "l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
             "l_orderkey>orders l_partkey>part l_suppkey>supplier",
             6e6,
-            lineitem,
+            lambda: read("lineitem")().withColumn("l_count", F.col("l_quantity").cast("bigint")),
         ),
         table("events", "event_id", "ts event_type value props", "user_id>customer", 1e6),
         table("documents", "doc_id", "text source n_chars", weight=1e5, lang={"text": "lang"}),
@@ -226,5 +249,5 @@ def sample_graph(spark: SparkSession, sf_dir: str) -> VirtualGraph:
         table("conversations", "conv_id turn", "role", weight=5e4, prefix="c", form="bnode"),
     ]
     number = Property(BASE + "region_number", "n_regionkey", prefix=f"{BASE}num/")
-    tables.append(TableMap("number", nation, f"{BASE}num/", ("n_nationkey",), BASE + "Number", (number,), weight=25))
+    tables.append(TableMap("number", read("nation"), f"{BASE}num/", ("n_nationkey",), BASE + "Number", (number,), weight=25))
     return VirtualGraph(spark, tables, {"t": BASE, "rdf": RDF.ns})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +23,7 @@ def validated(table: TableMap, shapes: list[S.NodeShape], each: Callable[[DataFr
     """Run any shapes on every micro-batch; ``each`` gets the batch, its violations and its number."""
 
     def batch(df: DataFrame, number: int) -> None:
-        from dataclasses import replace
-
-        each(df, S.validate(VirtualGraph(df.sparkSession, [replace(table, df=df)]), shapes).df, number)
+        each(df, S.validate(VirtualGraph(df.sparkSession, [replace(table, source=df)]), shapes).df, number)
 
     return table.df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
