@@ -85,29 +85,29 @@ def labelled(spark):
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(80)]
     rows, labels = [], []
-    for i in range(400):
+    for i in range(1000):
         text = " ".join(rng.choice(words, 30))
         bad, junk = i % 5 == 0, i % 3 == 0
-        text += " zzq" + rng.choice(words) if bad else ""
+        text += " zzqk" + rng.choice(words) if bad else ""
         text = text.replace(" ", " ### ") if junk else text
         rows.append((i, text))
         if i % 2:
             labels.append((i, int(not junk), int(bad)))
-    rows += [(None, "zzqx"), (1000, None), (1001, ""), rows[5]]
+    rows += [(None, "zzqkx"), (2000, None), (2001, ""), rows[5]]
     labels += [(None, 1, 1), (3, None, None), (5000, 1, 1)]
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("flagged", F.lit(1)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
 def test_chain(labelled, spark):
     docs, labels = labelled
-    chain = toxicity.train(docs, labels, toxicity.label_chain(), rows=300)
+    chain = toxicity.train(docs, labels, toxicity.label_chain(), rows=500)
     assert [link.name for link in chain.links] == ["low_quality", "toxic"] and len(chain.links[1].earlier) == 1
     got = {r["doc_id"]: r for r in toxicity.scored(docs, chain).collect()}
-    held_out = [i for i in range(0, 400, 2)]
+    held_out = [i for i in range(0, 1000, 2)]
     right = sum(got[i]["flagged"] == (i % 5 == 0) for i in held_out) / len(held_out)
     junk = sum((got[i]["p_low_quality"] > 0.5) == (i % 3 == 0) for i in held_out) / len(held_out)
     assert right > 0.95 and junk > 0.95
-    assert got[1000]["p_toxic"] == got[1001]["p_toxic"] and not got[1000]["flagged"]
+    assert got[2000]["p_toxic"] == got[2001]["p_toxic"] and not got[2000]["flagged"]
     assert toxicity.scored(docs.limit(0), chain).count() == 0
     none = toxicity.train(docs, labels.limit(0), toxicity.label_chain())
     assert toxicity.scored(docs, none).where("flagged or p_toxic > 0").count() == 0
@@ -130,7 +130,7 @@ def test_mixing_meets_targets(labelled):
         total = {d: sum(r["rate"] * r["tokens"] * r["posteriors"][d] for r in got) for d in ("high", "low")}
         share = total["high"] / sum(total.values())
         assert abs(share - targets["high"]) < 0.01 and all(r["rate"] >= 0 and abs(r["copies"] - r["rate"]) <= 1 for r in got)
-    right = [(r["posteriors"]["low"] > 0.5) == (r["doc_id"] % 3 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 400]
+    right = [(r["posteriors"]["low"] > 0.5) == (r["doc_id"] % 3 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 1000]
     assert sum(right) / len(right) > 0.95
     assert mixing.mixed_rates(docs.limit(0), labels, mixing.quality_domain(), mixing.TARGETS).count() == 0
     even = mixing.mixed_rates(docs, labels.limit(0), mixing.quality_domain(), mixing.TARGETS).first()

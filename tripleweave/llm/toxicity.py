@@ -8,7 +8,7 @@ so later models learn from probabilities as uncertain as those they will meet.
 Training takes at most ``rows`` labelled rows, dealt evenly over the combinations of labels and chosen by
 a hash of the id; weights restore the combinations' shares. Everything else reads every row.
 
-Defined results: a null text counts as empty; rows without a label are scored all the same; an id that
+Defined results: a null text counts as empty; a text without words is never flagged; rows without a label are scored all the same; an id that
 is labelled twice uses the larger labels; null labels or ids are not trained on; without labels of both
 kinds a category's probability is its share (0 without labels) and nothing is flagged; rows that repeat
 are scored each; an empty table gives an empty one.
@@ -88,7 +88,7 @@ class Chain:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 400, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 400, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weighted logistic regression by Nesterov's method."""
     w = w / w.sum()
     theta, bias = np.zeros(x.shape[1], np.float64), 0.0
@@ -208,9 +208,11 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
         own = held.value
         cut = own.links[-1].threshold
         for batch in batches:
-            p = [own.probabilities(t) for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            p = [own.probabilities(t) for t in texts]
+            flagged = [x[-1] >= cut and bool(t and WORDS.search(t)) for t, x in zip(texts, p, strict=True)]
             columns = [pa.array([x[i] for x in p], pa.float64()) for i in range(len(added))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array([x[-1] >= cut for x in p], pa.bool_())], names=[*kept, *added, "flagged"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(flagged, pa.bool_())], names=[*kept, *added, "flagged"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
     return source.mapInArrow(run, f"{fields}, {', '.join(f'{a} double' for a in added)}, flagged boolean")
