@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Largest side, in bytes, that an operator may broadcast after having counted it.
 BROADCAST_BYTES = 32 << 20
 
+_OWN: dict[str, str] = {}
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, the folder that all executors share.
@@ -19,8 +21,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tripleweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _OWN.get(spark.sparkContext.applicationId)
+        if base is None:
+            base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tripleweave-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
