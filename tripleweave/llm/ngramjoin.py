@@ -471,3 +471,21 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     joined = written(components(links_in_groups(sets, groups, percent), "links"), "joined")
     moved = small_side(joined.where("node <> component").withColumnRenamed("node", "rep"), 24)
     return placed.join(moved, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+
+
+ORACLE_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from d
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as src, b.doc_id as dst, count(*) as o from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all
+), l as (
+  select src, dst from p join n x on x.doc_id = src join n y on y.doc_id = dst where 100 * o >= 85 * (x.n + y.n - o)
+), r as (
+  select doc_id as node, doc_id as other from documents union select r.node, l.dst from r join l on l.src = r.other
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from d left join n using (doc_id) join (select node, min(other) as component_id from r group by node) c on c.node = d.doc_id
+"""

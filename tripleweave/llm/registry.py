@@ -88,4 +88,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_near_vectors": vectors.ORACLE_SQL,
+        "op4_ngram_join": ngramjoin.ORACLE_SQL,
     }
