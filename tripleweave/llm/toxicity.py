@@ -83,24 +83,24 @@ class Chain:
             if link.fixed is not None:
                 out.append(link.fixed)
                 continue
-            z = link.bias + float(link.weights[np.sort(at)].sum()) + float(np.dot(link.earlier, out))
+            z = link.bias + float(link.weights[np.sort(at)].sum(dtype=np.float64)) + float(np.dot(link.earlier, out))
             out.append(float(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 400, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by Nesterov's method."""
+def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 250, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by Nesterov's method, in the precision of ``x``."""
     w = w / w.sum()
-    theta, bias = np.zeros(x.shape[1], np.float64), 0.0
+    theta, bias = np.zeros(x.shape[1], x.dtype), 0.0
     look, look_bias = theta, bias
-    rate = 4.0 / max(1.0, float((w * (x * x).sum(1)).sum()) + 1.0) * 2
+    rate = 8.0 / (float((w * np.square(x).sum(1)).sum()) + 2.0)
     for k in range(steps):
         z = x @ look + look_bias
         g = w * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        new, new_bias = look - rate * (x.T @ g + penalty * look), look_bias - rate * float(g.sum())
+        new, new_bias = look - rate * (g.astype(x.dtype) @ x + penalty * look), look_bias - rate * float(g.sum())
         m = k / (k + 3)
-        look, look_bias = new + m * (new - theta), new_bias + m * (new_bias - bias)
-        theta, bias = new, new_bias
+        look, look_bias = (new + m * (new - theta)).astype(x.dtype), new_bias + m * (new_bias - bias)
+        theta, bias = new.astype(x.dtype), new_bias
     return theta, bias
 
 
