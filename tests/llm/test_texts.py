@@ -193,7 +193,7 @@ def test_lines(spark, corpus):
     assert check_lines(spark, [r for r in corpus if r[0] != 110]) >= 0
 
 
-@pytest.mark.parametrize("paired", [0, 12])
+@pytest.mark.parametrize("paired", [0, 3])
 def test_lines_within_one_edit(spark, paired, monkeypatch):
     monkeypatch.setattr(linededup, "PAIRED", paired)
     base = ["the quick brown fox jumps over the lazy dog", "exactly twenty chars", "a much longer line " * 9 + "ends", "thirty-two characters of text ab"]

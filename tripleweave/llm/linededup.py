@@ -5,11 +5,12 @@ earliest place, by (doc_id, line number). A line also goes if an earlier line li
 (insertion, deletion or substitution of a character), where both have at least ``FUZZY_CHARS``.
 
 Deleting one character from a long line gives as many variants as it has characters, so the variants
-are first emitted in blocks: the line is cut into two to four blocks, and each key stands for all
-deletions inside one block, as the hash of what lies left and right of it. Two lines within one edit
-share a key for certain. In keys that few lines share, pairs are verified by edit distance. In keys that
-many share (lines that begin alike, say) every single deletion inside the block becomes a key of its
-own; lines that share one are within one edit of each other, so each is only compared with the earliest.
+are emitted in blocks, coarse ones first. The first keys delete the second or the first half of the line:
+the hash of the half that is left stands for all single deletions in the other. Two lines within one edit
+share one of the two for certain. In keys that few lines share, pairs are verified by edit distance. In keys
+that more share (lines that begin alike, say) the deleted half is cut finer and the same is done inside it;
+where many still meet, every single deletion becomes a key of its own. Lines that share one of those are
+within one edit of each other, so each is only compared with the earliest.
 
 Defined results: a null text counts as empty and gives an empty one; lines shorter than ``LINE_CHARS``
 are always kept; null ids come before all others; rows that repeat an id and a text hold one place, so
@@ -21,18 +22,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.shared import BROADCAST_BYTES, small_side, written
+from tripleweave.llm.shared import small_side, written
 
 LINE_CHARS, FUZZY_CHARS = 8, 20
 #: Lines that share a key up to which all pairs are verified.
-PAIRED = 12
+PAIRED = 3
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(dk, rk, line_no, norm, h1, h2)`` of all lines that take part."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(_place(id_col).alias("dk"), F.xxhash64(text).alias("rk"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    norm = F.lower(F.trim(F.regexp_replace("line", r"\s+", " ")))
+    # most lines have no white space but single blanks, and are spared the search for it
+    loose = F.contains("line", F.lit("  "))
+    for blank in "\t\r\f\v":
+        loose = loose | F.contains("line", F.lit(blank))
+    norm = F.lower(F.trim(F.when(loose, F.regexp_replace("line", r"\s+", " ")).otherwise(F.col("line"))))
     lines = source.select("dk", "rk", "line_no", norm.alias("norm")).where(F.length("norm") >= LINE_CHARS)
     return lines.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
 
@@ -41,51 +46,102 @@ def _place(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
 
 
-#: Every block of deletions of a line: b is the smallest power of two with at most four blocks, that of a
-#: line one longer as well; i blocks are left of the gap, r right of it.
+#: The two halves of a line. Their length is rounded down, so that lines of nearly one length agree on it; a
+#: line also uses the length that one longer by a character would.
+HALF = "({n} div shiftleft(1, greatest(0, length(bin({n})) - 5) + 1)) * shiftleft(1, greatest(0, length(bin({n})) - 5))"
+HALVES = """
+explode(flatten(transform(hs, h -> array(
+  named_struct('key', xxhash64(1, h, left(norm, h)), 'b', h, 'left', h, 'right', 0),
+  named_struct('key', xxhash64(2, h, substring(norm, len - h + 1)), 'b', h, 'left', 0, 'right', h)
+)))) as v
+"""
+
+#: Every block of deletions of a text ``z``: for each block size b, i blocks are left of the gap, r right of it.
+#: The hashes of what lies left and right are made once for each place.
 BLOCKS = """
-explode(flatten(transform(
-  array_distinct(array(shiftleft(1L, length(bin(length(norm) - 1)) - 2), shiftleft(1L, length(bin(length(norm))) - 2))),
-  b -> flatten(transform(sequence(0L, length(norm) div b), i -> transform(
-    filter(array((length(norm) - i * b) div b, (length(norm) - i * b) div b - 1), r -> r >= 0),
-    r -> named_struct('key', xxhash64(b, i, r, left(norm, int(i * b)), right(norm, int(r * b))), 'left', int(i * b), 'right', int(r * b))
+explode(flatten(flatten(transform(bs, b -> transform(
+  array(named_struct(
+    'm', int(len div b),
+    'l', transform(sequence(0, int(len div b)), i -> xxhash64(left(z, i * b))),
+    'r', transform(sequence(0, int(len div b)), r -> xxhash64(substring(z, len - r * b + 1)))
+  )),
+  h -> flatten(transform(sequence(0, h.m), i -> transform(
+    filter(array(int((len - i * b) div b), int((len - i * b) div b) - 1), r -> r >= 0),
+    r -> named_struct('key', xxhash64(parent, b, i, r, h.l[i], h.r[r]), 'b', b, 'left', i * b, 'right', r * b)
   )))
-))) as v
+))))) as v
 """
 
-#: Every gap inside the block: the line without the character there, and the line with room for one.
+#: Every gap inside a block: the line without the character there, and the line with room for one.
 GAPS = """
-explode(flatten(transform(sequence(left, length(norm) - right), p -> array(
-  named_struct('g1', xxhash64(p, norm), 'g2', xxhash64(11, p, norm)),
-  named_struct('g1', xxhash64(p, concat(left(norm, p), substring(norm, p + 2))), 'g2', xxhash64(11, p, concat(left(norm, p), substring(norm, p + 2))))
+explode(flatten(transform(sequence(left, length(norm) - right), p -> transform(
+  array(norm, concat(left(norm, p), substring(norm, p + 2))),
+  w -> named_struct('g1', xxhash64(p, w), 'g2', xxhash64(11, p, w))
 )))) as g
 """
+#: A block of a shared key is cut into so many parts.
+FINER = 8
+
+
+def _blocks(lines: DataFrame, *columns: str) -> DataFrame:
+    """``lines(z, bs, parent)`` and the keys of all blocks."""
+    return lines.withColumn("len", F.length("z")).select(*columns, F.expr(BLOCKS)).select(*columns, F.col("v.*"))
+
+
+def _met(keyed: DataFrame, name: str) -> DataFrame:
+    """Lines whose key another line has too, with the number of lines at it."""
+    keys = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+    met = keyed.join(small_side(written(keys, "line-keys"), 16), "key")
+    first = F.min(F.struct("dk", "line_no", "norm")).alias("m")
+    met = met.groupBy("key", "b", "left", "right", "h1", "h2").agg(first)
+    met = written(met.select("key", "b", "left", "right", "h1", "h2", "m.dk", "m.line_no", "m.norm"), name)
+    return met.join(met.groupBy("key").agg(F.count("*").alias("held")), "key")
+
+
+def _earlier(one: str, two: str) -> Column:
+    return F.struct(f"{one}.dk", f"{one}.line_no") < F.struct(f"{two}.dk", f"{two}.line_no")
+
+
+def _near(one: str, two: str) -> Column:
+    a, b = F.col(f"{one}.norm"), F.col(f"{two}.norm")
+    return (F.abs(F.length(a) - F.length(b)) <= 1) & (F.levenshtein(a, b, 1) >= 0)
+
+
+def _paired(met: DataFrame) -> DataFrame:
+    """``(h1, h2)`` of lines with an earlier one within one edit, at keys that few lines share."""
+    few = met.where(F.col("held") <= PAIRED)
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & _earlier("x", "y"))
+    return pairs.where(_near("x", "y")).select("y.h1", "y.h2")
 
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(h1, h2)`` of lines that have an earlier, different line within one edit."""
     fuzzy = _lines(docs, id_col, text_col).where(F.length("norm") >= FUZZY_CHARS)
-    spots = fuzzy.select("dk", "line_no", "norm", "h1", "h2", F.expr(BLOCKS)).select("dk", "line_no", "norm", "h1", "h2", "v.*")
-    # copies of a line collapse before the shuffle; keys of one line only lead nowhere
-    keys = spots.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    keys = written(keys, "line-keys")
-    met = spots.join(small_side(keys, 16), "key")
-    met = met.groupBy("key", "left", "right", "h1", "h2").agg(F.min(F.struct("dk", "line_no", "norm")).alias("m"))
-    met = written(met.select("key", "left", "right", "h1", "h2", F.struct("m.dk", "m.line_no").alias("at"), "m.norm"), "line-candidates")
-    sizes = met.groupBy("key").agg(F.count("*").alias("held"))
-    met = met.join(sizes, "key")
-
-    few = met.where(F.col("held") <= PAIRED)
-    one, two = few.alias("x"), few.alias("y")
-    near = (F.abs(F.length("x.norm") - F.length("y.norm")) <= 1) & (F.levenshtein(F.col("x.norm"), F.col("y.norm"), 1) >= 0)
-    pairs = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.at") < F.col("y.at"))).where(near)
-    gone = pairs.select("y.h1", "y.h2")
-
-    many = met.where(F.col("held") > PAIRED).select("left", "right", "h1", "h2", "at", "norm")
-    gaps = many.select("h1", "h2", "at", "norm", F.expr(GAPS)).select("h1", "h2", "at", "norm", "g.*")
-    first = gaps.groupBy("g1", "g2").agg(F.min(F.struct("at", "norm")).alias("f"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b")
-    later = gaps.join(first.select("g1", "g2", "f"), ["g1", "g2"]).where(F.col("at") > F.col("f.at"))
-    later = later.where(F.levenshtein(F.col("norm"), F.col("f.norm"), 1) >= 0)
+    held = ["dk", "line_no", "norm", "h1", "h2"]
+    fuzzy = fuzzy.withColumn("len", F.length("norm"))
+    halves = F.array_distinct(F.array(*(F.expr(HALF.format(n=n)).cast("int") for n in ("len", "(len + 1)"))))
+    spots = fuzzy.withColumn("hs", halves).select(*held, F.expr(HALVES)).select(*held, "v.*")
+    coarse = _met(spots, "line-halves")
+    gone = _paired(coarse)
+
+    # keys that many lines share: the same again inside the block
+    many = coarse.where(F.col("held") > PAIRED)
+    inner = F.expr("substring(norm, left + 1, length(norm) - left - right)")
+    many = many.select(*held, F.col("left").alias("l0"), F.col("right").alias("r0"), inner.alias("z"), F.array(F.greatest(F.lit(1), F.expr(f"int(b div {FINER})"))).alias("bs"), F.col("key").alias("parent"))
+    finer = _blocks(many, *held, "l0", "r0")
+    finer = finer.withColumns({"left": F.col("l0") + F.col("left"), "right": F.col("r0") + F.col("right")}).drop("l0", "r0")
+    finer = _met(finer, "line-finer-blocks")
+    gone = gone.union(_paired(finer))
+
+    # and where many still meet, every single deletion is a key: its lines are within one edit of each other
+    last = finer.where(F.col("held") > PAIRED).select("left", "right", *held)
+    gaps = last.select("dk", "line_no", "h1", "h2", F.expr(GAPS)).select("dk", "line_no", "h1", "h2", "g.*")
+    place = F.struct("dk", "line_no")
+    first = gaps.groupBy("g1", "g2").agg(F.min(place).alias("f"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("g1", "g2", "f")
+    later = gaps.join(first, ["g1", "g2"]).where(place > F.col("f")).select("h1", "h2", "dk", "line_no", "f").distinct()
+    texts = last.select("dk", "line_no", "norm").distinct()
+    later = later.join(texts, ["dk", "line_no"]).select("h1", "h2", F.struct("norm").alias("y"), "f.dk", "f.line_no")
+    later = later.join(texts.select("dk", "line_no", F.struct("norm").alias("x")), ["dk", "line_no"]).where(_near("x", "y"))
     return gone.union(later.select("h1", "h2")).distinct()
 
 
@@ -113,8 +169,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [F.col(c) for c in docs.columns if c != text_col]
     source = docs.select(*kept, F.split(text, "\n", -1).alias("__lines"), _place(id_col).alias("__dk"), F.xxhash64(text).alias("__rk"))
-    small = drops.count() * 400 <= BROADCAST_BYTES
-    joined = source.join(drops.hint("broadcast" if small else "shuffle_hash"), ["__dk", "__rk"], "left")
+    # every document is moved once, at any size; the lists of lines are the side to be hashed
+    joined = source.join(drops.hint("shuffle_hash"), ["__dk", "__rk"], "left")
     none = F.array().cast("array<int>")
     exact, near = F.coalesce("__exact", none), F.coalesce("__near", none)
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.concat(exact, near))
