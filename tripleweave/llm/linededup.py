@@ -79,8 +79,8 @@ explode(flatten(transform(sequence(left, length(norm) - right), p -> transform(
   w -> named_struct('g1', xxhash64(p, w), 'g2', xxhash64(11, p, w))
 )))) as g
 """
-#: A block of a shared key is cut into so many parts.
-FINER = 8
+#: A block of a shared key is cut into so many parts, and again so many times.
+FINER, FINER_LEVELS = 8, 2
 
 
 def _blocks(lines: DataFrame, *columns: str) -> DataFrame:
@@ -124,17 +124,19 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     coarse = _met(spots, "line-halves")
     gone = _paired(coarse)
 
-    # keys that many lines share: the same again inside the block
-    many = coarse.where(F.col("held") > PAIRED)
-    inner = F.expr("substring(norm, left + 1, length(norm) - left - right)")
-    many = many.select(*held, F.col("left").alias("l0"), F.col("right").alias("r0"), inner.alias("z"), F.array(F.greatest(F.lit(1), F.expr(f"int(b div {FINER})"))).alias("bs"), F.col("key").alias("parent"))
-    finer = _blocks(many, *held, "l0", "r0")
-    finer = finer.withColumns({"left": F.col("l0") + F.col("left"), "right": F.col("r0") + F.col("right")}).drop("l0", "r0")
-    finer = _met(finer, "line-finer-blocks")
-    gone = gone.union(_paired(finer))
+    # keys that many lines share: the same again inside the block, twice
+    met = coarse
+    for level in range(FINER_LEVELS):
+        many = met.where(F.col("held") > PAIRED)
+        inner = F.expr("substring(norm, left + 1, length(norm) - left - right)")
+        many = many.select(*held, F.col("left").alias("l0"), F.col("right").alias("r0"), inner.alias("z"), F.array(F.greatest(F.lit(1), F.expr(f"int(b div {FINER})"))).alias("bs"), F.col("key").alias("parent"))
+        finer = _blocks(many, *held, "l0", "r0")
+        finer = finer.withColumns({"left": F.col("l0") + F.col("left"), "right": F.col("r0") + F.col("right")}).drop("l0", "r0")
+        met = _met(finer, f"line-blocks-{level}")
+        gone = gone.union(_paired(met))
 
     # and where many still meet, every single deletion is a key: its lines are within one edit of each other
-    last = finer.where(F.col("held") > PAIRED).select("left", "right", *held)
+    last = met.where(F.col("held") > PAIRED).select("left", "right", *held)
     gaps = last.select("dk", "line_no", "h1", "h2", F.expr(GAPS)).select("dk", "line_no", "h1", "h2", "g.*")
     place = F.struct("dk", "line_no")
     first = gaps.groupBy("g1", "g2").agg(F.min(place).alias("f"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("g1", "g2", "f")
