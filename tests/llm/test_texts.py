@@ -1,6 +1,7 @@
 """Fingerprints, token counts, pieces, line dedup and n-gram join against brute force."""
 
 import hashlib
+import random
 import re
 import unicodedata
 from collections import defaultdict
@@ -208,6 +209,21 @@ def test_lines_within_one_edit(spark, paired, monkeypatch):
     assert check_lines(spark, rows) > 100
 
 
+def test_short_lines_take_part(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab. ") for _ in range(rng.randint(0, 12))) for _ in range(150)] + ["Les.", "les.", "Let.", "heti eror anesti.", "heti, eror anesti.", "", " "]
+    rng.shuffle(texts)
+    forms = [norm(t) for t in texts]
+    want = []
+    for i, (t, x) in enumerate(zip(texts, forms, strict=True)):
+        exact = x != "" and x in forms[:i]
+        first = forms.index(x)
+        near = x != "" and not exact and any(y != "" and within_one(x, y) for y in forms[:first])
+        want.append(repr((i, "" if exact or near else t, int(exact), int(near))))
+    got = linededup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert tuples(got, "doc_id", "text", "n_exact", "n_near") == sorted(want)
+
+
 def test_lines_of_odd_tables(docs, empty):
     got = linededup.deduplicated(docs)
     assert got.columns == [*[c for c in docs.columns if c != "n_lines"], "n_lines", "n_exact", "n_near"] and got.count() == docs.count()

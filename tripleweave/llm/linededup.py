@@ -2,9 +2,9 @@
 
 Lines are compared without case and with runs of white space as one blank. Equal lines keep their
 earliest place, by (doc_id, line number). A line also goes if an earlier line lies within one edit
-(insertion, deletion or substitution of a character), where both have at least ``FUZZY_CHARS``.
+(insertion, deletion or substitution of a character). Every line that is not blank takes part in both.
 
-Deleting one character from a long line gives as many variants as it has characters, so the variants
+Deleting one character from a line gives as many variants as it has characters, so the variants
 are emitted in blocks, coarse ones first. The first keys delete the second or the first half of the line:
 the hash of the half that is left stands for all single deletions in the other. Two lines within one edit
 share one of the two for certain. In keys that few lines share, pairs are verified by edit distance. In keys
@@ -12,8 +12,7 @@ that more share (lines that begin alike, say) the deleted half is cut finer and
 where many still meet, every single deletion becomes a key of its own. Lines that share one of those are
 within one edit of each other, so each is only compared with the earliest.
 
-Defined results: a null text counts as empty and gives an empty one; lines shorter than ``LINE_CHARS``
-are always kept; null ids come before all others; rows that repeat an id and a text hold one place, so
+Defined results: a null text counts as empty and gives an empty one; blank lines are always kept; null ids come before all others; rows that repeat an id and a text hold one place, so
 neither loses lines to the other; an empty table gives an empty one; other columns are passed through.
 """
 
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 
 from tripleweave.llm.shared import small_side, written
 
-LINE_CHARS, FUZZY_CHARS = 8, 20
+#: Shortest lines that are compared exactly and by edits: all but blank ones.
+LINE_CHARS, FUZZY_CHARS = 1, 1
 #: Lines that share a key up to which all pairs are verified.
 PAIRED = 3
 
