@@ -138,6 +138,32 @@ def test_dropout_follows_the_agenda():
             assert got == agenda(word, m, skip)
 
 
+def test_dropout_is_drawn_for_every_occurrence():
+    m = pieces.model(tokencounts.tokenizer_path("piece_bpe_32k.model"))
+    rate, seed = 0.1, 1
+    owners = np.array([pieces.owner_key(i, "") for i in range(1500)], np.uint64)
+    one, two = m.encode(["a"] * 1500, owners, rate, seed), m.encode(["of a a"] * 1500, owners, rate, seed)
+    assert [len(x) for x in m.encode(["a"], owners[:1], 0.0, seed)] == [1]
+    assert abs(np.mean([len(x) > 1 for x in one]) - rate) < 0.03
+    floor = int(rate * 2.0**64)
+    long = m.encode(["international unbelievable once%d international" % (i % 40) for i in range(1500)], owners, rate, seed)
+    assert len({x.tobytes() for x in long}) > 40
+    for i in range(40):
+        for text, found in (("of a a", two[i]), ("international unbelievable once%d international" % i, long[i])):
+            want = []
+            for n, word in enumerate(pieces.WORDS.findall(" " + text)):
+                with np.errstate(over="ignore"):
+                    draw = pieces.mixed(owners[i : i + 1] + np.uint64(n) * pieces.GOLD)
+                    key = pieces.mixed(np.array([pieces.word_key(word, seed)], np.uint64) + (draw + np.uint64(1)) * pieces.GOLD)[0]
+
+                def skip(a, mid, b, key=key):
+                    span = np.array([a << 42 | (mid - a) << 21 | (b - a)], np.uint64)
+                    return int(pieces.mixed(key ^ pieces.mixed(span * pieces.GOLD))[0]) < floor
+
+                want += agenda(word, m, skip)
+            assert found.tolist() == want
+
+
 def test_dropout_is_lossless_keyed_and_varied(docs, corpus, empty):
     path = tokencounts.tokenizer_path("piece_bpe_32k.model")
     one = pieces.encoded(docs, path, 0.1, 1)

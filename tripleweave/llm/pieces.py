@@ -2,14 +2,15 @@
 
 The agenda of byte-pair merging holds the candidates of a word: neighbouring symbols whose joined
 piece is in the vocabulary, best score first, leftmost among equals. A candidate is skipped when a
-hash keyed by (seed, word, variant, span) falls below the dropout rate, where each occurrence of a word
-draws its variant by a hash of its document and place. So another seed gives other segmentations and
+hash keyed by (seed, word, document, place, span) falls below the dropout rate, so every occurrence of a
+word is segmented by itself. Another seed gives other segmentations and
 the same seed always the same, on any executor and after any retry. Without dropout the result is that
 of the library.
 
 No piece of the vocabulary runs on from a letter into a word mark, so words are independent: all
-new words of a batch go through the agenda together as arrays, one merge a word in each round, and a
-worker remembers what came out.
+words of a batch go through the agenda together as arrays, one merge a word in each round. A worker
+remembers what comes out without dropout and which candidates come up on the way; an occurrence that skips
+none of them takes that, all others go through the agenda.
 
 A text's own word-mark character (U+2581) is written as bytes, so that decoding gives back every text
 exactly; the library would turn it into a blank.
@@ -21,7 +22,9 @@ an id get the same pieces; an empty table gives an empty one; other columns are
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +37,9 @@ MARK = 0x2581
 NONE = np.int64(1 << 62)
 #: Characters that go through the agenda at a time.
 BATCH_CHARS = 1_000_000
-#: Keyed variants of a word: every occurrence draws one of them by a hash of its document and place.
+#: No bound: an occurrence has a 64-bit variant. So many small ones are compared with a plain agenda in the tests.
 VARIANTS = 4
-#: Words and variants that a worker remembers at most; beyond that it starts anew.
+#: Words that a worker remembers at most; beyond that it starts anew.
 REMEMBERED = 400_000
 #: A word with the blanks before it.
 WORDS = re.compile(" +[^ ]*|[^ ]+")
@@ -51,6 +54,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def floor_of(dropout: float) -> np.uint64:
+    return np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
+
+
+def word_key(word: str, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), seed)
+
+
+def occurrence_keys(words: np.ndarray, variant: int | np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(words + (np.asarray(variant, np.uint64) + np.uint64(1)) * GOLD)
+
+
 class PieceModel:
     """Vocabulary, merge table and byte pieces of a SentencePiece BPE model file."""
 
@@ -92,7 +108,7 @@ class PieceModel:
             slots[at], value[at] = k, v
         self.slots, self.value = slots, value
         assert size <= 1 << 16, "ids are kept as 16-bit numbers"
-        self.setting, self.known = None, []
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.rank = np.zeros(size, np.int64)
         for i, r in rank.items():
             self.rank[i] = r
@@ -119,60 +135,83 @@ class PieceModel:
 
     def encode(self, texts: list[str], owners: np.ndarray, dropout: float, seed: int) -> list[np.ndarray]:
         """Ids of each text. ``owners``: 64-bit keys of the documents, for the hash."""
-        if self.setting != (dropout, seed):
-            self.setting, self.known = (dropout, seed), [{} for _ in range(VARIANTS if dropout else 1)]
-        variants = len(self.known)
-        split = []
-        for text, owner in zip(texts, owners, strict=True):
-            words = WORDS.findall(" " + text) if text else []
-            if variants == 1:
-                draws = [0] * len(words)
-            else:
-                with np.errstate(over="ignore"):
-                    at = np.arange(len(words), dtype=np.uint64)
-                    draws = (mixed(np.uint64(owner) + at * GOLD) % np.uint64(variants)).tolist()
-            split.append((words, draws))
-        if sum(map(len, self.known)) > REMEMBERED:
-            for known in self.known:
-                known.clear()
-        lacking: list[set[str]] = [set() for _ in self.known]
-        if variants == 1:
-            lacking[0].update(*(words for words, _ in split))
-        else:
-            for words, draws in split:
-                for w, d in zip(words, draws, strict=True):
-                    if w not in self.known[d]:
-                        lacking[d].add(w)
-        for v, known in enumerate(self.known):
-            missing = list(lacking[v] - known.keys())
-            start = total = 0
-            for i, w in enumerate(missing):
-                total += len(w)
-                if total >= BATCH_CHARS or i + 1 == len(missing):
-                    part = missing[start : i + 1]
-                    known.update(zip(part, self.agenda(part, v, dropout, seed), strict=True))
-                    start, total = i + 1, 0
-        get = [known.__getitem__ for known in self.known]
-        if variants == 1:
-            joined = [b"".join(map(get[0], words)) for words, _ in split]
+        split = [WORDS.findall(" " + text) if text else [] for text in texts]
+        flat = list(itertools.chain.from_iterable(split))
+        if not flat:
+            return [np.empty(0, np.int32) for _ in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        floor = floor_of(dropout)
+        # with dropout, words that come once are not worth remembering
+        times = Counter(flat)
+        self.remember([w for w, n in times.items() if w not in self.known and (n > 1 or not floor)])
+        if not floor:
+            out = [self.known[w][0] for w in flat]
         else:
-            joined = [b"".join([get[d](w) for w, d in zip(words, draws, strict=True)]) for words, draws in split]
-        return [np.frombuffer(x, np.uint16).astype(np.int32) for x in joined]
-
-    def agenda(self, words: list[str], variant: int, dropout: float, seed: int) -> list[bytes]:
-        """Ids of each word, as 16-bit numbers. All words advance together, by one merge a round."""
+            with np.errstate(over="ignore"):
+                draws = np.concatenate([mixed(np.uint64(owner) + np.arange(len(words), dtype=np.uint64) * GOLD) for words, owner in zip(split, owners, strict=True)])
+            number = {w: i for i, w in enumerate(times)}
+            at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+            held = [self.known.get(w) for w in times]
+            spans = np.frombuffer(b"".join(h[1] for h in held if h), np.uint64)
+            sizes = np.array([len(h[1]) // 8 if h else 0 for h in held], np.int64)
+            starts = np.cumsum(sizes) - sizes
+            own = np.array([word_key(w, seed) for w in times], np.uint64)
+            anew = np.array([h is None for h in held])[at]
+            for a in range(0, len(flat), BATCH_CHARS // 8):
+                some = at[a : a + BATCH_CHARS // 8]
+                many = sizes[some]
+                which = np.repeat(np.arange(len(some)), many)
+                inside = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+                keys = occurrence_keys(own[some], draws[a : a + len(some)])
+                skips = mixed(keys[which] ^ spans[starts[some][which] + inside]) < floor
+                anew[a + which[skips]] = True
+            out = [h and h[0] for h in map(held.__getitem__, at.tolist())]
+            missing = np.flatnonzero(anew).tolist()
+            for some in self.parts(missing, [len(flat[i]) for i in missing]):
+                for i, x in zip(some, self.agenda([flat[i] for i in some], draws[some], dropout, seed, own=own[at[some]]), strict=True):
+                    out[i] = x
+        ends = np.cumsum([0, *map(len, split)]).tolist()
+        return [np.frombuffer(b"".join(out[a:b]), np.uint16).astype(np.int32) for a, b in itertools.pairwise(ends)]
+
+    @staticmethod
+    def parts(items: list, sizes: list[int]) -> Iterator[list]:
+        """``items`` in runs of about ``BATCH_CHARS``."""
+        start = total = 0
+        for i, size in enumerate(sizes):
+            total += size
+            if total >= BATCH_CHARS or i + 1 == len(items):
+                yield items[start : i + 1]
+                start, total = i + 1, 0
+
+    def remember(self, words: list[str]) -> None:
+        """Keep the ids of ``words`` without dropout, and the hashed spans of the candidates on the way."""
+        for part in self.parts(words, list(map(len, words))):
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            ids = self.agenda(part, 0, 0.0, 0, seen)
+            owner, spans = (np.concatenate(x) for x in zip(*seen, strict=True))
+            order = np.argsort(owner, kind="stable")
+            flat, cut = spans[order].tobytes(), (np.cumsum(np.bincount(owner, minlength=len(part))) * 8).tolist()
+            self.known.update(zip(part, zip(ids, [flat[a:b] for a, b in itertools.pairwise([0, *cut])], strict=True), strict=True))
+
+    def agenda(self, words: list[str], variant: int | np.ndarray, dropout: float, seed: int, seen: list | None = None, own: np.ndarray | None = None) -> list[bytes]:
+        """Ids of each word, as 16-bit numbers. All words advance together, by one merge a round.
+
+        ``variant``: one for all words or one for each. ``seen`` takes the words and hashed spans of all candidates;
+        ``own``: the keys of the words, if they are known.
+        """
         lengths = np.array([len(w) for w in words], np.int64)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(chars)
         sym = self.char_at[chars]
         begin = np.cumsum(lengths) - lengths
         word = np.repeat(np.arange(len(words)), lengths)
-        own = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words], np.uint64)
-        with np.errstate(over="ignore"):
-            keys = mixed(own + np.uint64(variant + 1) * GOLD)
+        floor = floor_of(dropout)
+        if floor:
+            own = np.array([word_key(w, seed) for w in words], np.uint64) if own is None else own
+            keys = occurrence_keys(own, variant)
         place = np.arange(n, dtype=np.int64)
         done_at, done_sym = [], []
-        floor = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
         ends = np.empty(n, np.int64)  # where the symbol that begins here ends
         ends[:] = place + 1
         # candidates are kept beside the symbol on their left, and only those beside a merge are made anew
@@ -185,13 +224,16 @@ class PieceModel:
             i = i[ok]
             got = self.joined(sym[i], sym[i + 1])
             got[word[i] != word[i + 1]] = -1
-            if floor:
+            if floor or seen is not None:
                 live = np.flatnonzero(got >= 0)
                 at = i[live]
                 with np.errstate(over="ignore"):
                     span = (place[at] - begin[word[at]]).astype(np.uint64) << np.uint64(42) | (place[at + 1] - place[at]).astype(np.uint64) << np.uint64(21) | (ends[place[at + 1]] - place[at]).astype(np.uint64)
-                    skip = mixed(keys[word[at]] ^ mixed(span * GOLD)) < floor
-                got[live[skip]] = -1
+                    span = mixed(span * GOLD)
+                if seen is not None:
+                    seen.append((word[at], span))
+                if floor:
+                    got[live[mixed(keys[word[at]] ^ span) < floor]] = -1
             made[i] = got
             worth[i] = np.where(got >= 0, self.rank[got] << 32 | i, NONE)
 
