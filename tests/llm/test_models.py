@@ -190,6 +190,14 @@ def test_licences(spark):
     assert licences.scanned(frame.limit(0), F.col("path")).count() == 0
 
 
+def test_documents_without_paths_inherit_nothing(spark, tmp_path):
+    rows = [(1, "Released under the MIT License.", "en", "s"), (2, "plain prose", "en", "s"), (3, None, "en", "s"), (2, "plain prose", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries()["op6_licences"](spark, f"file://{tmp_path}")
+    assert got.columns == ["doc_id", "licence", "cosine", "source", "directory"]
+    assert sorted((r["doc_id"], r["licence"], r["source"], r["directory"]) for r in got.collect()) == [(1, "MIT", "own", None), (2, None, "none", None), (2, None, "none", None), (3, None, "none", None)]
+
+
 # personal data
 def test_personal_data(spark, docs, corpus, empty):
     texts = [t or "" for _, t in corpus] + ["a@b.c..d@e.f a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.4", "4111-1111-1111-1111 4111 1111 1111 1112 " + "1 2 " * 3000, "++1 23 456 78 90 ( +12345 tel 555-123-4567", "é" * 5 + "日本 a@b.cc 😀 q@r.ss", "@" * 2000 + "a" * 3000 + "@" + "b." * 2000 + "c", "1" * 4000]
