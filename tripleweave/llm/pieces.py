@@ -7,10 +7,13 @@ word is segmented by itself. Another seed gives other segmentations and
 the same seed always the same, on any executor and after any retry. Without dropout the result is that
 of the library.
 
-No piece of the vocabulary runs on from a letter into a word mark, so words are independent: all
-words of a batch go through the agenda together as arrays, one merge a word in each round. A worker
-remembers what comes out without dropout and which candidates come up on the way; an occurrence that skips
-none of them takes that, all others go through the agenda.
+No piece of the vocabulary runs on from a letter into a word mark, so words are independent. What an
+occurrence becomes depends on its word and on which of its candidates are skipped, so a worker keeps a tree
+for each word: a node knows the candidates that come up next and the ids if none of them is skipped; the
+candidates that are skipped lead to a child. Every occurrence draws for itself and walks down the tree; all
+occurrences of a batch advance together as arrays. Branches that are not in the tree go through the agenda:
+short words of a batch together, one merge a word in each round, words over ``LONG`` characters one by one by
+a heap, in n log n. The trees only save work and are dropped when they reach their bounds.
 
 A text's own word-mark character (U+2581) is written as bytes, so that decoding gives back every text
 exactly; the library would turn it into a blank.
@@ -22,6 +25,7 @@ an id get the same pieces; an empty table gives an empty one; other columns are
 from __future__ import annotations
 
 import functools
+import heapq
 import itertools
 import re
 from collections import Counter
@@ -36,11 +40,13 @@ from pyspark.sql import functions as F
 MARK = 0x2581
 NONE = np.int64(1 << 62)
 #: Characters that go through the agenda at a time.
-BATCH_CHARS = 1_000_000
-#: No bound: an occurrence has a 64-bit variant. So many small ones are compared with a plain agenda in the tests.
-VARIANTS = 4
-#: Words that a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 400_000
+BATCH_CHARS = 2_000_000
+#: Words of more characters have no tree, and of more than the second number a heap of their own.
+SHORT, LONG = 63, 400
+#: Candidates that a node may have, and bounds of a worker's trees: nodes, candidates and ids.
+MASKED, NODES, HELD = 52, 300_000, 3_000_000
+#: A branch is kept if a batch takes it so often, or if it has few skips in a word that a batch holds so often.
+BRANCH_TIMES, FEW_SKIPS, WORD_TIMES = 2, 2, 24
 #: A word with the blanks before it.
 WORDS = re.compile(" +[^ ]*|[^ ]+")
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -67,6 +73,81 @@ def occurrence_keys(words: np.ndarray, variant: int | np.ndarray) -> np.ndarray:
         return mixed(words + (np.asarray(variant, np.uint64) + np.uint64(1)) * GOLD)
 
 
+class Grown:
+    """A numpy array that grows."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.empty(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.empty(max(len(more), self.n) + 1024, self.held.dtype)])
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+class Trees:
+    """What words become, by the candidates that are skipped. Spans are packed as begin, middle, end of 6 bits each."""
+
+    def __init__(self):
+        self.roots: dict[str, int] = {}
+        self.branches: dict[int, int] = {}
+        self.words: list[str] = []
+        self.word, self.parent, self.mask = Grown(np.int32), Grown(np.int32), Grown(np.int64)
+        self.first, self.many, self.spans, self.draws = Grown(np.int64), Grown(np.int32), Grown(np.int32), Grown(np.uint64)
+        self.begin, self.size, self.ids = Grown(np.int64), Grown(np.int32), Grown(np.uint16)
+
+    def full(self) -> bool:
+        return self.word.n > NODES or self.spans.n > HELD or self.ids.n > HELD
+
+    def add(self, word, parent, mask, ids: list[bytes], owner: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """New nodes with their ids and candidates (``owner``: the node among these, sorted). Returns their numbers."""
+        n = len(ids)
+        at = np.arange(self.word.n, self.word.n + n)
+        many = np.bincount(owner, minlength=n)
+        size = np.array([len(x) // 2 for x in ids], np.int64)
+        self.first.add(self.spans.n + np.cumsum(many) - many)
+        self.begin.add(self.ids.n + np.cumsum(size) - size)
+        for column, more in ((self.word, word), (self.parent, parent), (self.mask, mask), (self.many, many), (self.size, size), (self.spans, spans)):
+            column.add(np.asarray(more))
+        self.draws.add(span_hash(spans >> 12, (spans >> 6 & 63) - (spans >> 12), (spans & 63) - (spans >> 12)))
+        self.ids.add(np.frombuffer(b"".join(ids), np.uint16))
+        return at
+
+    def drawn(self, node: int, mask: int) -> tuple[list[int], list[int]]:
+        """Spans drawn on the way to a branch, and those of them that were skipped."""
+        seen, skipped = [], []
+        while node >= 0:
+            at, n = int(self.first.held[node]), int(self.many.held[node])
+            own = self.spans.held[at : at + n].tolist()
+            seen += own
+            skipped += [s for k, s in enumerate(own) if mask >> k & 1]
+            node, mask = int(self.parent.held[node]), int(self.mask.held[node])
+        return seen, skipped
+
+
+def span_hash(begin: np.ndarray, left: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Hash of candidates that begin at ``begin``, with the lengths of the left symbol and of both."""
+    with np.errstate(over="ignore"):
+        return mixed((begin.astype(np.uint64) << np.uint64(42) | left.astype(np.uint64) << np.uint64(21) | both.astype(np.uint64)) * GOLD)
+
+
+def within(x: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``members``."""
+    if not len(members):
+        return np.zeros(len(x), bool)
+    return members[np.minimum(np.searchsorted(members, x), len(members) - 1)] == x
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of runs that begin at ``starts``."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 class PieceModel:
     """Vocabulary, merge table and byte pieces of a SentencePiece BPE model file."""
 
@@ -108,7 +189,12 @@ class PieceModel:
             slots[at], value[at] = k, v
         self.slots, self.value = slots, value
         assert size <= 1 << 16, "ids are kept as 16-bit numbers"
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.trees = Trees()
+        self.pair_of: dict[int, int] | None = None
+        texts = [np.frombuffer(t, np.uint8) for t in self.text_of]
+        self.text_size = np.array([len(t) for t in texts], np.int64)
+        self.text_at = np.cumsum(self.text_size) - self.text_size
+        self.text_bytes = np.concatenate(texts)
         self.rank = np.zeros(size, np.int64)
         for i, r in rank.items():
             self.rank[i] = r
@@ -135,44 +221,105 @@ class PieceModel:
 
     def encode(self, texts: list[str], owners: np.ndarray, dropout: float, seed: int) -> list[np.ndarray]:
         """Ids of each text. ``owners``: 64-bit keys of the documents, for the hash."""
+        flat, ends = self.encoded(texts, owners, dropout, seed)
+        return [flat[a:b] for a, b in itertools.pairwise(ends.tolist())]
+
+    def encoded(self, texts: list[str], owners: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text begins and the last one ends."""
         split = [WORDS.findall(" " + text) if text else [] for text in texts]
+        count = np.array(list(map(len, split)), np.int64)
         flat = list(itertools.chain.from_iterable(split))
         if not flat:
-            return [np.empty(0, np.int32) for _ in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        floor = floor_of(dropout)
-        # with dropout, words that come once are not worth remembering
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        if self.trees.full():
+            self.trees = Trees()
+        trees, floor = self.trees, floor_of(dropout)
         times = Counter(flat)
-        self.remember([w for w, n in times.items() if w not in self.known and (n > 1 or not floor)])
-        if not floor:
-            out = [self.known[w][0] for w in flat]
-        else:
-            with np.errstate(over="ignore"):
-                draws = np.concatenate([mixed(np.uint64(owner) + np.arange(len(words), dtype=np.uint64) * GOLD) for words, owner in zip(split, owners, strict=True)])
-            number = {w: i for i, w in enumerate(times)}
-            at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-            held = [self.known.get(w) for w in times]
-            spans = np.frombuffer(b"".join(h[1] for h in held if h), np.uint64)
-            sizes = np.array([len(h[1]) // 8 if h else 0 for h in held], np.int64)
-            starts = np.cumsum(sizes) - sizes
+        fresh = [w for w, n in times.items() if (n > 1 or not floor) and len(w) <= SHORT and w not in trees.roots]
+        for part in self.parts(fresh, list(map(len, fresh))):
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            ids = self.agenda(part, 0, 0.0, 0, seen)
+            owner, spans = self.sorted_spans(seen)
+            names = range(len(trees.words), len(trees.words) + len(part))
+            trees.words += part
+            trees.roots.update(zip(part, trees.add(names, [-1] * len(part), [0] * len(part), ids, owner, spans).tolist(), strict=True))
+        number = {w: i for i, w in enumerate(times)}
+        at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+        node = np.fromiter((trees.roots.get(w, -1) for w in times), np.int64, len(times))[at]
+        direct = node < 0
+        if floor:
             own = np.array([word_key(w, seed) for w in times], np.uint64)
-            anew = np.array([h is None for h in held])[at]
-            for a in range(0, len(flat), BATCH_CHARS // 8):
-                some = at[a : a + BATCH_CHARS // 8]
-                many = sizes[some]
-                which = np.repeat(np.arange(len(some)), many)
-                inside = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-                keys = occurrence_keys(own[some], draws[a : a + len(some)])
-                skips = mixed(keys[which] ^ spans[starts[some][which] + inside]) < floor
-                anew[a + which[skips]] = True
-            out = [h and h[0] for h in map(held.__getitem__, at.tolist())]
-            missing = np.flatnonzero(anew).tolist()
-            for some in self.parts(missing, [len(flat[i]) for i in missing]):
-                for i, x in zip(some, self.agenda([flat[i] for i in some], draws[some], dropout, seed, own=own[at[some]]), strict=True):
-                    out[i] = x
-        ends = np.cumsum([0, *map(len, split)]).tolist()
-        return [np.frombuffer(b"".join(out[a:b]), np.uint16).astype(np.int32) for a, b in itertools.pairwise(ends)]
+            with np.errstate(over="ignore"):
+                inside = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+                draws = mixed(np.repeat(owners.astype(np.uint64), count) + inside.astype(np.uint64) * GOLD)
+            keys, often = occurrence_keys(own[at], draws), np.fromiter(times.values(), np.int64, len(times)) >= WORD_TIMES
+            todo = np.flatnonzero(~direct)
+            while len(todo):
+                masks, wide = self.skipped(node[todo], keys[todo], floor)
+                direct[todo[wide]] = True
+                more = (masks > 0) & ~wide
+                todo, masks = todo[more], masks[more]
+                found = self.children(node[todo], masks, often[at[todo]])
+                direct[todo[found < 0]] = True
+                node[todo[found >= 0]] = found[found >= 0]
+                todo = todo[found >= 0]
+        anew = np.flatnonzero(direct)
+        made: list[bytes] = []
+        lengths = [len(flat[i]) for i in anew.tolist()]
+        for some in self.parts(anew.tolist(), lengths):
+            made += self.agenda([flat[i] for i in some], draws[some] if floor else 0, dropout, seed, own=own[at[some]] if floor else None)
+        held = np.concatenate([trees.ids.all, np.frombuffer(b"".join(made), np.uint16)])
+        size, begin = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        size[~direct], begin[~direct] = trees.size.held[node[~direct]], trees.begin.held[node[~direct]]
+        size[anew] = [len(x) // 2 for x in made]
+        begin[anew] = trees.ids.n + np.cumsum(size[anew]) - size[anew]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
+        return held[spread(begin, size)].astype(np.int32), ends
+
+    def skipped(self, node: np.ndarray, keys: np.ndarray, floor: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates of each occurrence's node that it skips, as bits; and nodes with too many candidates."""
+        trees, step = self.trees, BATCH_CHARS // 8
+        masks, wide = np.zeros(len(node), np.int64), trees.many.held[node] > MASKED
+        for a in range(0, len(node), step):
+            first, many = trees.first.held[node[a : a + step]], np.where(wide[a : a + step], 0, trees.many.held[node[a : a + step]])
+            which = np.repeat(np.arange(len(first)), many)
+            hit = np.flatnonzero(mixed(keys[a : a + step][which] ^ trees.draws.held[spread(first, many)]) < floor)
+            bit = hit - (np.cumsum(many) - many)[which[hit]]
+            masks[a : a + step] = np.bincount(which[hit], weights=np.ldexp(1.0, bit.astype(np.int32)), minlength=len(first)).astype(np.int64)
+        return masks, wide
+
+    def children(self, node: np.ndarray, masks: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """The child that each occurrence's skips lead to, or -1; new ones are made if they are worth it."""
+        trees = self.trees
+        with np.errstate(over="ignore"):
+            names = mixed(node.astype(np.uint64) * GOLD ^ mixed(masks.astype(np.uint64) + GOLD))
+        _, first, which, times = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+        found = np.fromiter((trees.branches.get(k, -1) for k in names[first].tolist()), np.int64, len(first))
+        few = np.zeros(len(first), np.int64)
+        left = masks[first].copy()
+        for _ in range(FEW_SKIPS + 1):
+            few += left > 0
+            left &= left - 1
+        new = np.flatnonzero((found < 0) & ((times >= BRANCH_TIMES) | (often[first] & (few <= FEW_SKIPS))))
+        for part in self.parts(new.tolist(), [12] * len(new)):
+            own, mask = node[first[part]], masks[first[part]]
+            ways = [trees.drawn(n, m) for n, m in zip(own.tolist(), mask.tolist(), strict=True)]
+            drawn, skips = (np.sort(np.array([i << 18 | s for i, way in enumerate(ways) for s in way[k]], np.int64)) for k in (0, 1))
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            ids = self.agenda([trees.words[w] for w in trees.word.held[own]], 0, 0.0, 0, seen, skips=skips)
+            owner, spans = self.sorted_spans(seen)
+            open_ = ~within(owner << 18 | spans, drawn)
+            found[part] = trees.add(trees.word.held[own], own, mask, ids, owner[open_], spans[open_])
+            trees.branches.update(zip(names[first[part]].tolist(), found[part].tolist(), strict=True))
+        # a name is a hash: whatever does not truly belong to its node and skips goes through the agenda
+        child = found[which]
+        true = (child >= 0) & (trees.parent.held[child] == node) & (trees.mask.held[child] == masks)
+        return np.where(true, child, -1)
+
+    @staticmethod
+    def sorted_spans(seen: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        packed = np.unique(np.concatenate([owner << 18 | spans for owner, spans in seen]))
+        return packed >> 18, packed & (1 << 18) - 1
 
     @staticmethod
     def parts(items: list, sizes: list[int]) -> Iterator[list]:
@@ -184,22 +331,24 @@ class PieceModel:
                 yield items[start : i + 1]
                 start, total = i + 1, 0
 
-    def remember(self, words: list[str]) -> None:
-        """Keep the ids of ``words`` without dropout, and the hashed spans of the candidates on the way."""
-        for part in self.parts(words, list(map(len, words))):
-            seen: list[tuple[np.ndarray, np.ndarray]] = []
-            ids = self.agenda(part, 0, 0.0, 0, seen)
-            owner, spans = (np.concatenate(x) for x in zip(*seen, strict=True))
-            order = np.argsort(owner, kind="stable")
-            flat, cut = spans[order].tobytes(), (np.cumsum(np.bincount(owner, minlength=len(part))) * 8).tolist()
-            self.known.update(zip(part, zip(ids, [flat[a:b] for a, b in itertools.pairwise([0, *cut])], strict=True), strict=True))
-
-    def agenda(self, words: list[str], variant: int | np.ndarray, dropout: float, seed: int, seen: list | None = None, own: np.ndarray | None = None) -> list[bytes]:
+    def agenda(self, words: list[str], variant: int | np.ndarray, dropout: float, seed: int, seen: list | None = None, own: np.ndarray | None = None, skips: np.ndarray | None = None) -> list[bytes]:
         """Ids of each word, as 16-bit numbers. All words advance together, by one merge a round.
 
-        ``variant``: one for all words or one for each. ``seen`` takes the words and hashed spans of all candidates;
-        ``own``: the keys of the words, if they are known.
+        ``variant``: one for all words or one for each; ``own``: the keys of the words, if they are known.
+        ``seen`` takes the words and packed spans of all candidates (words up to ``SHORT`` only). ``skips``: sorted
+        packed spans that are skipped, with the number of the word above them.
         """
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            variants = np.broadcast_to(np.asarray(variant, np.uint64), len(words))
+            rest = [i for i, w in enumerate(words) if len(w) <= LONG]
+            out: list[bytes] = [b""] * len(words)
+            if rest:
+                for i, x in zip(rest, self.agenda([words[i] for i in rest], variants[rest], dropout, seed, own=None if own is None else own[rest]), strict=True):
+                    out[i] = x
+            for i in long:
+                out[i] = self.heaped(words[i], variants[i], dropout, seed)
+            return out
         lengths = np.array([len(w) for w in words], np.int64)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(chars)
@@ -227,13 +376,14 @@ class PieceModel:
             if floor or seen is not None:
                 live = np.flatnonzero(got >= 0)
                 at = i[live]
-                with np.errstate(over="ignore"):
-                    span = (place[at] - begin[word[at]]).astype(np.uint64) << np.uint64(42) | (place[at + 1] - place[at]).astype(np.uint64) << np.uint64(21) | (ends[place[at + 1]] - place[at]).astype(np.uint64)
-                    span = mixed(span * GOLD)
+                start, middle, end = place[at] - begin[word[at]], place[at + 1] - begin[word[at]], ends[place[at + 1]] - begin[word[at]]
                 if seen is not None:
-                    seen.append((word[at], span))
+                    spans = start << 12 | middle << 6 | end
+                    seen.append((word[at], spans))
+                    if skips is not None:
+                        got[live[within(word[at] << 18 | spans, skips)]] = -1
                 if floor:
-                    got[live[mixed(keys[word[at]] ^ span) < floor]] = -1
+                    got[live[mixed(keys[word[at]] ^ span_hash(start, middle - start, end - start)) < floor]] = -1
             made[i] = got
             worth[i] = np.where(got >= 0, self.rank[got] << 32 | i, NONE)
 
@@ -271,7 +421,13 @@ class PieceModel:
                 weigh(np.flatnonzero(touched))
         at, ids = np.concatenate(done_at), np.concatenate(done_sym)
         order = np.argsort(at, kind="stable")
-        at, ids = at[order], ids[order]
+        at, ids = self.spelled(at[order], ids[order], chars)
+        cut = np.searchsorted(at, np.cumsum(lengths))
+        flat, cut = ids.astype(np.uint16).tobytes(), (cut * 2).tolist()
+        return [flat[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+
+    def spelled(self, at: np.ndarray, ids: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and ids with the bytes of characters that have no piece."""
         strange = np.flatnonzero(ids < 0)
         if len(strange):
             raw = [list(chr(c).encode("utf-8", "surrogatepass")) for c in chars[at[strange]]]
@@ -279,14 +435,81 @@ class PieceModel:
             width[strange] = [len(r) for r in raw]
             at, ids = np.repeat(at, width), np.repeat(ids, width)
             ids[ids < 0] = self.bytes_at[np.concatenate([np.array(r, np.int64) for r in raw])]
-        cut = np.searchsorted(at, np.cumsum(lengths))
-        flat, cut = ids.astype(np.uint16).tobytes(), (cut * 2).tolist()
-        return [flat[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+        return at, ids
+
+    def heaped(self, word: str, variant: int, dropout: float, seed: int) -> bytes:
+        """Ids of one long word, by a heap of candidates over a linked list of symbols."""
+        if self.pair_of is None:
+            full = np.flatnonzero(self.slots >= 0)
+            self.pair_of = dict(zip(self.slots[full].tolist(), self.value[full].tolist(), strict=True))
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, floor, rank, pair_of = len(chars), int(floor_of(dropout)), self.rank.tolist(), self.pair_of.get
+        sym = self.char_at[chars]
+        key = occurrence_keys(np.array([word_key(word, seed)], np.uint64), variant)[0]
+        got = self.joined(sym[:-1], sym[1:])
+        if floor:
+            place = np.arange(n - 1)
+            got[mixed(key ^ span_hash(place, np.full(n - 1, 1), np.full(n - 1, 2))) < floor_of(dropout)] = -1
+        live = np.flatnonzero(got >= 0)
+        # (rank, begin, end) in one number: a symbol is named by where it begins, a candidate dies with either
+        heap = (self.rank[got[live]] << 48 | live << 24 | live + 2).tolist() if n < 1 << 24 else [(int(self.rank[got[i]]) << 96) | int(i) << 48 | int(i) + 2 for i in live]
+        width = 24 if n < 1 << 24 else 48
+        low = (1 << width) - 1
+        heapq.heapify(heap)
+        made, sym = dict(zip(live.tolist(), got[live].tolist(), strict=True)), sym.tolist()
+        end, back = list(range(1, n + 1)), list(range(-1, n - 1))
+        key, m64 = int(key), (1 << 64) - 1
+
+        def weigh(a: int) -> None:
+            m = end[a]
+            if m >= n:
+                made.pop(a, None)
+                return
+            x, y = sym[a], sym[m]
+            piece = pair_of(x << 16 | y, -1) if x >= 0 and y >= 0 else -1
+            if piece >= 0 and floor:
+                # the scalar twin of mixed(key ^ span_hash(...))
+                h = ((a << 42 | (m - a) << 21 | (end[m] - a)) * 0x9E3779B97F4A7C15) & m64
+                for _ in range(2):
+                    h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & m64
+                    h = ((h ^ h >> 27) * 0x94D049BB133111EB) & m64
+                    h ^= h >> 31
+                    h ^= key
+                if h ^ key < floor:
+                    piece = -1
+            if piece >= 0:
+                made[a] = piece
+                heapq.heappush(heap, rank[piece] << 2 * width | a << width | end[m])
+            else:
+                made.pop(a, None)
+
+        while heap:
+            top = heapq.heappop(heap)
+            a, b = top >> width & low, top & low
+            m = end[a]
+            # stale: a symbol has gone, or either has grown
+            if sym[a] is None or m >= n or end[m] != b or a not in made or rank[made[a]] != top >> 2 * width:
+                continue
+            sym[a], sym[m], end[a] = made[a], None, b
+            if b < n:
+                back[b] = a
+            weigh(a)
+            if a:
+                weigh(back[a])
+        at = np.array([i for i, s in enumerate(sym) if s is not None], np.int64)
+        return self.spelled(at, np.array([sym[i] for i in at.tolist()], np.int32), chars)[1].astype(np.uint16).tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ``ids`` stand for, without the blank that encoding puts in front."""
         return b"".join(map(self.text_of.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
+    def decoded(self, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """UTF-8 of each text that ``flat`` holds the ids of."""
+        size = self.text_size[flat]
+        out = self.text_bytes[spread(self.text_at[flat], size)].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(size)])[ends].tolist()
+        return [out[a + 1 : b] for a, b in itertools.pairwise(cuts)]
+
 
 @functools.lru_cache(maxsize=2)
 def model(path: str) -> PieceModel:
@@ -312,10 +535,9 @@ def encoded(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, id_
                 part = batch.slice(at, size)
                 texts = [t or "" for t in part.column(text_at).to_pylist()]
                 owners = np.array([owner_key(i, t) for i, t in zip(part.column(id_at).to_pylist(), texts, strict=True)], np.uint64)
-                ids = coder.encode(texts, owners, dropout, seed)
-                same = [coder.decode(x) == t for x, t in zip(ids, texts, strict=True)]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+                flat, ends = coder.encoded(texts, owners, dropout, seed)
+                same = [x == t.encode("utf-8", "surrogatepass") for x, t in zip(coder.decoded(flat, ends), texts, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(same, pa.bool_())], names=[*kept, "pieces", "lossless"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
