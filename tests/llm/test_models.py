@@ -137,6 +137,43 @@ def test_mixing_meets_targets(labelled):
     assert even["posteriors"] == {"high": 0.5, "low": 0.5}
 
 
+def brute_rates(tokens, member, want, rounds=50_000):
+    """Nonnegative least squares by plain projected gradient with momentum-free small steps."""
+    a = tokens[None, :] * member.T
+    r = np.ones(len(tokens))
+    step = 1 / np.linalg.eigvalsh(a @ a.T)[-1]
+    for _ in range(rounds):
+        new = np.maximum(0, r - step * (a.T @ (a @ r - want)))
+        if np.abs(new - r).max() < 1e-12:
+            break
+        r = new
+    return float(np.linalg.norm(a @ r - want) / want.sum())
+
+
+@pytest.mark.parametrize("targets", [{"a": 1, "b": 1, "c": 1}, {"a": 1.0}, {"a": 0.9, "c": 0.1}, {"b": 5, "c": 1}])
+def test_rates_are_least_squares(spark, targets):
+    rng = np.random.default_rng(6)
+    tokens, member = rng.integers(0, 60, 90).astype(float), rng.dirichlet([0.5, 0.5, 0.5], 90)
+    member[0] = [1, 0, 0]
+    table = spark.createDataFrame([(float(t), m.tolist()) for t, m in zip(tokens, member, strict=True)], f"{mixing.TOKENS} double, {mixing.MEMBER} array<double>")
+    fit = mixing.fitted(table, ["a", "b", "c"], targets)
+    weight = np.array([targets.get(n, 0.0) for n in "abc"], float)
+    want = weight / weight.sum() * (tokens[:, None] * member).sum()
+    rates = np.array([r[0] for r in table.select(mixing._rate(fit.steps)).collect()])
+    assert (rates >= 0).all() and np.allclose((rates * tokens) @ member, fit.after) and np.allclose(fit.wanted, want)
+    # one pure row would have to take all: that is left unfinished after ``ROUNDS``, and the residual says so
+    assert abs(fit.residual - brute_rates(tokens, member, want)) < (0.1 if targets == {"a": 1.0} else 2e-3)
+    assert np.linalg.norm(np.subtract(fit.after, want)) < np.linalg.norm(np.subtract(fit.before, want))
+
+
+def test_mixing_of_odd_rows(spark, docs, corpus, empty):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60)], "doc_id long, quality int, toxic int")
+    got = mixing.mixed_rates(docs, labels, mixing.quality_domain(), mixing.TARGETS).collect()
+    assert sorted((repr((r["doc_id"], r["tokens"])) for r in got)) == sorted(repr((i, len(re.findall(r"[^ \t\n\x0b\f\r]+", t or "")))) for i, t in corpus)
+    assert all(abs(sum(r["posteriors"].values()) - 1) < 1e-9 for r in got) and got[0]["key"] == 1
+    assert mixing.mixed_rates(empty, labels, mixing.quality_domain(), mixing.TARGETS).count() == 0
+
+
 # licences
 def brute_licences(rows):
     texts = [(i, p or "", t or "") for i, p, t in rows]

@@ -1,23 +1,26 @@
 """Mixing to target weights with soft domain membership, in DataFrame operations only.
 
-A softmax classifier is fitted on labelled rows over text statistics and gives every document posteriors
-over the domains. Document rates r >= 0 are then fitted so that the expected tokens of each domain, the
-sum of r * tokens * posterior, match the targets: projected-gradient least squares from r = 1. Each round
-sums the domains' tokens over all documents, takes the gradient step in the metric of the domains' overlap
-(one small matrix), and projects at zero. A rate depends on a document's posteriors and the rounds' steps
-alone, so no table of rates is carried from round to round and no shuffle moves a text.
+A softmax classifier is fitted on labelled rows over the hashed words of a text and some statistics of it, and
+gives every document posteriors over the domains. Document rates r >= 0 are then fitted so that the expected
+tokens of each domain, the sum of r * tokens * posterior, match the targets: projected-gradient least squares
+from r = 1. Each round tries a few steps at once, in the metric of the domains' overlap (one small matrix) and
+along the plain gradient, sums the domains' tokens for each over all documents, and keeps the step that leaves
+least; it ends when none gets closer. A rate depends on a document's posteriors and the steps alone, so no table
+of rates is carried from round to round and no shuffle moves a text. Texts are parsed once: tokens, posteriors
+and the columns that are asked for are written, and the rounds and the result read that table.
 
 Training takes at most ``rows`` labelled rows, evenly over the domains; weights restore their shares. The
-statistics, sums and rates cover every document.
+statistics, sums and rates cover every document. Tokens are words between white space.
 
 Defined results: a null text counts as empty, without tokens; null labels are not trained on; without
 labelled rows posteriors are even; a target domain without labelled rows is left out and the others scaled;
-rows that repeat are rated each; an empty table gives an empty one; other columns are passed through.
+rows that repeat are rated each; an empty table gives an empty one; other columns are passed through, but
+columns by the names of the four added ones are replaced.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,45 +29,83 @@ from pyspark.sql import functions as F
 from tripleweave.llm.shared import written
 
 TRAIN_ROWS, ROUNDS, CLOSE = 4000, 40, 1e-6
-SYMBOLS = "#$%&*"
+#: Hash buckets of words.
+BUCKETS = 1024
+STATISTICS = ("size", "symbols", "bars", "bangs", "stops", "commas", "breaks", "long", "distinct", "caps")
+ADDED = ("tokens", "posteriors", "rate", "copies")
+TEXT, WORDS, TOKENS, MEMBER, DRAW = "__mix_text", "__mix_words", "__mix_tokens", "__mix_member", "__mix_draw"
 
 
 def _count(text: Column, mark: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))).cast("double")
 
 
-def _statistics(docs: DataFrame, text_col: str) -> tuple[DataFrame, list[str]]:
-    """``docs`` with ``__tokens`` (words) and the classifier's features."""
-    docs = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    docs = docs.withColumn("__words", F.filter(F.split("__text", r"\s+", -1), lambda w: w != ""))
-    n, words = F.greatest(F.length("__text"), F.lit(1)).cast("double"), F.greatest(F.size("__words"), F.lit(1)).cast("double")
-    symbols = sum((_count(F.col("__text"), s) for s in SYMBOLS), F.lit(0.0))
-    found = {
-        "__size": F.log1p(n),
-        "__symbols": symbols / words,
-        "__bars": _count(F.col("__text"), "|") / words,
-        "__bangs": _count(F.col("__text"), "!") / words,
-        "__stops": _count(F.col("__text"), ".") / words,
-        "__commas": _count(F.col("__text"), ",") / words,
-        "__breaks": _count(F.col("__text"), "\n") / words,
-        "__long": n / words,
-        "__distinct": F.size(F.array_distinct("__words")) / words,
-        "__caps": F.regexp_count("__text", F.lit(r"\p{Lu}{2,}")) / words,
-    }
-    return docs.withColumns(found | {"__tokens": F.size("__words").cast("double")}).drop("__text", "__words"), list(found)
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def _sum_over_words(weights: list[float]) -> Column:
+    """The sum of the weights of all words' buckets. The weights are one constant of the plan."""
+    of_bucket = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    return F.aggregate(WORDS, F.lit(0.0), lambda total, w: total + F.get(of_bucket, _bucket(w)))
+
+
+def _parsed(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the text, its words and their number."""
+    docs = docs.withColumn(TEXT, F.trim(F.coalesce(F.col(text_col), F.lit(""))))
+    docs = docs.withColumn(WORDS, F.split(TEXT, r"\s+", -1))
+    # only the first and the last piece can be empty
+    blank = [(F.element_at(WORDS, i) == "").cast("int") for i in (1, -1)]
+    return docs.withColumn(TOKENS, F.greatest(F.lit(0), F.size(WORDS) - blank[0] - blank[1]).cast("double"))
+
+
+def _statistics(docs: DataFrame) -> DataFrame:
+    """Parsed ``docs`` with the statistics as columns."""
+    text, n, words = F.col(TEXT), F.greatest(F.length(TEXT), F.lit(1)).cast("double"), F.greatest(F.col(TOKENS), F.lit(1.0))
+    found = (
+        F.log1p(n),
+        F.regexp_count(text, F.lit("[#$%&*]")) / words,
+        _count(text, "|") / words,
+        _count(text, "!") / words,
+        _count(text, ".") / words,
+        _count(text, ",") / words,
+        _count(text, "\n") / words,
+        n / words,
+        F.size(F.array_distinct(WORDS)) / words,
+        F.regexp_count(text, F.lit(r"\p{Lu}{2,}")) / words,
+    )
+    return docs.withColumns({f"__mix_{name}": c for name, c in zip(STATISTICS, found, strict=True)})
 
 
 @dataclass
 class Domains:
-    """Softmax weights, one row a domain: bias first, then a weight for each statistic."""
+    """Softmax weights, one row a domain: bias, a weight for each statistic, a weight for each bucket's share of the words."""
 
     names: list[str]
-    weights: list[list[float]]
-
-    def posteriors(self, statistics: list[str]) -> Column:
-        scores = F.array(*(sum((F.lit(w) * F.col(c) for w, c in zip(row[1:], statistics, strict=True)), F.lit(row[0])) for row in self.weights))
-        lifted = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-        return F.transform(lifted, lambda e: e / F.aggregate(lifted, F.lit(0.0), lambda a, b: a + b))
+    bias: list[float] = field(default_factory=list)
+    statistics: list[list[float]] = field(default_factory=list)
+    buckets: list[list[float]] = field(default_factory=list)
+
+    def member(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with ``MEMBER``, the posteriors in the order of ``names``; texts are gone over once."""
+        if not self.bias:
+            return docs.withColumn(MEMBER, F.array(*[F.lit(1.0 / len(self.names))] * len(self.names)))
+        docs = _statistics(docs)
+        scores = []
+        for k in range(len(self.names) - 1):  # against the last domain
+            heard = _sum_over_words([a - b for a, b in zip(self.buckets[k], self.buckets[-1], strict=True)])
+            score = F.lit(self.bias[k] - self.bias[-1]) + heard / F.greatest(F.col(TOKENS), F.lit(1.0))
+            for name, a, b in zip(STATISTICS, self.statistics[k], self.statistics[-1], strict=True):
+                score = score + F.lit(a - b) * F.col(f"__mix_{name}")
+            scores.append(score)
+        # each step is a projection of its own: what is used twice is computed once
+        names = [f"__mix_score_{k}" for k in range(len(scores))]
+        docs = docs.withColumns(dict(zip(names, scores, strict=True)))
+        docs = docs.withColumn("__mix_top", F.greatest(*names, F.lit(0.0)))
+        lifted = [f"__mix_lifted_{k}" for k in range(len(scores) + 1)]
+        docs = docs.withColumns({e: F.exp((F.col(names[k]) if k < len(names) else F.lit(0.0)) - F.col("__mix_top")) for k, e in enumerate(lifted)})
+        total = sum((F.col(e) for e in lifted), F.lit(0.0))
+        return docs.withColumn(MEMBER, F.array(*(F.col(e) / total for e in lifted)))
 
 
 def classifier(docs: DataFrame, labels: DataFrame, domain: Column, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Domains:
@@ -79,30 +120,57 @@ def classifier(docs: DataFrame, labels: DataFrame, domain: Column, rows: int = T
         chosen += [(r["__id"], name, held / len(take)) for r in take]
     names = [g for g, _ in groups]
     if len(names) < 2:
-        return Domains(names, [[0.0] * 11 for _ in names])
+        return Domains(names)
     sample = spark.createDataFrame(chosen, f"__id {dict(marked.dtypes)['__id']}, __domain string, __weight double")
-    held, statistics = _statistics(docs.select(F.col(id_col).alias("__id"), F.col(text_col)).join(F.broadcast(sample), "__id"), text_col)
-    got = held.select("__id", "__domain", "__weight", *statistics).collect()  # bounded by ``rows``
-    got.sort(key=lambda r: (r["__id"], *(r[c] for c in statistics)))
+    # the sample is bounded by ``rows``; an id that repeats takes part with its smallest text
+    held = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(sample), "__id")
+    held = held.groupBy("__id", "__domain", "__weight").agg(F.min("__t").alias("__t"))
+    held = written(_parsed(held, "__t"), "labelled")
+    got = sorted(_statistics(held).select("__id", "__domain", "__weight", TOKENS, *(f"__mix_{n}" for n in STATISTICS)).collect())
     if not got:
-        return Domains(names, [[0.0] * 11 for _ in names])
-    x = np.array([[r[c] for c in statistics] for r in got], float)
+        return Domains(names)
+    heard = held.select("__id", F.explode(WORDS).alias("w")).groupBy("__id", _bucket(F.col("w")).alias("b")).count().toPandas()
+    at = {r["__id"]: i for i, r in enumerate(got)}
+    x = np.array([[r[f"__mix_{n}"] for n in STATISTICS] for r in got], float)
+    of_words = np.zeros((len(got), BUCKETS))
+    of_words[heard["__id"].map(at).to_numpy(), heard["b"].to_numpy()] = heard["count"].to_numpy()
+    of_words /= np.maximum(1.0, np.array([r[TOKENS] for r in got]))[:, None]
     y = np.array([[r["__domain"] == n for n in names] for r in got], float)
     w = np.array([r["__weight"] for r in got])
     w /= w.sum()
     mean, spread = x.mean(0), x.std(0) + 1e-9
-    z = np.hstack([np.ones((len(x), 1)), np.clip((x - mean) / spread, -1e6, 1e6)])
-    theta = np.zeros((len(names), z.shape[1]))
-    look, rate = theta, 2.0 / float((w * (z * z).sum(1)).sum())
-    for k in range(600):
-        s = z @ look.T
-        p = np.exp(s - s.max(1, keepdims=True))
+    # all buckets have one scale, such that together they weigh as much as the statistics do
+    middle = of_words.mean(0)
+    scale = np.sqrt(((of_words - middle) ** 2).sum(1).mean() / len(STATISTICS)) + 1e-9
+    z = np.hstack([np.ones((len(x), 1)), np.clip((x - mean) / spread, -1e6, 1e6), (of_words - middle) / scale]).astype(np.float32)
+    theta = np.zeros((len(names), z.shape[1]), np.float32)
+    look, rate = theta, 2.0 / float((w * np.square(z).sum(1)).sum())
+    for k in range(400):
+        score = z @ look.T
+        p = np.exp(score - score.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        new = look - rate * (((p - y) * w[:, None]).T @ z + 1e-5 * look)
-        look, theta = new + k / (k + 3) * (new - theta), new
-    raw = theta[:, 1:] / spread
-    bias = theta[:, 0] - raw @ mean
-    return Domains(names, [[float(b), *map(float, r)] for b, r in zip(bias, raw, strict=True)])
+        new = look - np.float32(rate) * ((((p - y) * w[:, None]).T.astype(np.float32) @ z) + np.float32(1e-5) * look)
+        look, theta = new + np.float32(k / (k + 3)) * (new - theta), new
+    theta = theta.astype(float)
+    cut = 1 + len(STATISTICS)
+    of_statistics, of_buckets = theta[:, 1:cut] / spread, theta[:, cut:] / scale
+    bias = theta[:, 0] - of_statistics @ mean - of_buckets @ middle
+    return Domains(names, bias.tolist(), of_statistics.tolist(), of_buckets.tolist())
+
+
+@dataclass
+class Fit:
+    """Steps of the projected gradient, the domains' expected tokens before and after them, and what was wanted."""
+
+    steps: list[list[float]]
+    before: list[float]
+    after: list[float]
+    wanted: list[float]
+
+    @property
+    def residual(self) -> float:
+        """Distance from the targets, as a share of all wanted tokens."""
+        return float(np.linalg.norm(np.subtract(self.after, self.wanted)) / max(1e-300, sum(self.wanted))) if self.wanted else 0.0
 
 
 def _rate(steps: list[list[float]]) -> Column:
@@ -112,57 +180,72 @@ def _rate(steps: list[list[float]]) -> Column:
     history = F.array(*(F.array(*map(F.lit, s)) for s in steps))
 
     def step(r: Column, y: Column) -> Column:
-        moved = F.aggregate(F.zip_with(F.col("__p"), y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        moved = F.aggregate(F.zip_with(F.col(MEMBER), y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         return F.greatest(F.lit(0.0), r - moved)
 
     return F.aggregate(history, F.lit(1.0), step)
 
 
-def fitted_steps(table: DataFrame, names: list[str], targets: dict[str, float], anchor: str | None = None) -> list[list[float]]:
-    """Steps of the projected gradient for ``table(__tokens, __p)``.
+def fitted(table: DataFrame, names: list[str], targets: dict[str, float], anchor: str | None = None) -> Fit:
+    """Fit rates for ``table`` with ``TOKENS`` and ``MEMBER``.
 
     ``targets``: domain to weight. The total of tokens stays, or is such that domain ``anchor`` keeps its own.
     """
     d = len(names)
     weight = np.array([max(0.0, float(targets.get(n, 0.0))) for n in names])
     if not d or not weight.sum():
-        return []
+        return Fit([], [], [], [])
     weight /= weight.sum()
-    steps: list[list[float]] = []
-    want = None
-    for _ in range(ROUNDS):
-        rated = table.select("__tokens", "__p", _rate(steps).alias("__r"))
-        mass = [F.sum(F.col("__r") * F.col("__tokens") * F.col("__p")[i]) for i in range(d)]
-        over = [F.sum(F.when(F.col("__r") > 0, F.col("__tokens") * F.col("__p")[i] * F.col("__p")[j]).otherwise(0.0)) for i in range(d) for j in range(d)]
-        sums = [x or 0.0 for x in rated.agg(*(c.alias(f"c{i}") for i, c in enumerate(mass + over))).first()]
-        now, overlap = np.array(sums[:d]), np.array(sums[d:]).reshape(d, d)
-        if want is None:
-            total = now[names.index(anchor)] / weight[names.index(anchor)] if anchor in names and weight[names.index(anchor)] else now.sum()
-            want = weight * total
-        if not now.sum() or np.abs(now - want).max() <= CLOSE * want.sum():
+
+    def sums(trials: list[list[list[float]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Expected tokens and overlap of the domains after each trial, in one pass."""
+        rated = table.select(TOKENS, MEMBER, *(_rate(t).alias(f"r{k}") for k, t in enumerate(trials)))
+        member = F.col(MEMBER)
+        wanted = []
+        for k in range(len(trials)):
+            wanted += [F.sum(F.col(f"r{k}") * F.col(TOKENS) * member[i]) for i in range(d)]
+            wanted += [F.sum(F.when(F.col(f"r{k}") > 0, F.col(TOKENS) * member[i] * member[j]).otherwise(0.0)) for i in range(d) for j in range(d)]
+        got = np.array([x or 0.0 for x in rated.agg(*(c.alias(f"c{i}") for i, c in enumerate(wanted))).first()]).reshape(len(trials), d + d * d)
+        return [(row[:d], row[d:].reshape(d, d)) for row in got]
+
+    now, overlap = sums([[]])[0]
+    first, everywhere = now, overlap
+    total = now[names.index(anchor)] / weight[names.index(anchor)] if anchor in names and weight[names.index(anchor)] else now.sum()
+    want, steps = weight * total, []
+    # along the plain gradient no step of this length overshoots
+    short = 1.0 / max(1e-300, float(np.linalg.eigvalsh(everywhere)[-1]))
+    for _ in range(ROUNDS if now.sum() else 0):
+        if np.abs(now - want).max() <= CLOSE * want.sum():
+            break
+        metric = np.linalg.solve(overlap + np.eye(d) * 1e-9 * (1 + np.trace(overlap)), now - want)
+        tried = [(metric * s).tolist() for s in (1.0, 0.5, 0.25)] + [((now - want) * short * s).tolist() for s in (4.0, 1.0)]
+        found = sums([[*steps, t] for t in tried])
+        left = [float(np.linalg.norm(m - want)) for m, _ in found]
+        best = int(np.argmin(left))
+        if left[best] >= (1 - 1e-9) * float(np.linalg.norm(now - want)):
             break
-        steps.append([float(v) for v in np.linalg.solve(overlap + np.eye(d) * 1e-9 * (1 + np.trace(overlap)), now - want)])
-    return steps
+        steps.append(tried[best])
+        now, overlap = found[best]
+    return Fit(steps, first.tolist(), now.tolist(), want.tolist())
 
 
-def mixed_rates(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], anchor: str | None = None, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed_rates(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], anchor: str | None = None, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``tokens``, ``posteriors`` (by domain name), ``rate`` and ``copies``.
 
     ``copies`` is the rate rounded up or down by a hash keyed by seed, id and text, so that it is met on average.
+    ``keep``: the columns of ``docs`` to pass on, all if not given.
     """
-    added = ("tokens", "posteriors", "rate", "copies")
-    docs = docs.drop(*added)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     model = classifier(docs, labels, domain, id_col=id_col, text_col=text_col)
-    names = model.names or sorted(targets)
-    found, statistics = _statistics(docs, text_col)
-    p = model.posteriors(statistics) if model.names else F.array(*[F.lit(1.0 / len(names))] * len(names))
-    found = found.withColumn("__p", p).drop(*statistics)
-    table = written(found.select("__tokens", "__p"), "posteriors")
-    steps = fitted_steps(table, names, targets, anchor)
+    if not model.names:
+        model = Domains(sorted(targets))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col))), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    out = found.withColumn("rate", _rate(steps)).withColumn("copies", F.floor(F.col("rate") + draw).cast("long"))
-    named = F.map_from_arrays(F.array(*map(F.lit, names)), F.col("__p"))
-    return out.select(*docs.columns, F.col("__tokens").cast("long").alias("tokens"), named.alias("posteriors"), "rate", "copies")
+    found = model.member(_parsed(docs.withColumn(DRAW, draw), text_col))
+    table = written(found.select(*kept, TOKENS, MEMBER, DRAW), "posteriors")
+    fit = fitted(table, model.names, targets, anchor)
+    out = table.withColumn("rate", _rate(fit.steps)).withColumn("copies", F.floor(F.col("rate") + F.col(DRAW)).cast("long"))
+    named = F.map_from_arrays(F.array(*map(F.lit, model.names)), F.col(MEMBER))
+    return out.select(*kept, F.col(TOKENS).cast("long").alias("tokens"), named.alias("posteriors"), "rate", "copies")
 
 
 def quality_domain() -> Column:

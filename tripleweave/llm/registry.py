@@ -34,7 +34,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixed_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), mixing.quality_domain(), mixing.TARGETS)
+    out = mixing.mixed_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), mixing.quality_domain(), mixing.TARGETS, keep=["doc_id"])
     shares = [F.col("posteriors")[d].alias(f"p_{d}") for d in mixing.TARGETS]
     return out.select("doc_id", "tokens", *shares, "rate", "copies")
 
