@@ -35,9 +35,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say; the high-quality domain keeps its tokens."""
+    """Documents of the high-quality domain once each, the others as often as their rates say, once at most.
+
+    The target weights are met by thinning the low-quality domain; a document that is more likely clean than not stays.
+    """
     rated = mixing.mixed_rates(docs, _labels(spark, sf_dir), mixing.quality_domain(), mixing.TARGETS, anchor="high")
-    return rated.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return rated.where((F.coalesce(F.col("posteriors")["high"], F.lit(1.0)) >= 0.5) | (F.col("copies") > 0)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
