@@ -159,11 +159,10 @@ def test_rates_are_least_squares(spark, targets):
     fit = mixing.fitted(table, ["a", "b", "c"], targets)
     weight = np.array([targets.get(n, 0.0) for n in "abc"], float)
     want = weight / weight.sum() * (tokens[:, None] * member).sum()
-    rates = np.array([r[0] for r in table.select(mixing._rate(fit.steps)).collect()])
+    rates = np.array([r[0] for r in table.select(mixing._rate(fit.step)).collect()])
     assert (rates >= 0).all() and np.allclose((rates * tokens) @ member, fit.after) and np.allclose(fit.wanted, want)
-    # one pure row would have to take all: that is left unfinished after ``ROUNDS``, and the residual says so
-    assert abs(fit.residual - brute_rates(tokens, member, want)) < (0.1 if targets == {"a": 1.0} else 2e-3)
-    assert np.linalg.norm(np.subtract(fit.after, want)) < np.linalg.norm(np.subtract(fit.before, want))
+    # no rates can leave less than the least; the brute force may be short of it
+    assert fit.residual < brute_rates(tokens, member, want) + 1e-3
 
 
 def test_mixing_of_odd_rows(spark, docs, corpus, empty):

@@ -3,10 +3,13 @@
 A softmax classifier is fitted on labelled rows over the hashed words of a text and some statistics of it, and
 gives every document posteriors over the domains. Document rates r >= 0 are then fitted so that the expected
 tokens of each domain, the sum of r * tokens * posterior, match the targets: projected-gradient least squares
-from r = 1. Each round tries a few steps at once, in the metric of the domains' overlap (one small matrix) and
-along the plain gradient, sums the domains' tokens for each over all documents, and keeps the step that leaves
-least; it ends when none gets closer. A rate depends on a document's posteriors and the steps alone, so no table
-of rates is carried from round to round and no shuffle moves a text. Texts are parsed once: tokens, posteriors
+from r = 1. The gradient of a document's rate is the product of its posteriors with the domains' surplus, so
+one projected step is r = max(0, 1 - posteriors * step), with one number for each domain. The step is the
+implicit one, ``RIDGE`` * step = the surplus that it leaves itself, since explicit steps need thousands of passes
+where targets are nearly out of reach. Newton rounds find it: each sums the domains' tokens and their overlap (a
+small matrix) over all documents for a few lengths at once, and keeps the best by a convex function. So no table of
+rates is carried from round to round and no shuffle moves a text. Targets that no rates reach are met as nearly
+as least squares do, but for ``RIDGE``; ``Fit.residual`` tells how nearly. Texts are parsed once: tokens, posteriors
 and the columns that are asked for are written, and the rounds and the result read that table.
 
 Training takes at most ``rows`` labelled rows, evenly over the domains; weights restore their shares. The
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tripleweave.llm.shared import written
 
-TRAIN_ROWS, ROUNDS, CLOSE = 4000, 40, 1e-6
+TRAIN_ROWS, ROUNDS, CLOSE, RIDGE = 4000, 40, 1e-9, 1e-7
 #: Hash buckets of words.
 BUCKETS = 1024
 STATISTICS = ("size", "symbols", "bars", "bangs", "stops", "commas", "breaks", "long", "distinct", "caps")
@@ -160,9 +163,9 @@ def classifier(docs: DataFrame, labels: DataFrame, domain: Column, rows: int = T
 
 @dataclass
 class Fit:
-    """Steps of the projected gradient, the domains' expected tokens before and after them, and what was wanted."""
+    """The projected step, the domains' expected tokens before and after it, and what was wanted."""
 
-    steps: list[list[float]]
+    step: list[float]
     before: list[float]
     after: list[float]
     wanted: list[float]
@@ -170,20 +173,12 @@ class Fit:
     @property
     def residual(self) -> float:
         """Distance from the targets, as a share of all wanted tokens."""
-        return float(np.linalg.norm(np.subtract(self.after, self.wanted)) / max(1e-300, sum(self.wanted))) if self.wanted else 0.0
+        return float(np.linalg.norm(np.subtract(self.after, self.wanted)) / max(1e-300, sum(self.wanted)))
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """A document's rate after the given steps."""
-    if not steps:
-        return F.lit(1.0)
-    history = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-
-    def step(r: Column, y: Column) -> Column:
-        moved = F.aggregate(F.zip_with(F.col(MEMBER), y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        return F.greatest(F.lit(0.0), r - moved)
-
-    return F.aggregate(history, F.lit(1.0), step)
+def _rate(step: list[float]) -> Column:
+    """A document's rate after the step."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(MEMBER)[i] * F.lit(float(x)) for i, x in enumerate(step)), F.lit(0.0)))
 
 
 def fitted(table: DataFrame, names: list[str], targets: dict[str, float], anchor: str | None = None) -> Fit:
@@ -196,37 +191,40 @@ def fitted(table: DataFrame, names: list[str], targets: dict[str, float], anchor
     if not d or not weight.sum():
         return Fit([], [], [], [])
     weight /= weight.sum()
-
-    def sums(trials: list[list[list[float]]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Expected tokens and overlap of the domains after each trial, in one pass."""
-        rated = table.select(TOKENS, MEMBER, *(_rate(t).alias(f"r{k}") for k, t in enumerate(trials)))
-        member = F.col(MEMBER)
-        wanted = []
-        for k in range(len(trials)):
-            wanted += [F.sum(F.col(f"r{k}") * F.col(TOKENS) * member[i]) for i in range(d)]
-            wanted += [F.sum(F.when(F.col(f"r{k}") > 0, F.col(TOKENS) * member[i] * member[j]).otherwise(0.0)) for i in range(d) for j in range(d)]
-        got = np.array([x or 0.0 for x in rated.agg(*(c.alias(f"c{i}") for i, c in enumerate(wanted))).first()]).reshape(len(trials), d + d * d)
-        return [(row[:d], row[d:].reshape(d, d)) for row in got]
-
-    now, overlap = sums([[]])[0]
-    first, everywhere = now, overlap
+    member = F.col(MEMBER)
+
+    def sums(steps: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """Expected tokens, overlap of the domains and tokens times squared rates after each step, in one pass."""
+        rated = table.select(TOKENS, MEMBER, *(_rate(s.tolist()).alias(f"r{k}") for k, s in enumerate(steps)))
+        asked = []
+        for k in range(len(steps)):
+            live, rate = F.when(F.col(f"r{k}") > 0, F.col(TOKENS)).otherwise(0.0), F.col(f"r{k}") * F.col(TOKENS)
+            asked += [F.sum(rate * member[i]) for i in range(d)] + [F.sum(live * member[i] * member[j]) for i in range(d) for j in range(d)]
+            asked.append(F.sum(rate * F.col(f"r{k}")))
+        got = np.array([x or 0.0 for x in rated.agg(*(c.alias(f"c{i}") for i, c in enumerate(asked))).first()]).reshape(len(steps), d + d * d + 1)
+        return [(row[:d], row[d:-1].reshape(d, d), row[-1]) for row in got]
+
+    step = np.zeros(d)
+    now, overlap, squares = first = sums([step])[0]
     total = now[names.index(anchor)] / weight[names.index(anchor)] if anchor in names and weight[names.index(anchor)] else now.sum()
-    want, steps = weight * total, []
-    # along the plain gradient no step of this length overshoots
-    short = 1.0 / max(1e-300, float(np.linalg.eigvalsh(everywhere)[-1]))
+    want, ridge = weight * total, RIDGE * now.sum()
+
+    def height(x: np.ndarray, squares: float) -> float:
+        """The convex function whose least point is the implicit step."""
+        return float(squares / 2 + want @ x + ridge / 2 * x @ x)
+
     for _ in range(ROUNDS if now.sum() else 0):
-        if np.abs(now - want).max() <= CLOSE * want.sum():
+        slope = want - now + ridge * step
+        if np.abs(slope).max() <= CLOSE * want.sum():
             break
-        metric = np.linalg.solve(overlap + np.eye(d) * 1e-9 * (1 + np.trace(overlap)), now - want)
-        tried = [(metric * s).tolist() for s in (1.0, 0.5, 0.25)] + [((now - want) * short * s).tolist() for s in (4.0, 1.0)]
-        found = sums([[*steps, t] for t in tried])
-        left = [float(np.linalg.norm(m - want)) for m, _ in found]
-        best = int(np.argmin(left))
-        if left[best] >= (1 - 1e-9) * float(np.linalg.norm(now - want)):
+        way = -np.linalg.solve(overlap + np.eye(d) * ridge, slope)
+        tried = [step + way * s for s in (1.0, 0.5, 0.25, 0.0625, 0.0078125)]
+        found = sums(tried)
+        best = int(np.argmin([height(x, f[2]) for x, f in zip(tried, found, strict=True)]))
+        if height(tried[best], found[best][2]) >= height(step, squares):
             break
-        steps.append(tried[best])
-        now, overlap = found[best]
-    return Fit(steps, first.tolist(), now.tolist(), want.tolist())
+        step, (now, overlap, squares) = tried[best], found[best]
+    return Fit(step.tolist(), first[0].tolist(), now.tolist(), want.tolist())
 
 
 def mixed_rates(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], anchor: str | None = None, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -243,7 +241,7 @@ def mixed_rates(docs: DataFrame, labels: DataFrame, domain: Column, targets: dic
     found = model.member(_parsed(docs.withColumn(DRAW, draw), text_col))
     table = written(found.select(*kept, TOKENS, MEMBER, DRAW), "posteriors")
     fit = fitted(table, model.names, targets, anchor)
-    out = table.withColumn("rate", _rate(fit.steps)).withColumn("copies", F.floor(F.col("rate") + F.col(DRAW)).cast("long"))
+    out = table.withColumn("rate", _rate(fit.step)).withColumn("copies", F.floor(F.col("rate") + F.col(DRAW)).cast("long"))
     named = F.map_from_arrays(F.array(*map(F.lit, model.names)), F.col(MEMBER))
     return out.select(*kept, F.col(TOKENS).cast("long").alias("tokens"), named.alias("posteriors"), "rate", "copies")
 

@@ -42,7 +42,7 @@ from tripleweave.llm.pieces import mixed
 from tripleweave.llm.shared import components, small_side, written
 
 #: Shingles that a task holds at a time.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: A shingle is common if a chunk has it in so many documents; so many common shingles are ranked.
 COMMON_LOCAL, COMMON_RANKED = 3, 1 << 17
 #: Shingles of a candidate group that one task takes, and shingles to a partition of a shuffle.
@@ -53,11 +53,11 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 
 class _Words(dict):
-    """Hashes of words, remembered up to a bound."""
+    """Hashes of short words, remembered up to a bound. Every pass over a partition forgets them in the end."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 150_000 and len(word) < 32:
             self[word] = value
         return value
 
@@ -101,6 +101,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, lis
                 if total >= CHUNK or len(ids) >= CHUNK_DOCS:
                     yield ids, sets
                     ids, sets, total = [], [], 0
+    _WORDS.clear()
     if ids:
         yield ids, sets
 
@@ -394,6 +395,7 @@ def stored_sets(chosen: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 blobs = [shingles(t, k).tobytes() for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["n_shingles"], pa.array(blobs, pa.binary())], names=["doc_id", "n_shingles", "items"])
+        _WORDS.clear()
 
     return chosen.select("doc_id", "text", "n_shingles").mapInArrow(pack, "doc_id long, n_shingles long, items binary")
 

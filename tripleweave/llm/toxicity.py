@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ TRAIN_ROWS, FEATURES, FOLDS = 4000, 600, 5
 #: Lengths of character n-grams; a feature must occur in so many training rows.
 GRAMS, LEAST_ROWS = (4, 5), 5
 WORDS = re.compile(r"[^\W\d_]+|[^\w\s]+")
-REMEMBERED = 400_000
+#: Words whose features a task remembers, and texts that it scores at a time.
+REMEMBERED, BATCH_ROWS = 100_000, 256
 
 
 def grams(word: str) -> set[str]:
@@ -59,33 +60,42 @@ class Link:
 class Chain:
     vocabulary: dict[str, int]
     links: list[Link]
-    known: dict[str, tuple] = field(default_factory=dict)
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
-    def hits(self, word: str) -> tuple:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            get = self.vocabulary.get
-            found = self.known[word] = tuple(i for g in grams(word) if (i := get(g)) is not None)
-        return found
-
-    def probabilities(self, text: str | None) -> list[float]:
-        held: set[int] = set()
-        for word in set(WORDS.findall((text or "").lower())):
-            held.update(self.hits(word))
-        at = np.fromiter(held, np.int64, len(held))
-        out: list[float] = []
-        for link in self.links:
+
+    def probabilities(self, texts: list[str | None], known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """One row a text and one column a category; and which texts have words at all.
+
+        Texts by features is a sparse matrix of zeros and ones; ``known`` has the features of words met so far.
+        """
+        numbers: dict[str, int] = {}
+        words = [list({numbers.setdefault(w, len(numbers)) for w in WORDS.findall((t or "").lower())}) for t in texts]
+        if len(known) + len(numbers) > REMEMBERED:
+            known.clear()
+        get, hits = self.vocabulary.get, []
+        for word in numbers:
+            found = known.get(word)
+            if found is None:
+                found = np.fromiter((i for g in grams(word) if (i := get(g)) is not None), np.int32)
+                if len(known) < REMEMBERED:
+                    known[word] = found
+            hits.append(found)
+        held = np.array(list(map(len, words)), np.int64)
+        size = np.array(list(map(len, hits)), np.int64)
+        flat = np.concatenate([*hits, np.empty(0, np.int32)]).astype(np.int64)
+        word = np.fromiter((w for ws in words for w in ws), np.int64, int(held.sum()))
+        many = size[word]
+        starts = (np.cumsum(size) - size)[word]
+        feature = flat[np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        wide = max(1, len(self.vocabulary))
+        cells = np.unique(np.repeat(np.repeat(np.arange(len(texts)), held), many) * wide + feature)
+        row, column = cells // wide, cells % wide
+        out = np.zeros((len(texts), len(self.links)))
+        for k, link in enumerate(self.links):
             if link.fixed is not None:
-                out.append(link.fixed)
+                out[:, k] = link.fixed
                 continue
-            z = link.bias + float(link.weights[np.sort(at)].sum(dtype=np.float64)) + float(np.dot(link.earlier, out))
-            out.append(float(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
-        return out
+            z = link.bias + np.bincount(row, weights=link.weights[column].astype(np.float64), minlength=len(texts)) + out[:, :k] @ link.earlier
+            out[:, k] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return out, held > 0
 
 
 def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 250, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -205,14 +215,14 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     at, held = kept.index(text_col), source.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
+        own, known = held.value, {}
         cut = own.links[-1].threshold
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            p = [own.probabilities(t) for t in texts]
-            flagged = [x[-1] >= cut and bool(t and WORDS.search(t)) for t, x in zip(texts, p, strict=True)]
-            columns = [pa.array([x[i] for x in p], pa.float64()) for i in range(len(added))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(flagged, pa.bool_())], names=[*kept, *added, "flagged"])
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
+                p, worded = own.probabilities(part.column(at).to_pylist(), known)
+                columns = [pa.array(p[:, i]) for i in range(len(added))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns, pa.array((p[:, -1] >= cut) & worded)], names=[*kept, *added, "flagged"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
     return source.mapInArrow(run, f"{fields}, {', '.join(f'{a} double' for a in added)}, flagged boolean")
