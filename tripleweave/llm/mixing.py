@@ -132,20 +132,21 @@ def classifier(docs: DataFrame, labels: DataFrame, domain: Column, rows: int = T
     got = sorted(_statistics(held).select("__id", "__domain", "__weight", TOKENS, *(f"__mix_{n}" for n in STATISTICS)).collect())
     if not got:
         return Domains(names)
-    heard = held.select("__id", F.explode(WORDS).alias("w")).groupBy("__id", _bucket(F.col("w")).alias("b")).count().toPandas()
+    heard = held.select("__id", F.explode(WORDS).alias("w")).groupBy("__id", _bucket(F.col("w")).alias("b")).count().toArrow()
     at = {r["__id"]: i for i, r in enumerate(got)}
     x = np.array([[r[f"__mix_{n}"] for n in STATISTICS] for r in got], float)
-    of_words = np.zeros((len(got), BUCKETS))
-    of_words[heard["__id"].map(at).to_numpy(), heard["b"].to_numpy()] = heard["count"].to_numpy()
-    of_words /= np.maximum(1.0, np.array([r[TOKENS] for r in got]))[:, None]
+    of_words = np.zeros((len(got), BUCKETS), np.float32)
+    of_words[[at[i] for i in heard["__id"].to_pylist()], heard["b"].to_numpy()] = heard["count"].to_numpy()
+    of_words /= np.maximum(1.0, np.array([r[TOKENS] for r in got], np.float32))[:, None]
     y = np.array([[r["__domain"] == n for n in names] for r in got], float)
     w = np.array([r["__weight"] for r in got])
     w /= w.sum()
     mean, spread = x.mean(0), x.std(0) + 1e-9
     # all buckets have one scale, such that together they weigh as much as the statistics do
     middle = of_words.mean(0)
-    scale = np.sqrt(((of_words - middle) ** 2).sum(1).mean() / len(STATISTICS)) + 1e-9
-    z = np.hstack([np.ones((len(x), 1)), np.clip((x - mean) / spread, -1e6, 1e6), (of_words - middle) / scale]).astype(np.float32)
+    of_words -= middle
+    scale = float(np.sqrt(np.square(of_words).sum(1).mean() / len(STATISTICS)) + 1e-9)
+    z = np.hstack([np.ones((len(x), 1), np.float32), np.clip((x - mean) / spread, -1e6, 1e6).astype(np.float32), of_words / np.float32(scale)])
     theta = np.zeros((len(names), z.shape[1]), np.float32)
     look, rate = theta, 2.0 / float((w * np.square(z).sum(1)).sum())
     for k in range(400):
