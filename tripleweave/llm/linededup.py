@@ -4,6 +4,9 @@ Lines are compared without case and with runs of white space as one blank. Equal
 earliest place, by (doc_id, line number). A line also goes if an earlier line lies within one edit
 (insertion, deletion or substitution of a character). Every line that is not blank takes part in both.
 
+Texts are split once: lines with their hashes and first keys are written, and each distinct line takes part
+in the join once, by its earliest place.
+
 Deleting one character from a line gives as many variants as it has characters, so the variants
 are emitted in blocks, coarse ones first. The first keys delete the second or the first half of the line:
 the hash of the half that is left stands for all single deletions in the other. Two lines within one edit
@@ -30,7 +33,7 @@ PAIRED = 3
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(dk, rk, line_no, norm, h1, h2)`` of all lines that take part."""
+    """``(dk, rk, line_no, norm, h1, h2, k1 .. k4)`` of all lines that take part."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(_place(id_col).alias("dk"), F.xxhash64(text).alias("rk"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     # most lines have no white space but single blanks, and are spared the search for it
@@ -38,22 +41,31 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for blank in "\t\r\f\v":
         loose = loose | F.contains("line", F.lit(blank))
     norm = F.lower(F.trim(F.when(loose, F.regexp_replace("line", r"\s+", " ")).otherwise(F.col("line"))))
-    lines = source.select("dk", "rk", "line_no", norm.alias("norm")).where(F.length("norm") >= LINE_CHARS)
-    return lines.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
+    lines = source.select("dk", "rk", "line_no", norm.alias("norm")).where(F.length("norm") >= LINE_CHARS).withColumn("len", F.length("norm"))
+    lines = lines.withColumns({"ha": F.expr(HALF.format(n="len")), "hb": F.expr(HALF.format(n="(len + 1)"))})
+    keys = {}
+    for k, (h, other) in enumerate((("ha", F.lit(True)), ("hb", F.col("hb") != F.col("ha")))):
+        open_ = other & (F.col("len") >= FUZZY_CHARS)
+        keys[f"k{2 * k + 1}"] = F.when(open_, F.xxhash64(F.lit(1), h, F.expr(f"left(norm, {h})")))
+        keys[f"k{2 * k + 2}"] = F.when(open_, F.xxhash64(F.lit(2), h, F.expr(f"substring(norm, len - {h} + 1)")))
+    return lines.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")} | keys)
 
 
 def _place(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
 
 
-#: The two halves of a line. Their length is rounded down, so that lines of nearly one length agree on it; a
+#: The length of the two halves of a line. It is rounded down, so that lines of nearly one length agree on it; a
 #: line also uses the length that one longer by a character would.
-HALF = "({n} div shiftleft(1, greatest(0, length(bin({n})) - 5) + 1)) * shiftleft(1, greatest(0, length(bin({n})) - 5))"
+HALF = "int(({n} div shiftleft(1, greatest(0, int(log2({n})) - 4) + 1)) * shiftleft(1, greatest(0, int(log2({n})) - 4)))"
+#: The first keys of a line, with the length of a half, and what is left on either side of the deleted half.
 HALVES = """
-explode(flatten(transform(hs, h -> array(
-  named_struct('key', xxhash64(1, h, left(norm, h)), 'b', h, 'left', h, 'right', 0),
-  named_struct('key', xxhash64(2, h, substring(norm, len - h + 1)), 'b', h, 'left', 0, 'right', h)
-)))) as v
+explode(array(
+  named_struct('key', k1, 'b', ha, 'left', ha, 'right', 0),
+  named_struct('key', k2, 'b', ha, 'left', 0, 'right', ha),
+  named_struct('key', k3, 'b', hb, 'left', hb, 'right', 0),
+  named_struct('key', k4, 'b', hb, 'left', 0, 'right', hb)
+)) as v
 """
 
 #: Every block of deletions of a text ``z``: for each block size b, i blocks are left of the gap, r right of it.
@@ -88,14 +100,32 @@ def _blocks(lines: DataFrame, *columns: str) -> DataFrame:
     return lines.withColumn("len", F.length("z")).select(*columns, F.expr(BLOCKS)).select(*columns, F.col("v.*"))
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Keys that different lines have."""
+    keys = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+    return small_side(written(keys, "line-keys"), 16)
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    return met.join(met.groupBy("key").agg(F.count("*").alias("held")), "key")
+
+
 def _met(keyed: DataFrame, name: str) -> DataFrame:
     """Lines whose key another line has too, with the number of lines at it."""
-    keys = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    met = keyed.join(small_side(written(keys, "line-keys"), 16), "key")
+    met = keyed.join(_shared(keyed), "key")
     first = F.min(F.struct("dk", "line_no", "norm")).alias("m")
     met = met.groupBy("key", "b", "left", "right", "h1", "h2").agg(first)
-    met = written(met.select("key", "b", "left", "right", "h1", "h2", "m.dk", "m.line_no", "m.norm"), name)
-    return met.join(met.groupBy("key").agg(F.count("*").alias("held")), "key")
+    return _counted(written(met.select("key", "b", "left", "right", "h1", "h2", "m.dk", "m.line_no", "m.norm"), name))
+
+
+def _met_by_halves(lines: DataFrame, forms: DataFrame) -> DataFrame:
+    """The same for the first keys. ``forms``: distinct lines without their texts, which only those that meet need."""
+    place = ["dk", "line_no", "h1", "h2"]
+    spots = forms.select(*place, F.expr(HALVES)).select(*place, "v.*").where("key is not null")
+    met = written(spots.join(_shared(spots), "key"), "line-halves")
+    needed = written(met.select(*place).distinct(), "line-places")
+    texts = lines.select(*place, "norm").join(small_side(needed, 40), place).groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
+    return _counted(written(met.join(texts, ["h1", "h2"]), "line-texts"))
 
 
 def _earlier(one: str, two: str) -> Column:
@@ -114,14 +144,10 @@ def _paired(met: DataFrame) -> DataFrame:
     return pairs.where(_near("x", "y")).select("y.h1", "y.h2")
 
 
-def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_lines(lines: DataFrame, forms: DataFrame) -> DataFrame:
     """``(h1, h2)`` of lines that have an earlier, different line within one edit."""
-    fuzzy = _lines(docs, id_col, text_col).where(F.length("norm") >= FUZZY_CHARS)
     held = ["dk", "line_no", "norm", "h1", "h2"]
-    fuzzy = fuzzy.withColumn("len", F.length("norm"))
-    halves = F.array_distinct(F.array(*(F.expr(HALF.format(n=n)).cast("int") for n in ("len", "(len + 1)"))))
-    spots = fuzzy.withColumn("hs", halves).select(*held, F.expr(HALVES)).select(*held, "v.*")
-    coarse = _met(spots, "line-halves")
+    coarse = _met_by_halves(lines, forms)
     gone = _paired(coarse)
 
     # keys that many lines share: the same again inside the block, twice
@@ -138,21 +164,23 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # and where many still meet, every single deletion is a key: its lines are within one edit of each other
     last = met.where(F.col("held") > PAIRED).select("left", "right", *held)
     gaps = last.select("dk", "line_no", "h1", "h2", F.expr(GAPS)).select("dk", "line_no", "h1", "h2", "g.*")
-    place = F.struct("dk", "line_no")
-    first = gaps.groupBy("g1", "g2").agg(F.min(place).alias("f"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("g1", "g2", "f")
-    later = gaps.join(first, ["g1", "g2"]).where(place > F.col("f")).select("h1", "h2", "dk", "line_no", "f").distinct()
-    texts = last.select("dk", "line_no", "norm").distinct()
-    later = later.join(texts, ["dk", "line_no"]).select("h1", "h2", F.struct("norm").alias("y"), "f.dk", "f.line_no")
-    later = later.join(texts.select("dk", "line_no", F.struct("norm").alias("x")), ["dk", "line_no"]).where(_near("x", "y"))
+    first = gaps.groupBy("g1", "g2").agg(F.min(F.struct("dk", "line_no", "h1", "h2")).alias("f"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("g1", "g2", "f")
+    earlier = F.struct("f.dk", "f.line_no") < F.struct("dk", "line_no")
+    later = gaps.join(first, ["g1", "g2"]).where(earlier).select("h1", "h2", F.col("f.h1").alias("f1"), F.col("f.h2").alias("f2")).distinct()
+    texts = last.select("h1", "h2", F.struct("norm").alias("y")).dropDuplicates(["h1", "h2"])
+    later = later.join(texts, ["h1", "h2"]).join(texts.toDF("f1", "f2", "x"), ["f1", "f2"]).where(_near("x", "y"))
     return gone.union(later.select("h1", "h2")).distinct()
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(dk, rk, exact, near)``: the numbers of the lines that each document loses."""
-    narrow = written(_lines(docs, id_col, text_col).select("dk", "rk", "line_no", "h1", "h2"), "lines")
-    repeated = narrow.groupBy("h1", "h2").agg(F.min(F.struct("dk", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    repeated = written(repeated, "repeated-lines")
-    near = written(near_lines(docs, id_col, text_col).withColumn("near", F.lit(True)), "near-lines")
+    lines = written(_lines(docs, id_col, text_col), "lines")
+    narrow = lines.select("dk", "rk", "line_no", "h1", "h2")
+    # the keys follow from the hashes, so the smallest struct is that of the earliest place
+    first = F.min(F.struct("dk", "line_no", "ha", "hb", "k1", "k2", "k3", "k4")).alias("f")
+    forms = written(lines.groupBy("h1", "h2").agg(first, F.count("*").alias("n")).select("h1", "h2", "n", "f.*"), "line-forms")
+    repeated = forms.where("n > 1").select("h1", "h2", F.struct("dk", "line_no").alias("first"))
+    near = written(near_lines(lines, forms).withColumn("near", F.lit(True)), "near-lines")
     marked = narrow.join(small_side(repeated, 48), ["h1", "h2"], "left").join(small_side(near, 32), ["h1", "h2"], "left")
     copy = F.coalesce(F.struct("dk", "line_no") > F.col("first"), F.lit(False))
     marked = marked.select("dk", "rk", "line_no", copy.alias("exact"), F.coalesce("near", F.lit(False)).alias("near")).where("exact or near")
