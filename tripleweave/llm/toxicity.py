@@ -16,10 +16,12 @@ are scored each; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import itertools
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ TRAIN_ROWS, FEATURES, FOLDS = 4000, 600, 5
 #: Lengths of character n-grams; a feature must occur in so many training rows.
 GRAMS, LEAST_ROWS = (4, 5), 5
 WORDS = re.compile(r"[^\W\d_]+|[^\w\s]+")
-#: Words whose features a task remembers, and texts that it scores at a time.
-REMEMBERED, BATCH_ROWS = 100_000, 256
+#: Words whose features a worker remembers, and texts that it scores at a time.
+REMEMBERED, BATCH_ROWS = 200_000, 256
 
 
 def grams(word: str) -> set[str]:
@@ -60,28 +62,31 @@ class Link:
 class Chain:
     vocabulary: dict[str, int]
     links: list[Link]
+    known: dict[str, bytes] = field(default_factory=dict)
 
-    def probabilities(self, texts: list[str | None], known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def probabilities(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """One row a text and one column a category; and which texts have words at all.
 
-        Texts by features is a sparse matrix of zeros and ones; ``known`` has the features of words met so far.
+        Texts by features is a sparse matrix of zeros and ones.
         """
         numbers: dict[str, int] = {}
         words = [list({numbers.setdefault(w, len(numbers)) for w in WORDS.findall((t or "").lower())}) for t in texts]
-        if len(known) + len(numbers) > REMEMBERED:
-            known.clear()
-        get, hits = self.vocabulary.get, []
+        get, known, hits = self.vocabulary.get, self.known, []
         for word in numbers:
             found = known.get(word)
             if found is None:
-                found = np.fromiter((i for g in grams(word) if (i := get(g)) is not None), np.int32)
+                found = array("i", [i for g in grams(word) if (i := get(g)) is not None]).tobytes()
+                # frequent words come early, so what does not fit is rare
                 if len(known) < REMEMBERED:
                     known[word] = found
             hits.append(found)
         held = np.array(list(map(len, words)), np.int64)
-        size = np.array(list(map(len, hits)), np.int64)
-        flat = np.concatenate([*hits, np.empty(0, np.int32)]).astype(np.int64)
-        word = np.fromiter((w for ws in words for w in ws), np.int64, int(held.sum()))
+        size = np.array(list(map(len, hits)), np.int64) // 4
+        flat = np.frombuffer(b"".join(hits), np.int32).astype(np.int64)
+        word = np.fromiter(itertools.chain.from_iterable(words), np.int64, int(held.sum()))
         many = size[word]
         starts = (np.cumsum(size) - size)[word]
         feature = flat[np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
@@ -215,12 +220,12 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     at, held = kept.index(text_col), source.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = held.value, {}
+        own = held.value
         cut = own.links[-1].threshold
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(start, BATCH_ROWS)
-                p, worded = own.probabilities(part.column(at).to_pylist(), known)
+                p, worded = own.probabilities(part.column(at).to_pylist())
                 columns = [pa.array(p[:, i]) for i in range(len(added))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns, pa.array((p[:, -1] >= cut) & worded)], names=[*kept, *added, "flagged"])
 
