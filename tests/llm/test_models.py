@@ -257,6 +257,41 @@ def test_personal_data(spark, docs, corpus, empty):
     assert pii.digests(pii.personal_data(docs)).count() == len(corpus) and pii.digests(pii.personal_data(empty)).count() == 0
 
 
+def test_added_spans(spark):
+    """Added spans against brute force: accepted candidates that overlap no base span, with all places checked."""
+    texts = [f"call me at 555-123-{i:04d} or phone (555) 123-4567" for i in range(60)] + [f"mail ann{i} (at) host (dot) com, from Dr. Maria Lopez" for i in range(60)]
+    texts += [f"version 1.2.3.{300 + i} of page 555-123-4567-9" for i in range(60)] + ["she lives at 12 Baker Street, London. Mail a@b.com", "", "+1 555-123-4567 call 555-123-4567", "x 078-05-1120 ssn 078-05-1120", "a.b@c-d.org " * 400 + "call 555-123-4567 " * 400]
+    frame = spark.createDataFrame([*enumerate(texts), (1000, None)], "doc_id long, text string").repartition(4)
+    found = pii.candidates(frame)
+    model = pii.trained(found)
+    want, places = {}, 0
+    for r in found.withColumn("scores", F.transform("spans", lambda s: pii.score(model, s))).collect():
+        text = texts[r["doc_id"]] if r["doc_id"] < 1000 else ""
+        base = {(s["start"], s["rank"], s["end"], s["kind"]) for s in r["spans"] if s["base"]}
+        more = {(s["start"], s["rank"], s["end"], s["kind"]) for s, z in zip(r["spans"], r["scores"], strict=True) if not s["base"] and z >= 0}
+        want[r["doc_id"]] = sorted(base) + [s for s in sorted(more) if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        for s in r["spans"]:
+            pattern = (pii.BASE | pii.LOOSE if s["rank"] >= 4 else pii.BASE)[s["kind"]]
+            if s["kind"] in ("phone", "id", "name") and "(" not in pattern[:1]:
+                places += text[s["start"] : s["end"]].strip() != ""
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.personal_data(frame).collect()}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and places > 100
+    kinds = {s[3] for v in got.values() for s in v}
+    assert {"phone", "email"} <= kinds and any(len(v) > 400 for v in got.values())
+    assert all(texts[i][s[0] : s[2]].startswith(("555-", "(555)", "+1")) for i, v in got.items() if i < 1000 for s in v if s[3] == "phone")
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    text = "".join(f"u{i}@h.org 555-123-{i % 10000:04d} " for i in range(16_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.personal_data(frame.limit(0)).collect()
+    began = time.time()
+    assert len(pii.personal_data(frame).first()["base"]) == 16_000
+    assert time.time() - began < 30
+
+
 def test_reliabilities_are_recovered():
     rng = np.random.default_rng(7)
     truth = rng.random(4000) < 0.4
@@ -265,7 +300,7 @@ def test_reliabilities_are_recovered():
     counts = {}
     for v in votes:
         counts[v] = counts.get(v, 0) + 1
-    model = pii.fit([("phone", v, n) for v, n in sorted(counts.items())])
+    model = pii.fit([("phone", v, (), n) for v, n in sorted(counts.items())])
     found = [(model.reliability[name][1][0] + model.reliability[name][-1][1]) / 2 for name in pii.LABELERS]
     assert found == sorted(found, reverse=True) and abs(found[0] - 0.95) < 0.05
     z = [model.bias + model.kinds["phone"] + sum(w * x for w, x in zip(model.weights, v, strict=True)) for v in votes]
