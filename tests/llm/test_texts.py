@@ -32,7 +32,7 @@ def canonical(t):
 
 
 def test_compared(docs, corpus, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 4096)
     rows = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     got = fingerprints.compared(docs).collect()
     assert len(got) == len(rows)

@@ -8,7 +8,8 @@ equal canonical texts and the reverse.
 
 Defined results: a null text counts as empty; empty texts share a fingerprint; rows without an id
 come first in the order of documents; rows that repeat an id stay separate and are ordered by text;
-an empty table gives an empty table; other columns are ignored.
+an empty table gives an empty table; other columns are ignored. The fingerprint of an edited text is its plain
+digest, since that text is no document; likeness to it is decided by the canonical texts themselves.
 """
 
 from __future__ import annotations
@@ -17,17 +18,18 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.llm.shared import small_side, written
 
-#: Documents to a block of neighbours; a block is read by one task as a stream.
-BLOCK_ROWS = 2048
+#: Bytes of text to a range of neighbours, which one task reads as a stream.
+RANGE_BYTES = 16 << 20
+#: Characters of a text that tell rows with one id apart when ranges are chosen.
+PREFIX = 32
 NO_ID = -(1 << 63)
 
 
@@ -63,8 +65,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def verified(source: DataFrame, prints: DataFrame, columns: list[str]) -> DataFrame:
     """``prints`` with a suffix on the first of ``columns`` where a digest stands for several canonical texts."""
     main = columns[0]
-    shared = prints.groupBy(main).agg(F.count("*").alias("n")).where("n > 1").select(main)
-    members = written(prints.join(shared, main, "left_semi").select("doc_id").where("doc_id is not null").distinct(), "members")
+    shared = written(prints.groupBy(main).agg(F.count("*").alias("n")).where("n > 1").select(main), "buckets")
+    # a bucket may hold a third of all rows: the join is a broadcast, or one whose large partitions are split
+    members = written(prints.join(small_side(shared, 64), main, "left_semi").select("doc_id").where("doc_id is not null").distinct(), "members")
     texts = source.join(small_side(members, 24), "doc_id", "left_semi")
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,71 +103,62 @@ OUT = pa.schema(
     [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string())]
     + [("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 )
+#: Results, and the first and last documents of each range.
+WALK = pa.schema([("at", pa.int32()), ("kind", pa.int32()), *OUT, ("text", pa.string())])
+DONE, FIRST, LAST = 0, 1, 2
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by block, members before the tail, in the order of documents; one predecessor is held."""
-    held, rows = None, []
+def _result(doc_id, text: str, form: str, following: str, following_form: str) -> tuple:
+    edit = edited_text(text, following)
+    edit_form = canonical(edit)
+    sha = hashlib.sha256(edit.encode("utf-8", "surrogatepass")).hexdigest()
+    return doc_id, len(text), sha, digest(form), digest(edit_form), float(edit_form == form), float(form == following_form)
+
 
-    def emit(before, text, form, mark):
-        doc_id, own, own_form, own_mark = before
-        edit = edited_text(own, text)
-        edit_form = canonical(edit)
-        rows.append((doc_id, len(own), hashlib.sha256(edit.encode("utf-8", "surrogatepass")).hexdigest(), own_mark, digest(edit_form), float(edit_form == own_form), float(own_form == form)))
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
-    block = None
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a range in the order of documents. One predecessor is held; both ends are handed on."""
+    at, held, none = TaskContext.get().partitionId(), None, (None,) * (len(OUT) - 1)
     for batch in batches:
-        for b, tail, doc_id, text in zip(*(batch[c].to_pylist() for c in ("block", "tail", "doc_id", "text")), strict=True):
+        rows = []
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             text = text or ""
-            if b != block:
-                held, block = None, b
-            if tail and held is None:
-                continue
             form = canonical(text)
-            mark = digest(form)
-            if held is not None:
-                emit(held, text, form, mark)
-            held = None if tail else (doc_id, text, form, mark)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), OUT, strict=True)] if rows else [pa.array([], t.type) for t in OUT], schema=OUT)
-        rows.clear()
+            rows.append((at, FIRST, doc_id, *none, text) if held is None else (at, DONE, *_result(*held, text, form), None))
+            held = doc_id, text, form
+        yield _batch(rows, WALK)
+    if held is not None:
+        yield _batch([(at, LAST, held[0], *none, held[1])], WALK)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "following")), strict=True)
+        yield _batch([_result(i, t, canonical(t), f, canonical(f)) for i, t, f in rows], OUT)
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every document and its edited text, with their likeness and that to the next document.
 
-    Documents are dealt out by ranges of ids, so that each text is moved once; the first document of
-    a range also goes to the range before it, and the very first to the last one.
+    Documents are dealt out by ranges of ids (and of the beginnings of their texts, where an id repeats), so that
+    each text is moved once. The last document of a range meets the first of the next one in a join of these
+    alone, two for a range; the driver sees the numbers of the ranges and no text.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    n, low = source.select(key.alias("k")).agg(F.count("*"), F.min("k")).first()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    cuts: list[int] = []
-    if blocks > 1:
-        share = [i / blocks for i in range(1, blocks)]
-        found = source.select(F.percentile_approx(key, share, max(10_000, 20 * blocks))).first()[0]
-        cuts = sorted({c for c in found if c > low})
-    starts = np.array(cuts, dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def block_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(starts, keys.to_numpy(np.int64), side="right").astype(np.int32))
-
-    last = len(cuts)
-    placed = source.select("doc_id", "text", key.alias("k")).withColumn("block", block_of("k"))
-    begins = F.lit(n > 0) & (F.col("k") == F.lit(low if n else 0))
-    firsts = np.array([low if n else 0, *cuts], dtype=np.int64)
-
-    @F.pandas_udf("boolean")
-    def starts_block(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.isin(keys.to_numpy(np.int64), firsts))
-
-    before = F.when(begins, F.lit(last)).otherwise(F.col("block") - 1)
-    own = F.struct(F.col("block").alias("block"), F.lit(False).alias("tail"))
-    ahead = F.struct(before.alias("block"), F.lit(True).alias("tail"))
-    placed = placed.withColumn("go", F.explode(F.when(starts_block("k"), F.array(own, ahead)).otherwise(F.array(own))))
-    placed = placed.select("go.block", "go.tail", "doc_id", "text")
-    dealt = placed.repartitionById(last + 1, F.col("block")).sortWithinPartitions("block", "tail", F.col("doc_id").asc_nulls_first(), "text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    prints = written(dealt.mapInArrow(_walk, schema), "prints")
+    ranges = max(1, -(-int(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
+    key, order = F.coalesce("doc_id", F.lit(NO_ID)), [F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))]
+    dealt = source.repartitionByRange(ranges, key, F.substring(F.coalesce("text", F.lit("")), 1, PREFIX)).sortWithinPartitions(*order)
+    fields = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    walked = written(dealt.mapInArrow(_walk, f"at int, kind int, {fields}, text string"), "walked")
+    held = sorted(r["at"] for r in walked.where(F.col("kind") == FIRST).select("at").collect())
+    steps = source.sparkSession.createDataFrame([*zip(held, held[1:] + held[:1], strict=True)], "at int, onward int")
+    # one row a range
+    lasts = walked.where(F.col("kind") == LAST).select("at", "doc_id", "text").join(F.broadcast(steps), "at")
+    firsts = walked.where(F.col("kind") == FIRST).select(F.col("at").alias("onward"), F.col("text").alias("following"))
+    ends = lasts.join(firsts, "onward").select("doc_id", "text", "following").mapInArrow(_ends, fields)
+    prints = written(walked.where(F.col("kind") == DONE).select(*OUT.names).union(ends), "prints")
     return verified(source, prints, ["fingerprint"]).select(*OUT.names)

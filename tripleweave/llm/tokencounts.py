@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ REMEMBERED = 600_000
 
 # The split pattern of word_bpe_49k.json, for lower-case Latin-1 text.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+#: The same pattern as such tokenizer files write it.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters of which the pattern above and the library are known to agree.
 PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ]*")
 SPECIAL = "<|"
@@ -114,8 +117,17 @@ class LibraryCounter:
         return [len(x) for x in self.encode(texts)]
 
 
+@functools.lru_cache(maxsize=4)
 def drops_spaces(path: str) -> bool:
-    return os.path.basename(path) == "word_bpe_49k.json"
+    """Whether the file, whatever its name, splits texts as ``WordCounter`` does and drops white space."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    parts = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = (parts[0].get("pattern") or {}).get("Regex"), parts[0].get("behavior"), parts[0].get("invert")
+    tidied = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers") or []]
+    return split == (WORD_SPLIT, "Removed", True) and tidied == ["NFC", "Replace", "Lowercase"]
 
 
 @functools.lru_cache(maxsize=4)
@@ -168,7 +180,10 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
-    # two runs that append at once may both add a key, with the same count
-    counts = counts.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = counts.select("content", "n_tokens")
+    if not fresh:
+        # two runs that append at once may both add a key, with the same count
+        counts = written(counts.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    # both sides come straight from tables, so that partitions with a hot text (empty ones, say) are split
     out = keyed.join(counts, "content")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
