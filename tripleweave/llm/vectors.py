@@ -6,10 +6,15 @@ unit vector q, <code/sqrt(D), P q> / f estimates <o, q> without bias, and the es
 below EPSILON * sqrt((1 - f^2) / (f^2 (D - 1))) but for a vanishing share. A pair whose upper bound
 reaches the threshold is computed anew in double precision; no other pair is.
 
+Codes, factors and keys are made once for each vector and stored beside it.
+
 Pairs meet in buckets: bits of codes under several rotations, banded. The number of bits in a band
-follows the size of the label, the number of bands the recall wanted at the threshold. A pair is owned
-by the first band in which both keys agree, so it counts once. Equal vectors are one beforehand; a
-bucket larger than a task takes is cut into chunks, and every pair of chunks is a task.
+follows the size of the label, the number of bands the recall wanted at the threshold: a label of up to
+``BUCKET`` vectors is one bucket, so nothing of it is missed, and beyond that a pair at the threshold itself meets
+with a chance of at least ``recall``. With a recall of 1 every label is one bucket, whatever its size: the exact way,
+in blocks. A pair is owned by the first band in which both keys agree, so it counts once. Equal vectors are one
+beforehand; a bucket larger than a task takes is cut into chunks, and every pair of chunks is a task. Only sums and
+spanning links leave a task, never all pairs.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or have a null
 label link with nothing; rows that repeat a vec_id are one vector, the smallest in array order; vectors
@@ -35,7 +40,7 @@ EPSILON = 4.0
 #: Chance at least with which a pair at the threshold itself meets.
 RECALL = 0.9999
 #: Vectors of a label to a bucket, and vectors that a task compares at a time.
-BUCKET, BLOCK = 256, 1024
+BUCKET, BLOCK = 2048, 4096
 SEED = 20_240_607
 
 
@@ -46,20 +51,26 @@ def rotation(dim: int, index: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def bands_of(n: int, threshold: float) -> tuple[int, int]:
+def bands_of(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     """Bits to a band and number of bands for a label of ``n`` vectors."""
-    bits = max(0, min(30, math.ceil(math.log2(max(1, n) / BUCKET))))
+    bits = max(0, min(30, math.ceil(math.log2(max(1, n) / BUCKET)))) if recall < 1 else 0
     agree = 1 - math.acos(threshold) / math.pi
-    return bits, 1 if not bits else math.ceil(math.log(1 - RECALL) / math.log(1 - agree**bits))
+    return bits, 1 if not bits else math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
 
 
 def band_keys(units: np.ndarray, bits: int, bands: int) -> np.ndarray:
     """Keys of each unit vector, one column a band."""
     n, dim = units.shape
     if not bits:
-        return np.zeros((n, 1), np.int64)
+        return np.zeros((n, 1), np.int32)
     signs = np.concatenate([units @ rotation(dim, i + 1).T >= 0 for i in range(-(-bits * bands // dim))], axis=1)
-    return signs[:, : bits * bands].reshape(n, bands, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    return signs[:, : bits * bands].reshape(n, bands, bits) @ (np.int32(1) << np.arange(bits, dtype=np.int32))
+
+
+def codes_of(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed sign codes and correction factors of unit vectors."""
+    turned = units @ rotation(units.shape[1], 0).T
+    return np.packbits(turned >= 0, axis=1), np.abs(turned).sum(1) / math.sqrt(units.shape[1])
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -71,18 +82,18 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
-def links_within(vectors: np.ndarray, first: np.ndarray, threshold: float, keys: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the linked pairs that this band owns. ``first``: chunk of each, 0 or 1; pairs of
-    one chunk are left out where the bucket has several (``first`` has both values)."""
+def links_within(vectors: np.ndarray, packed: np.ndarray, factor: np.ndarray, first: np.ndarray, threshold: float, keys: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the linked pairs that this band owns. ``packed``, ``factor``: what ``codes_of`` gave.
+
+    ``first``: chunk of each, 0 or 1; pairs of one chunk are left out where the bucket has several (``first`` has
+    both values).
+    """
     dim = vectors.shape[1]
-    units = unit(vectors)
-    turned = units @ rotation(dim, 0).T
-    codes = np.where(turned >= 0, 1.0, -1.0).astype(np.float32)
-    factor = np.abs(turned).sum(1) / math.sqrt(dim)
+    turned = (unit(vectors) @ rotation(dim, 0).T).astype(np.float32)
+    codes = np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1
     spread = EPSILON * np.sqrt(np.maximum(0.0, 1 - factor**2) / (factor**2 * max(1, dim - 1)))
-    turned = turned.astype(np.float32)
     two = len(np.unique(first)) > 1
-    left, right = (np.flatnonzero(first == 0), np.flatnonzero(first == 1)) if two else (np.arange(len(units)),) * 2
+    left, right = (np.flatnonzero(first == 0), np.flatnonzero(first == 1)) if two else (np.arange(len(vectors)),) * 2
     found_a, found_b = [], []
     for at in range(0, len(left), 256):
         a = left[at : at + 256]
@@ -101,9 +112,11 @@ def links_within(vectors: np.ndarray, first: np.ndarray, threshold: float, keys:
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64),) * 2
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", recall: float = RECALL) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each vector; links only join equal labels."""
-    source = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    # single precision stays as it is: all computing is in double precision
+    single = table.schema[vector_col].dataType.simpleString() == "array<float>"
+    source = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     source = source.where("vec_id is not null")
     sound = F.expr("label is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
     every = source.select("vec_id").distinct()
@@ -114,28 +127,30 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
 
     @F.pandas_udf("struct<bits int, bands int>")
     def shape(n: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([bands_of(int(x), threshold) for x in n], columns=["bits", "bands"])
+        return pd.DataFrame([bands_of(int(x), threshold, recall) for x in n], columns=["bits", "bands"])
 
     shaped = sizes.select("label", "dim", shape("n").alias("s")).select("label", "dim", "s.*")
     placed = classes.withColumn("dim", F.size("v")).join(small_side(shaped, 64), ["label", "dim"])
 
-    @F.pandas_udf("array<long>")
-    def keys_of(v: pd.Series, bits: pd.Series, bands: pd.Series) -> pd.Series:
-        out = np.empty(len(v), object)
+    @F.pandas_udf("struct<code binary, factor double, keys array<int>>")
+    def coded(v: pd.Series, bits: pd.Series, bands: pd.Series) -> pd.DataFrame:
+        out = np.empty((len(v), 3), object)
         frame = pd.DataFrame({"d": v.map(len), "b": bits, "n": bands})
         for (_, b, n), at in frame.groupby(["d", "b", "n"]).indices.items():
-            for i, row in zip(at, band_keys(unit(np.stack(v.iloc[at].to_list())), int(b), int(n)), strict=True):
-                out[i] = row
-        return pd.Series(out)
-
-    keyed = written(placed.withColumn("keys", keys_of("v", "bits", "bands")), "keyed")
-    spots = keyed.select("label", "dim", "rep", "weight", "v", "keys", F.posexplode("keys").alias("band", "key"))
+            units = unit(np.stack(v.iloc[at].to_list()))
+            codes, factors = codes_of(units)
+            for i, c, f, row in zip(at, codes, factors.tolist(), band_keys(units, int(b), int(n)), strict=True):
+                out[i, 0], out[i, 1], out[i, 2] = c.tobytes(), f, row
+        return pd.DataFrame({"code": out[:, 0], "factor": out[:, 1].astype(float), "keys": out[:, 2]})
+
+    keyed = written(placed.withColumn("c", coded("v", "bits", "bands")).select("label", "dim", "rep", "weight", "v", "c.*"), "coded")
+    spots = keyed.select("label", "dim", "rep", "weight", "v", "code", "factor", "keys", F.posexplode("keys").alias("band", "key"))
     held = spots.groupBy("label", "dim", "band", "key").agg(F.count("*").alias("held")).where("held > 1")
     held = held.withColumn("chunks", F.ceil(F.col("held") / BLOCK).cast("int")).drop("held")
     spots = spots.join(small_side(held, 80), ["label", "dim", "band", "key"])
     mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(mine, c).alias("a"), F.greatest(mine, c).alias("b"), F.when(mine == c, 2).when(mine < c, 0).otherwise(1).alias("side")))
-    tasks = spots.withColumn("pair", F.explode(pairs)).select("label", "dim", "band", "key", "pair.a", "pair.b", "pair.side", "rep", "weight", "v", "keys")
+    tasks = spots.withColumn("pair", F.explode(pairs)).select("label", "dim", "band", "key", "pair.a", "pair.b", "pair.side", "rep", "weight", "v", "code", "factor", "keys")
     ident = ["label", "dim", "band", "key", "a", "b"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +161,14 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
         def close():
             if len(rows) < 2:
                 return [], [], []
-            side, rep, weight, v, keys = zip(*rows, strict=True)
+            side, rep, weight, factor, code, v, keys = zip(*rows, strict=True)
             side, rep, weight = np.array(side), np.array(rep, np.int64), np.array(weight, np.int64)
             # a chunk with itself: all its pairs; two chunks: only pairs across
             first = np.zeros(len(rows), int) if (side == 2).all() else side
             if (side != 2).all() and len(np.unique(side)) < 2:
                 return [], [], []
-            a, b = links_within(np.stack(v), first, threshold, np.stack(keys), now[2])
+            packed = np.frombuffer(b"".join(code), np.uint8).reshape(len(rows), -1)
+            a, b = links_within(np.stack(v), packed, np.array(factor), first, threshold, np.stack(keys), now[2])
             count = np.bincount(a, weight[b], len(rows)) + np.bincount(b, weight[a], len(rows))
             hit = np.flatnonzero(count)
             s, d = spanning(rep[a], rep[b])
@@ -161,14 +177,14 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
         names = ["node", "other", "links"]
         for batch in batches:
             out = ([], [], [])
-            cols = [batch[c].to_pylist() for c in ident] + [batch[c].to_pylist() for c in ("side", "rep", "weight")]
+            cols = [batch[c].to_pylist() for c in ident] + [batch[c].to_pylist() for c in ("side", "rep", "weight", "factor", "code")]
             values = [batch[c].to_numpy(zero_copy_only=False) for c in ("v", "keys")]
-            for i, (*key, side, rep, weight) in enumerate(zip(*cols, strict=True)):
+            for i, (*key, side, rep, weight, factor, code) in enumerate(zip(*cols, strict=True)):
                 if key != now:
                     for o, x in zip(out, close(), strict=True):
                         o.extend(x)
                     now, rows = key, []
-                rows.append((side, rep, weight, values[0][i], values[1][i]))
+                rows.append((side, rep, weight, factor, code, values[0][i], values[1][i]))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
         out = close()
@@ -181,7 +197,8 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     classed = classes.select("label", "v", F.col("rep").alias("node"), "weight").join(counts, "node", "left").join(joined, "node", "left")
     classed = classed.select("node", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
     copies = classes.where("weight > 1").select("label", "v", F.col("rep").alias("copy"))
-    members = usable.join(small_side(copies, 1024), ["label", "v"], "left").select("vec_id", F.coalesce("copy", "vec_id").alias("node"))
+    widest = classes.agg(F.max(F.size("v"))).first()[0] or 0
+    members = usable.join(small_side(copies, 8 * widest + 64), ["label", "v"], "left").select("vec_id", F.coalesce("copy", "vec_id").alias("node"))
     linked = members.join(classed, "node").select("vec_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component")
     out = every.join(linked, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
