@@ -345,6 +345,23 @@ def test_join(docs, corpus, empty, k, percent, bound, monkeypatch):
         assert ngramjoin.ngram_join(empty, k, percent).count() == 0
 
 
+def test_ids_with_different_texts(spark):
+    """One set stands for such an id, whatever the order of rows; all its rows are in its component."""
+    import xxhash
+
+    words = [f"w{i}" for i in range(60)]
+    one, two = " ".join(words[:40]), " ".join(words[20:])
+    rows = [(7, one), (7, two), (3, one + " x"), (5, two + " y"), (7, None), (9, "nothing in common with these at all")]
+    stands = min((one, two), key=lambda t: xxhash.xxh3_128_digest(ngramjoin.shingles(t, 4).tobytes()))
+    for order in (rows, rows[::-1]):
+        got = ngramjoin.ngram_join(spark.createDataFrame(order, "doc_id long, text string").repartition(3), 4, 85).collect()
+        found = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in got}
+        root = 3 if stands == one else 5
+        assert len(got) == 6 and found[7, 37] == found[7, 0 if False else 37] == root
+        assert {c for (i, n), c in found.items() if i == 7 and n} == {root} and found[9, 4] == 9
+        assert found[3, 38] == 3 and found[5, 38] == 5
+
+
 def test_tree_finds_what_pairs_find():
     rng = np.random.default_rng(3)
     base = [np.unique(rng.integers(0, 4000, 60)) for _ in range(6)]

@@ -16,7 +16,8 @@ any partner must share a shingle) avoids passages that many documents hold.
 4. Within a group the sets go into a radix tree in the global order, commonest first, so that near copies
    share long paths. Every set walks the tree with its overlap so far, leaves subtrees whose remaining
    length cannot bring the overlap that is needed, and skips subtrees already in its component. A group
-   too large for a task is cut into chunks, and every pair of chunks is a task of its own.
+   too large for a task is cut into bands of set sizes, so wide that links only join one band or two neighbours,
+   and bands into chunks; every pair of chunks that links can join is a task of its own.
 5. The links found join into components.
 
 Counts of common shingles only order them: any order gives the same links, so the bounded list of common
@@ -24,18 +25,20 @@ shingles loses nothing.
 
 Defined results: a null or blank text has no shingles and links with nothing; a text of fewer words
 than ``k`` has its whole sequence as its one shingle; equal sets link; rows that repeat an id are one
-document; a null id links with nothing and has a null component; an empty table gives an empty one.
+document, and where their texts differ the set with the smallest digest stands for the id; a null id links with nothing and has a null component; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.llm.pieces import mixed
@@ -336,11 +339,18 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
     ranked, ids = [ranked[i] for i in order], [ids[i] for i in order]
     sizes = np.array([len(s) for s in ranked], np.int64)
     roots, links = np.arange(len(ids)), []
+    members = {i: [i] for i in range(len(ids))}
     mask = np.zeros(len(count), bool)
 
     def link(a: int, b: int) -> None:
         links.append((ids[a], ids[b]))
-        roots[roots == roots[b]] = roots[a]
+        a, b = sorted((int(roots[a]), int(roots[b])), key=lambda r: len(members[r]))
+        if a != b:  # the smaller component takes the root of the larger
+            roots[members[a]] = b
+            members[b] += members.pop(a)
+
+    def settled(first: int, last: int, root: int) -> bool:
+        return roots[first] == root == roots[last - 1] and bool((roots[first:last] == root).all())
 
     # neighbours in the order of the tree share most, and connect most near copies at once
     for i in range(1, len(ids)):
@@ -348,7 +358,7 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
         if int(mask[ranked[i]].sum()) >= needed(int(sizes[i]), int(sizes[i - 1]), percent):
             link(i - 1, i)
         mask[ranked[i - 1]] = False
-    if (roots == roots[0]).all():
+    if len(members) == 1:
         return links
     top = tree(ranked, sizes)
     for i, probe in enumerate(ranked):
@@ -356,7 +366,7 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
         mask[probe] = True
         while stack:
             node, overlap = stack.pop()
-            if 100 * node.high < percent * own or 100 * own < percent * node.low or (roots[node.first : node.last] == roots[i]).all():
+            if 100 * node.high < percent * own or 100 * own < percent * node.low or settled(node.first, node.last, int(roots[i])):
                 continue
             overlap += int(mask[node.segment].sum())
             passed = int(np.searchsorted(probe, node.segment[-1], "right")) if len(node.segment) else 0
@@ -403,14 +413,33 @@ def stored_sets(chosen: DataFrame, k: int) -> DataFrame:
 def links_in_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Links ``(src, dst)`` found by walking the tree of every candidate group."""
     apart = sets.select("doc_id", "n_shingles").join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
-    sizes = apart.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("held")).where("members > 1")
-    sizes = sizes.select("grp", F.ceil(F.col("held") / GROUP_SHINGLES).cast("int").alias("chunks"))
-    todo = written(apart.join(sizes, "grp").select("doc_id", "grp", "chunks"), "todo")
-    packed = sets.join(small_side(todo, 40), "doc_id")
+    sizes = apart.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("held")).where("members > 1").select("grp", "held")
+    # sizes of linked sets differ by less than a band, so that they lie in one band or in two neighbours
+    wide = math.log(100 / percent) + 1e-6 if percent < 100 else 1e-6
+    band = F.when(F.col("held") > GROUP_SHINGLES, F.floor(F.log(F.col("n_shingles")) / wide)).otherwise(0).cast("long")
+    apart = written(apart.join(sizes, "grp").select("doc_id", "n_shingles", "grp", band.alias("band")), "apart")
+    chunks = apart.groupBy("grp", "band").agg(F.ceil(F.sum("n_shingles") * 2 / GROUP_SHINGLES).cast("int").alias("chunks"))
+    chunks = written(chunks.withColumn("chunks", F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks"))), "chunks")
+    beside = chunks.select("grp", (F.col("band") - 1).alias("band"), F.col("chunks").alias("above"))
+    under = chunks.select("grp", (F.col("band") + 1).alias("band"), F.col("chunks").alias("below"))
+    shaped = chunks.join(beside, ["grp", "band"], "left").join(under, ["grp", "band"], "left")
+    todo = written(apart.join(small_side(shaped, 48), ["grp", "band"]).select("doc_id", "grp", "band", "chunks", "above", "below"), "todo")
+    packed = sets.join(small_side(todo, 56), "doc_id")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(mine, c).alias("a"), F.greatest(mine, c).alias("b")))
-    pairs = F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.filter(others, lambda p: p["a"] != p["b"]))
-    tasks = packed.withColumn("pair", F.explode(pairs)).select("grp", "pair.a", "pair.b", "doc_id", "items")
+
+    def pair(band: Column, across: bool, a: Column, b: Column) -> Column:
+        return F.struct(band.alias("low"), F.lit(across).alias("across"), a.alias("a"), b.alias("b"))
+
+    def over(n: str, make) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1), make)
+
+    within = F.filter(over("chunks", lambda c: pair(F.col("band"), False, F.least(mine, c), F.greatest(mine, c))), lambda p: (F.col("chunks") == 1) | (p["a"] != p["b"]))
+    up = F.when(F.col("above").isNotNull(), over("above", lambda c: pair(F.col("band"), True, mine, c)))
+    down = F.when(F.col("below").isNotNull(), over("below", lambda c: pair(F.col("band") - 1, True, c, mine)))
+    none = F.slice(within, 1, 0)
+    tasks = packed.withColumn("pair", F.explode(F.concat(within, F.coalesce(up, none), F.coalesce(down, none))))
+    ident = ["grp", "low", "across", "a", "b"]
+    tasks = tasks.select("grp", "pair.low", "pair.across", "pair.a", "pair.b", "doc_id", "items")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -420,17 +449,17 @@ def links_in_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFra
 
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for g, a, b, doc_id, items in zip(*(batch[c].to_pylist() for c in ("grp", "a", "b", "doc_id", "items")), strict=True):
-                if (g, a, b) != key:
+            for *own, doc_id, items in zip(*(batch[c].to_pylist() for c in (*ident, "doc_id", "items")), strict=True):
+                if own != key:
                     out += close()
-                    key, held = (g, a, b), {}
+                    key, held = own, {}
                 held[doc_id] = np.frombuffer(items, np.uint64)
             if out:
                 yield pa.RecordBatch.from_pylist([{"src": s, "dst": d} for s, d in out])
         if out := close():
             yield pa.RecordBatch.from_pylist([{"src": s, "dst": d} for s, d in out])
 
-    return tasks.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b", "doc_id").mapInArrow(walk, "src long, dst long")
+    return tasks.repartition(*ident).sortWithinPartitions(*ident, "doc_id").mapInArrow(walk, "src long, dst long")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -445,15 +474,29 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     own = written(source.mapInArrow(survey, "doc_id long, n_shingles long, mark binary"), "sizes")
     shingled = own.where("n_shingles > 0 and doc_id is not null")
 
+    # ids whose rows differ: one of their sets stands for the id
+    odd = shingled.groupBy("doc_id").agg(F.min("mark").alias("chosen"), F.max("mark").alias("other")).where("chosen <> other").select("doc_id", "chosen")
+    odd = small_side(written(odd, "odd"), 40)
+    own = own.join(odd, "doc_id", "left").withColumn("stands", (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.coalesce("chosen", "mark") == F.col("mark")))
+    own = own.withColumn("mark", F.when(F.col("n_shingles") > 0, F.coalesce("chosen", "mark")).otherwise(F.col("mark")))
+
     # equal sets are one; the document with the smallest id stands for them
-    alike = shingled.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep <> other").select("mark", "rep")
+    alike = own.where("stands").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep <> other").select("mark", "rep")
     alike = small_side(written(alike, "alike"), 48)
-    placed = own.join(alike, "mark", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    placed = own.join(alike, "mark", "left").select("doc_id", "n_shingles", "stands", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     placed = written(placed, "placed")
     copies = placed.where("doc_id <> rep").select("doc_id").distinct()
     alone = source.where("doc_id is not null").join(small_side(copies, 24), "doc_id", "left_anti")
+    if not odd.isEmpty():
+
+        @F.pandas_udf("binary")
+        def mark_of(texts: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else xxhash.xxh3_128_digest(shingles(t, k).tobytes()) for t in texts], dtype=object)
+
+        several = F.col("chosen").isNotNull()
+        alone = alone.join(odd, "doc_id", "left").where(~several | (mark_of(F.when(several, F.coalesce("text", F.lit("")))) == F.col("chosen"))).select("doc_id", "text")
 
-    sizes = placed.where("n_shingles > 0 and doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    sizes = placed.where("stands and doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     sizes = written(sizes, "alone")
     total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
     enough = F.col("repeated") >= F.ceil(F.col("n_shingles") * percent / 100)
