@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.shared import small_side, written
+from tripleweave.llm.shared import frugal, small_side, written
 
 #: Bytes of text to a range of neighbours, which one task reads as a stream.
 RANGE_BYTES = 16 << 20
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
 
     id_type = source.schema["doc_id"].dataType.simpleString()
-    prints = written(source.mapInArrow(run, f"doc_id {id_type}, fingerprint string"), "prints")
+    prints = written(source.mapInArrow(frugal(run), f"doc_id {id_type}, fingerprint string"), "prints")
     return verified(source, prints, ["fingerprint"])
 
 
@@ -78,7 +78,7 @@ def verified(source: DataFrame, prints: DataFrame, columns: list[str]) -> DataFr
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(map(digest, form), pa.string()), pa.array(form, pa.string())], names=["doc_id", main, "form"])
 
     id_type = source.schema["doc_id"].dataType.simpleString()
-    formed = texts.mapInArrow(forms, f"doc_id {id_type}, {main} string, form string")
+    formed = texts.mapInArrow(frugal(forms), f"doc_id {id_type}, {main} string, form string")
     # equal texts collapse before the shuffle, so a hot bucket moves two texts a task at most
     mixed = formed.groupBy(main).agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b").select(main)
     mixed = written(mixed, "collisions")
@@ -153,12 +153,12 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     key, order = F.coalesce("doc_id", F.lit(NO_ID)), [F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))]
     dealt = source.repartitionByRange(ranges, key, F.substring(F.coalesce("text", F.lit("")), 1, PREFIX)).sortWithinPartitions(*order)
     fields = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    walked = written(dealt.mapInArrow(_walk, f"at int, kind int, {fields}, text string"), "walked")
+    walked = written(dealt.mapInArrow(frugal(_walk), f"at int, kind int, {fields}, text string"), "walked")
     held = sorted(r["at"] for r in walked.where(F.col("kind") == FIRST).select("at").collect())
     steps = source.sparkSession.createDataFrame([*zip(held, held[1:] + held[:1], strict=True)], "at int, onward int")
     # one row a range
     lasts = walked.where(F.col("kind") == LAST).select("at", "doc_id", "text").join(F.broadcast(steps), "at")
     firsts = walked.where(F.col("kind") == FIRST).select(F.col("at").alias("onward"), F.col("text").alias("following"))
-    ends = lasts.join(firsts, "onward").select("doc_id", "text", "following").mapInArrow(_ends, fields)
+    ends = lasts.join(firsts, "onward").select("doc_id", "text", "following").mapInArrow(frugal(_ends), fields)
     prints = written(walked.where(F.col("kind") == DONE).select(*OUT.names).union(ends), "prints")
     return verified(source, prints, ["fingerprint"]).select(*OUT.names)

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.llm.pieces import mixed
-from tripleweave.llm.shared import components, small_side, written
+from tripleweave.llm.shared import components, frugal, small_side, written
 
 #: Shingles that a task holds at a time.
 CHUNK = 1_000_000
@@ -232,9 +232,9 @@ def repeated(source: DataFrame, k: int, parts: int) -> DataFrame:
         for name, held in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array(_opened(name, np.int64)[0]), pa.array(held)], names=["doc_id", "repeated"])
 
-    blocks = source.mapInArrow(emit, "part int, names binary, block binary")
-    counts = blocks.repartitionById(parts, F.col("part")).mapInArrow(count, "chunk long, names binary, held binary")
-    return counts.repartition("chunk").mapInArrow(total, "doc_id long, repeated long").groupBy("doc_id").agg(F.max("repeated").alias("repeated"))
+    blocks = source.mapInArrow(frugal(emit), "part int, names binary, block binary")
+    counts = blocks.repartitionById(parts, F.col("part")).mapInArrow(frugal(count), "chunk long, names binary, held binary")
+    return counts.repartition("chunk").mapInArrow(frugal(total), "doc_id long, repeated long").groupBy("doc_id").agg(F.max("repeated").alias("repeated"))
 
 
 POSTING = (np.uint64, np.int64, np.uint32, np.uint32)
@@ -281,8 +281,8 @@ def candidates(source: DataFrame, k: int, percent: int, common: np.ndarray, part
             a, b = spanning(*(np.concatenate(x) for x in zip(*edges, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
-    blocks = source.mapInArrow(emit, "part int, kind int, block binary")
-    return blocks.repartitionById(parts, F.col("part")).mapInArrow(meet, "src long, dst long")
+    blocks = source.mapInArrow(frugal(emit), "part int, kind int, block binary")
+    return blocks.repartitionById(parts, F.col("part")).mapInArrow(frugal(meet), "src long, dst long")
 
 
 class Node:
@@ -391,7 +391,7 @@ def common_shingles(sets: DataFrame, k: int) -> np.ndarray:
             often = count >= COMMON_LOCAL
             yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often])], names=["token", "n"])
 
-    top = sets.mapInArrow(survey, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON_RANKED).toPandas()
+    top = sets.mapInArrow(frugal(survey), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON_RANKED).toPandas()
     common = np.stack([top["token"].to_numpy(np.int64).view(np.uint64), np.arange(len(top), 0, -1).astype(np.uint64)], 1)
     return common[np.argsort(common[:, 0])]
 
@@ -407,7 +407,7 @@ def stored_sets(chosen: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["n_shingles"], pa.array(blobs, pa.binary())], names=["doc_id", "n_shingles", "items"])
         _WORDS.clear()
 
-    return chosen.select("doc_id", "text", "n_shingles").mapInArrow(pack, "doc_id long, n_shingles long, items binary")
+    return chosen.select("doc_id", "text", "n_shingles").mapInArrow(frugal(pack), "doc_id long, n_shingles long, items binary")
 
 
 def links_in_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -459,7 +459,7 @@ def links_in_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFra
         if out := close():
             yield pa.RecordBatch.from_pylist([{"src": s, "dst": d} for s, d in out])
 
-    return tasks.repartition(*ident).sortWithinPartitions(*ident, "doc_id").mapInArrow(walk, "src long, dst long")
+    return tasks.repartition(*ident).sortWithinPartitions(*ident, "doc_id").mapInArrow(frugal(walk), "src long, dst long")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -471,7 +471,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
             columns = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "mark"])
 
-    own = written(source.mapInArrow(survey, "doc_id long, n_shingles long, mark binary"), "sizes")
+    own = written(source.mapInArrow(frugal(survey), "doc_id long, n_shingles long, mark binary"), "sizes")
     shingled = own.where("n_shingles > 0 and doc_id is not null")
 
     # ids whose rows differ: one of their sets stands for the id

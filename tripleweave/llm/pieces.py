@@ -37,16 +37,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripleweave.llm.shared import frugal
+
 MARK = 0x2581
 NONE = np.int64(1 << 62)
 #: Characters that go through the agenda at a time.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: Words of more characters have no tree, and of more than the second number a heap of their own.
 SHORT, LONG = 63, 400
 #: Candidates that a node may have, and bounds of a worker's trees: nodes, candidates and ids.
 MASKED, NODES, HELD = 52, 300_000, 3_000_000
 #: A branch is kept if a batch takes it so often, or if it has few skips in a word that a batch holds so often.
-BRANCH_TIMES, FEW_SKIPS, WORD_TIMES = 2, 2, 24
+BRANCH_TIMES, FEW_SKIPS, WORD_TIMES = 2, 2, 16
 #: A word with the blanks before it.
 WORDS = re.compile(" +[^ ]*|[^ ]+")
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -541,7 +543,7 @@ def encoded(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, id_
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(same, pa.bool_())], names=[*kept, "pieces", "lossless"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{fields}, pieces array<int>, lossless boolean")
+    return source.mapInArrow(frugal(run), f"{fields}, pieces array<int>, lossless boolean")
 
 
 def decoded(table: DataFrame, path: str, pieces_col: str = "pieces") -> DataFrame:
@@ -557,7 +559,7 @@ def decoded(table: DataFrame, path: str, pieces_col: str = "pieces") -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{fields}, decoded string")
+    return source.mapInArrow(frugal(run), f"{fields}, decoded string")
 
 
 def digests(table: DataFrame) -> DataFrame:

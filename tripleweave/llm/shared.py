@@ -1,10 +1,14 @@
-"""Tables in the shared folder, size checks and connected components."""
+"""Tables in the shared folder, size checks, memory of Python workers and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +21,12 @@ _OWN: dict[str, str] = {}
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, the folder that all executors share.
 
-    Only where that setting is absent (a single machine) a temporary folder takes its place.
+    Only on a single machine, where that setting is absent, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _OWN.get(spark.sparkContext.applicationId)
         if base is None:
             base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tripleweave-")
@@ -40,6 +46,25 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with the memory that it held given back at the end of a partition.
+
+    Workers are used again by later stages, and free memory that they keep is missing to all others.
+    """
+
+    @functools.wraps(run)
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # only where the C library has it
+                trim(0)
+
+    return kept
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges(src, dst)``: rows ``(node, component)``.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.shared import shared_path, written
+from tripleweave.llm.shared import frugal, shared_path, written
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Pieces that a worker remembers at most; beyond that it starts anew.
@@ -178,7 +178,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 out += counts(rows[a:b])
             yield pa.RecordBatch.from_arrays([batch["content"], pa.array([version] * len(out), pa.string()), pa.array(out, pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
-    missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    missing.mapInArrow(frugal(encode), CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
     counts = counts.select("content", "n_tokens")
     if not fresh:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.shared import written
+from tripleweave.llm.shared import frugal, written
 
 TRAIN_ROWS, FEATURES, FOLDS = 4000, 600, 5
 #: Lengths of character n-grams; a feature must occur in so many training rows.
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], row
             part = keys[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([seen[n][k] for k in part], pa.int64()) for n in ["", *names])], names=["feature", "n", *names])
 
-    counted = held.mapInArrow(count, "feature string, n long, " + ", ".join(f"{n} long" for n in names))
+    counted = held.mapInArrow(frugal(count), "feature string, n long, " + ", ".join(f"{n} long" for n in names))
     counted = counted.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ["n", *names])).where(F.col("n") >= LEAST_ROWS)
     counted = written(counted, "features")
     totals = held.agg(F.count("*").alias("n"), *(F.sum(n).alias(n) for n in names)).first()
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], row
             hits = [sorted(vocabulary[f] for f in features(t) if f in vocabulary) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["weight"], *(batch[n] for n in names), pa.array(hits, pa.list_(pa.int32()))], names=["doc_id", "weight", *names, "hits"])
 
-    small = held.mapInArrow(project, f"doc_id {dict(held.dtypes)['doc_id']}, weight double, {kinds}, hits array<int>").toPandas().sort_values("doc_id")
+    small = held.mapInArrow(frugal(project), f"doc_id {dict(held.dtypes)['doc_id']}, weight double, {kinds}, hits array<int>").toPandas().sort_values("doc_id")
     x = np.zeros((len(small), len(vocabulary)), np.float32)
     for i, hits in enumerate(small["hits"]):
         x[i, hits] = 1
@@ -230,7 +230,7 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns, pa.array((p[:, -1] >= cut) & worded)], names=[*kept, *added, "flagged"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{fields}, {', '.join(f'{a} double' for a in added)}, flagged boolean")
+    return source.mapInArrow(frugal(run), f"{fields}, {', '.join(f'{a} double' for a in added)}, flagged boolean")
 
 
 def label_chain() -> dict[str, Column]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.shared import components, small_side, written
+from tripleweave.llm.shared import components, frugal, small_side, written
 
 #: Standard errors to the confidence bound.
 EPSILON = 4.0
@@ -191,7 +191,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
 
-    found = written(tasks.repartition(*ident).sortWithinPartitions(*ident).mapInArrow(walk, "node long, other long, links long"), "links")
+    found = written(tasks.repartition(*ident).sortWithinPartitions(*ident).mapInArrow(frugal(walk), "node long, other long, links long"), "links")
     counts = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     classed = classes.select("label", "v", F.col("rep").alias("node"), "weight").join(counts, "node", "left").join(joined, "node", "left")
