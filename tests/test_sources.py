@@ -55,6 +55,31 @@ def test_files(spark, tmp_path):
     assert R.load(TripleStore(spark), str(tmp_path / "t.ttl")).namespaces["ex"] == EX
 
 
+def test_quads_give_their_default_graph(spark, tmp_path):
+    nq = '<http://e/a> <http://e/p> "x" <http://e/g> .\n<http://e/a> <http://e/p> "y"@en .\n_:b <http://e/p> _:c _:g . # end\n_:b <http://e/p> _:c.\n'
+    want = {Triple(IRI("http://e/a"), IRI("http://e/p"), Literal("y", lang="en")), Triple(BlankNode("b"), IRI("http://e/p"), BlankNode("c"))}
+    assert set(R.parse_string(TripleStore(spark), nq, "nquads")) == want
+    trig = "@prefix e: <http://e/> .\n{ e:a e:p 'y'@en . _:b e:p _:c }\ne:g { e:a e:p [ e:p 1 ] . }\nGRAPH e:h { e:a e:p e:b }\ne:a e:p e:z ."
+    assert set(R.parse_string(TripleStore(spark), trig, "trig")) == want | {Triple(IRI("http://e/a"), IRI("http://e/p"), IRI("http://e/z"))}
+    for text, name in ((nq, "q.nq"), (trig, "t.trig")):
+        (tmp_path / name).write_text(text)
+        assert len(R.load(TripleStore(spark), str(tmp_path / name))) == len(R.parse_string(TripleStore(spark), text, name.rpartition(".")[2]))
+    for bad, form in (("<http://e/a> <http://e/p> .", "nq"), ("e:g { e:a e:p e:b", "trig"), ("{ <http://e/a> }", "trig")):
+        with pytest.raises(R.RDFParseError):
+            R.parse_string(TripleStore(spark), bad, form)
+
+
+def test_split_turtle_files(spark, tmp_path):
+    s = TripleStore.of(spark, [Triple(ex(f"s{i}"), ex("p"), Literal(f"a . b\n{i} .", lang="en")) for i in range(300)] + [Triple(BlankNode("x"), ex("p"), BlankNode("y"))], {"ex": EX})
+    R.save(s, str(tmp_path / "t.ttl"))
+    again = R.load(TripleStore(spark), str(tmp_path / "t.ttl"), statements=True)
+    assert len(again) == 301 and again.namespaces == {"ex": EX}
+    assert {t for t in again if isinstance(t.subject, IRI)} == {t for t in s if isinstance(t.subject, IRI)}
+    (tmp_path / "u.ttl").write_text("@prefix ex: <http://example.org/> .\nex:a ex:p [ ex:q 1 ] .\nex:a ex:p [ ex:q 1 ] .\n_:n ex:p _:n .\n_:n ex:q 2 .\n")
+    odd = R.load(TripleStore(spark), str(tmp_path / "u.ttl"), statements=True)
+    assert len(odd) == 6 and odd.count_subjects() == 4
+
+
 def test_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         R.load(TripleStore(spark), str(tmp_path / "missing.ttl"))

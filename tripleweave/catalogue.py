@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.functions.terms import IRI, Literal, Triple, serialized
+from tripleweave.functions.terms import IRI, BlankNode, Literal, Triple, iri_term, literal_term, serialized
 from tripleweave.functions.vocab import RDF, XSD
 from tripleweave.operators import shacl as S
 from tripleweave.operators.store import TripleStore
@@ -60,15 +60,22 @@ REGION = """
   select '<{B}region/' || r_regionkey || '>' as s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' as p, '<{B}Region>' as o from region
   union all select '<{B}region/' || r_regionkey || '>', '{B}r_name', '"' || r_name || '"' from region
 """
+CUSTOMERS = """
+  select '<{B}customer/' || c_custkey || '>' as s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' as p, '<{B}Customer>' as o from customer
+  union all select '<{B}customer/' || c_custkey || '>', '{B}c_name', '"' || c_name || '"' from customer
+  union all select '<{B}customer/' || c_custkey || '>', '{B}c_acctbal', '"' || c_acctbal || '"^^<http://www.w3.org/2001/XMLSchema#double>' from customer
+  union all select '<{B}customer/' || c_custkey || '>', '{B}c_mktsegment', '"' || c_mktsegment || '"' from customer
+  union all select '<{B}customer/' || c_custkey || '>', '{B}c_nationkey', '<{B}nation/' || c_nationkey || '>' from customer
+"""
 
 
 def scan(name: str, sql: str, **parts) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         graph = sample_graph(spark, sf_dir)
-        graph = VirtualGraph(spark, [t for t in graph.tables if t.name in ("region", "nation")])
+        graph = VirtualGraph(spark, [t for t in graph.tables if t.name in ("region", "nation", "customer")])
         return lines(graph.triples(**parts))
 
-    query(name, f"select * from ({NATION} union all {REGION}) {sql}")(run)
+    query(name, f"select * from ({NATION} union all {REGION} union all {CUSTOMERS}) {sql}")(run)
 
 
 scan("scan_all", "")
@@ -82,40 +89,56 @@ scan("scan_spo", "where s = '<{B}nation/3>' and p = '{B}n_name' and o = '\"NATIO
 
 
 # stores
-@query("stats_predicates", f"select p, count(*) as n from ({NATION} union all {REGION}) group by p")
+@query("stats_predicates", f"select p, count(*) as n from ({NATION} union all {CUSTOMERS}) group by p")
 def _stats(spark, sf_dir):
-    return _store(spark, sf_dir, "nation", "region").predicate_counts()
+    return _store(spark, sf_dir, "nation", "customer").predicate_counts()
 
 
-@query("stats_counts", f"select count(*) as triples, count(distinct s) as subjects, count(distinct p) as predicates, count(distinct o) as objects from ({NATION})")
+@query("stats_counts", f"select count(*) as triples, count(distinct s) as subjects, count(distinct p) as predicates, count(distinct o) as objects from ({CUSTOMERS})")
 def _counts(spark, sf_dir):
-    df = lines(_store(spark, sf_dir, "nation").df)
+    df = lines(_store(spark, sf_dir, "customer").df)
     return df.agg(F.count("*").alias("triples"), *(F.countDistinct(c).alias(n) for c, n in (("s", "subjects"), ("p", "predicates"), ("o", "objects"))))
 
 
-@query("add_dedup", f"select * from ({NATION}) union select * from ({NATION}) union select '<{{B}}nation/3>', '{{B}}n_name', '\"Other\"'")
+@query("store_create", "select '<{B}a>' as s, '{B}knows' as p, '<{B}b>' as o union all select '<{B}a>', '{B}name', '\"A\"@en-gb' union all select '_:n', '{B}age', '\"30\"^^<http://www.w3.org/2001/XMLSchema#integer>'")
+def _create(spark, sf_dir):
+    store = TripleStore.of(spark, [Triple(node("a"), node("knows"), node("b")), Triple(node("a"), node("knows"), node("b"))], {"t": BASE})
+    store.add(node("a"), node("name"), Literal("A", lang="en-GB"))
+    return lines(store.add([Triple(BlankNode("n"), node("age"), Literal(30))]).df)
+
+
+@query("add_dedup", f"select * from ({CUSTOMERS}) union select * from ({CUSTOMERS}) union select '<{{B}}customer/3>', '{{B}}c_name', '\"Other\"'")
 def _add(spark, sf_dir):
-    store = _store(spark, sf_dir, "nation")
-    return lines(store.add(store.df).add(node("nation/3"), node("n_name"), Literal("Other")).df)
+    store = _store(spark, sf_dir, "customer")
+    return lines(store.add(store.df).add(node("customer/3"), node("c_name"), Literal("Other")).df)
 
 
-@query("remove_triples", f"select * from ({NATION}) where p <> '{{B}}n_regionkey' and not (s = '<{{B}}nation/3>' and p = '{{B}}n_name')")
+@query("remove_triples", f"select * from ({CUSTOMERS}) where p <> '{{B}}c_nationkey' and not (s = '<{{B}}customer/3>' and p = '{{B}}c_mktsegment' and o = '\"BUILDING\"') and not (s = '<{{B}}customer/4>' and p = '{{B}}c_mktsegment' and o = '\"MACHINERY\"')")
 def _remove(spark, sf_dir):
-    store = _store(spark, sf_dir, "nation")
-    links = store.triples(predicate=node("n_regionkey"))
-    return lines(store.remove(Triple(node("nation/3"), node("n_name"), Literal("NATION_3"))).remove_all(links).df)
+    store = _store(spark, sf_dir, "customer")
+    links = store.triples(predicate=node("c_nationkey"))
+    gone = [Triple(node("customer/3"), node("c_mktsegment"), Literal("BUILDING")), Triple(node("customer/4"), node("c_mktsegment"), Literal("MACHINERY"))]
+    return lines(store.remove(gone).remove_all(links).df)
 
 
-@query("has_triple", f"select exists(select * from ({NATION}) where s = '<{{B}}nation/3>' and o = '\"NATION_3\"') as yes, exists(select * from ({NATION}) where o = '\"none\"') as no")
+@query("has_triple", f"select exists(select * from ({CUSTOMERS}) where p = '{{B}}c_nationkey' and o = '<{{B}}nation/3>') as yes, exists(select * from ({CUSTOMERS}) where o = '\"none\"') as no")
 def _has(spark, sf_dir):
-    store = _store(spark, sf_dir, "nation")
-    yes, no = (store.triples(node("nation/3"), node("n_name"), Literal(v)).limit(1).agg((F.count("*") > 0).alias(n)) for v, n in (("NATION_3", "yes"), ("none", "no")))
+    store = _store(spark, sf_dir, "customer")
+    yes, no = (store.triples(predicate=p, object=o).limit(1).agg((F.count("*") > 0).alias(n)) for p, o, n in ((node("c_nationkey"), node("nation/3"), "yes"), (node("c_name"), Literal("none"), "no")))
     return yes.crossJoin(no)
 
 
-@query("store_join", "select n_name as nn, r_name as rn from nation join region on n_regionkey = r_regionkey")
+@query("store_join", "select c_name as cn, n_name as nn from customer join nation on n_nationkey = c_nationkey")
 def _store_join(spark, sf_dir):
-    return _store(spark, sf_dir, "nation", "region").query("select ?nn ?rn where { ?n t:n_name ?nn ; t:n_regionkey ?r . ?r t:r_name ?rn }").flat
+    return _store(spark, sf_dir, "nation", "customer").analyze().query("select ?cn ?nn where { ?c t:c_name ?cn ; t:c_nationkey ?n . ?n t:n_name ?nn }").flat
+
+
+@query("prefixes", "select '{B}nation/7' as expanded, 'n:7' as abbreviated, 't:x' as shorter, 'http://other.example/n/7' as overridden, 'http://e.example/a' as empty_prefix")
+def _prefixes(spark, sf_dir):
+    g = TripleStore(spark).register_namespace("t", BASE).register_namespace("n", IRI(BASE + "nation/")).register_namespace("", "http://e.example/")
+    row = [g.expand("n:7").value, g.abbreviate(node("nation/7")), g.abbreviate(node("x"))]
+    row += [g.register_namespace("n", "http://other.example/n/").expand("n:7").value, g.expand(":a").value]
+    return spark.createDataFrame([row], "expanded string, abbreviated string, shorter string, overridden string, empty_prefix string")
 
 
 # basic graph patterns
@@ -163,6 +186,8 @@ filters("isiri", "isIRI(?p) && !isURI(?z)", "true")
 filters("isliteral", "isLiteral(?z) && !isLiteral(?p)", "true")
 filters("not_number", "!(?b > 3)", "true")
 filters("term_equality", '?z = "7"', "false")
+filters("literal", '"x"', "true")
+filters("literal_or", "?z < 5 || false", "true")
 sparql("filter_isblank", "select ?t ?r where { ?t t:role ?r filter(isBlank(?t)) }", "select 'c' || conv_id || '_' || turn as t, role as r from conversations")
 sparql("filter_two_variables", "select ?a ?b where { ?x t:n_regionkey ?r ; t:n_name ?a . ?y t:n_regionkey ?r ; t:n_name ?b filter(?x != ?y) }", "select x.n_name as a, y.n_name as b from nation x join nation y on x.n_regionkey = y.n_regionkey where x.n_nationkey <> y.n_nationkey")
 sparql("filter_arithmetic", "select ?p where { ?p t:p_size ?z filter(?z * 2 - 1 > 80) }", "select '{B}part/' || p_partkey as p from part where p_size * 2 - 1 > 80", extensions=True)
@@ -183,6 +208,17 @@ sparql(
     "select '{B}nation/' || n_nationkey as n, '{B}region/' || r_regionkey as q, r_name as rn from nation, region where (n_regionkey = r_regionkey and r_name = 'ASIA') or n_regionkey not in (select r_regionkey from region where r_name = 'ASIA')",
 )
 
+sparql(
+    "optional_unbound_right",
+    "select ?n ?q ?nn where { ?n t:n_regionkey ?q optional { ?m t:n_name ?nn optional { ?m t:n_regionkey ?q . ?q t:r_name \"ASIA\" } } }",
+    "select '{B}nation/' || n.n_nationkey as n, '{B}region/' || n.n_regionkey as q, m.n_name as nn from nation n join nation m on (m.n_regionkey = n.n_regionkey and m.n_regionkey in (select r_regionkey from region where r_name = 'ASIA')) or m.n_regionkey not in (select r_regionkey from region where r_name = 'ASIA')",
+)
+sparql(
+    "optional_unbound_alone",
+    "select ?d ?q where { ?d t:source ?s optional { ?l t:toxic ?x optional { ?l t:label_of ?d } ?l t:quality ?q filter(?x = 1) } }",
+    "select '{B}documents/' || d.doc_id as d, l.quality as q from documents d left join labels l on l.doc_id = d.doc_id and l.toxic = 1",
+)
+
 # union and groups
 sparql("union_basic", "select ?n where { { ?x t:c_name ?n } union { ?x t:s_name ?n } }", "select c_name as n from customer union all select s_name from supplier")
 sparql("union_diff_vars", "select ?x ?b ?k where { { ?x t:c_acctbal ?b } union { ?x t:s_nationkey ?k } }", "select '{B}customer/' || c_custkey as x, c_acctbal as b, null::varchar as k from customer union select '{B}supplier/' || s_suppkey, null, '{B}nation/' || s_nationkey from supplier")
@@ -236,6 +272,11 @@ def _describe_where(spark, sf_dir):
     return lines(sample_graph(spark, sf_dir).query('describe ?r where { ?r t:r_name "ASIA" }').df)
 
 
+@query("describe_many", f"select * from ({CUSTOMERS}) where s in (select '<{{B}}customer/' || c_custkey || '>' from customer where c_mktsegment = 'BUILDING') union select '<{{B}}orders/' || o_orderkey || '>', '{{B}}o_custkey', '<{{B}}customer/' || o_custkey || '>' from orders join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING' union select '<{{B}}events/' || event_id || '>', '{{B}}user_id', '<{{B}}customer/' || user_id || '>' from events join customer on c_custkey = user_id where c_mktsegment = 'BUILDING'")
+def _describe_many(spark, sf_dir):
+    return lines(sample_graph(spark, sf_dir).query('describe ?c where { ?c t:c_mktsegment "BUILDING" }').df)
+
+
 # constraints
 def shape(name: str, target: str, path: str, constraint, sql: str, severity: str = "Violation", node_level: bool = False, extensions: bool = False) -> None:
     """One violation row each: focus node, value and message."""
@@ -276,6 +317,21 @@ shape("bound_on_text", "Customer", "c_mktsegment", S.MinInclusive(1), violations
 shape("equals", "Labels", "quality", S.Equals(node("toxic")), violations("Equals", "'labels/' || doc_id", NO_VALUE, "'Property values must equal values of {B}toxic'", "labels where quality <> toxic"))
 shape("disjoint", "Labels", "quality", S.Disjoint(node("toxic")), violations("Disjoint", "'labels/' || doc_id", NO_VALUE, "'Property values must be disjoint from {B}toxic'", "labels where quality = toxic"))
 shape("less_than", "Labels", "toxic", S.LessThan(node("quality")), violations("LessThan", "'labels/' || doc_id", "toxic::varchar", "'Value must be less than values of {B}quality'", "labels where not toxic < quality"), extensions=True)
+shape("less_than_or_equals", "Labels", "toxic", S.LessThanOrEquals(node("quality")), violations("LessThanOrEquals", "'labels/' || doc_id", "toxic::varchar", "'Value must be less than values of {B}quality'", "labels where not toxic <= quality"), extensions=True)
+shape("closed_many", "Customer", "", S.Closed(True, (RDF.type, node("c_name"), node("c_mktsegment"))), violations("Closed", CUSTOMER, "c_acctbal::varchar", "'Property not allowed: {B}c_acctbal'", "customer") + " union all " + violations("Closed", CUSTOMER, "'{B}nation/' || c_nationkey", "'Property not allowed: {B}c_nationkey'", "customer"), node_level=True, extensions=True)
+
+
+@query("shacl_unique_lang", "select '{B}pair/' || k as focus, null::varchar as value, 'UniqueLang' as source_constraint, 'Language tags must be unique' as message, 'Violation' as severity from (select distinct doc_id // 3 as k from documents group by doc_id // 3, lang having count(distinct source || doc_id) > 1)")
+def _unique_lang(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    s = iri_term(F.concat(F.lit(BASE + "pair/"), F.floor(F.col("doc_id") / 3).cast("string")))
+    o = literal_term(F.concat("source", F.col("doc_id").cast("string")), None, F.col("lang"))
+    titles = docs.select(s.alias("s"), F.lit(BASE + "title").alias("p"), o.alias("o"))
+    shapes = [S.NodeShape(node("shape"), (S.TargetSubjectsOf(node("title")),), (), (S.PropertyShape(node("title"), (S.UniqueLang(),)),))]
+    found = S.validate(TripleStore(spark, titles), shapes, extensions=True).df
+    return found.select(F.col("focus_node.value").alias("focus"), F.col("value.value").alias("value"), "source_constraint", "message", "severity")
+
+
 shape("combined", "Part", "p_size", (S.MinInclusive(10), S.MaxInclusive(40), S.MinCount(1)), violations("MinInclusive", PART, "p_size::varchar", "'Value must be >= 10'", "part where not p_size >= 10") + " union all " + violations("MaxInclusive", PART, "p_size::varchar", "'Value must be <= 40'", "part where not p_size <= 40"))
 shape("severity", "Part", "p_size", S.MinInclusive(10), violations("MinInclusive", PART, "p_size::varchar", "'Value must be >= 10'", "part where not p_size >= 10", "Warning"), severity="Warning")
 

@@ -107,6 +107,16 @@ class Graph:
         given = [None if isinstance(t, A.Var) else t for t in (pattern.subject, pattern.predicate, pattern.object)]
         return pattern_relation(self.triples(*given), pattern)
 
+    def triples_of(self, rel: Relation, name: str) -> DataFrame:
+        """Triples whose subject is a value of a variable."""
+        wanted = rel.df.select(rel.vars[name].term().alias("__wanted"))
+        return self.triples().join(wanted, F.col("s") == F.col("__wanted"), "left_semi")
+
+    def triples_to(self, rel: Relation, name: str) -> DataFrame:
+        """Triples whose object is a value of a variable."""
+        wanted = rel.df.select(rel.vars[name].term().alias("__wanted"))
+        return self.triples().join(wanted, F.col("o") == F.col("__wanted"), "left_semi")
+
     # queries
     def query(self, q: A.SPARQLQuery | str, extensions: bool = False, numeric_order: bool = False):
         """Run a query, given as a tree or as text (which may use this graph's prefixes)."""

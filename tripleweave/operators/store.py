@@ -12,6 +12,10 @@ from tripleweave.operators.graph import Graph, filtered
 from tripleweave.plans import ast as A
 
 
+#: Predicates, the commonest first, whose counts the planner keeps.
+COUNTED = 10_000
+
+
 class TripleStore(Graph):
     """A set of triples. ``df`` holds each triple once."""
 
@@ -59,12 +63,13 @@ class TripleStore(Graph):
 
     def analyze(self) -> TripleStore:
         """Count predicates once; joins are then ordered by them."""
-        self._counts = {r["p"]: r["n"] for r in self.predicate_counts().orderBy(F.desc("n")).limit(10_000).collect()}
+        self._counts = {r["p"]: r["n"] for r in self.predicate_counts().orderBy(F.desc("n")).limit(COUNTED).collect()}
         return self
 
     def cost(self, pattern: A.TriplePattern, free: int) -> float:
         if self._counts is None or not isinstance(pattern.predicate, IRI):
             return free * 1e12
-        n = self._counts.get(pattern.predicate.value, 0)
+        # a predicate that was not among those counted has no more triples than the last of them
+        n = self._counts.get(pattern.predicate.value, min(self._counts.values()) if len(self._counts) == COUNTED else 0)
         return n / (1 + 1000 * sum(not isinstance(t, A.Var) for t in (pattern.subject, pattern.object)))
 

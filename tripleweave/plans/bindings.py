@@ -210,6 +210,30 @@ def merged(a: Bound, b: Bound) -> tuple[list[Column], Bound]:
     return cols, replace(a, cols=tuple(names), lang=lang, maybe=a.maybe and b.maybe)
 
 
+def _split(rel: Relation, name: str) -> tuple[Relation, Relation]:
+    """The rows in which a variable is bound, and the others without it."""
+    b = rel.vars[name]
+    rest = Relation(rel.df.where(~b.bound()), {v: x for v, x in rel.vars.items() if v != name})
+    return Relation(rel.df.where(b.bound()), rel.vars | {name: replace(b, maybe=False)}), rest.pruned() if rest.vars else Relation(rest.df.select(), {})
+
+
+def unmatched(left: Relation, right: Relation) -> Relation:
+    """Rows of ``left``, whose shared variables are bound, without a compatible row in ``right``."""
+    right = right.renamed() if right.vars else right
+    shared = [v for v in left.vars if v in right.vars]
+    left, right, possible = aligned(left, right, shared)
+    if not possible:
+        return left
+    maybe = next((v for v in shared if right.vars[v].maybe), None)
+    if maybe is not None:
+        rows, rest = _split(right, maybe)
+        return unmatched(unmatched(left, rows), rest)
+    if not shared:  # any row at all is a partner
+        return Relation(left.df.join(right.df.limit(1), F.lit(True), "left_anti"), left.vars)
+    on = reduce(lambda x, y: x & y, (equal(left.vars[v], right.vars[v]) for v in shared))
+    return Relation(left.df.join(right.df, on, "left_anti"), left.vars)
+
+
 def join(left: Relation, right: Relation, outer: bool = False) -> Relation:
     """Join of compatible solutions; ``outer`` keeps left rows without a partner (OPTIONAL).
 
@@ -226,22 +250,16 @@ def join(left: Relation, right: Relation, outer: bool = False) -> Relation:
     maybe_left = next((v for v in shared if left.vars[v].maybe), None)
     maybe_right = next((v for v in shared if right.vars[v].maybe), None)
     if possible and maybe_left is not None:
-        b = left.vars[maybe_left]
-        rows = Relation(left.df.where(b.bound()), left.vars | {maybe_left: replace(b, maybe=False)})
-        rest = Relation(left.df.where(~b.bound()), {v: x for v, x in left.vars.items() if v != maybe_left})
-        rest = rest.pruned() if rest.vars else Relation(rest.df.select(), {})
+        rows, rest = _split(left, maybe_left)
         return union([join(rows, right, outer), join(rest, right, outer)])
-    if possible and maybe_right is not None and not outer:
-        b = right.vars[maybe_right]
-        rows = Relation(right.df.where(b.bound()), right.vars | {maybe_right: replace(b, maybe=False)})
-        rest = Relation(right.df.where(~b.bound()), {v: x for v, x in right.vars.items() if v != maybe_right})
-        rest = rest.pruned() if rest.vars else Relation(rest.df.select(), {})
-        return union([join(left, rows), join(left, rest)])
+    if possible and maybe_right is not None:
+        rows, rest = _split(right, maybe_right)
+        parts = [join(left, rows), join(left, rest)]
+        return union([*parts, unmatched(unmatched(left, rows), rest)] if outer else parts)
     tests = [F.lit(False)] if not possible else []
     for v in shared:
-        same = equal(left.vars[v], right.vars[v]) if possible else None
-        if same is not None:
-            tests.append(same | ~right.vars[v].bound() if right.vars[v].maybe else same)
+        if possible:
+            tests.append(equal(left.vars[v], right.vars[v]))
     how = "left" if outer else "inner"
     if tests:
         df = left.df.join(right.df, reduce(lambda x, y: x & y, tests), how)

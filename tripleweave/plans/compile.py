@@ -238,27 +238,22 @@ class Compiler:
     def describe(self, q: A.DescribeQuery) -> DataFrame:
         constants = [r for r in q.resources if not isinstance(r, A.Var)]
         names = [r.name for r in q.resources if isinstance(r, A.Var)]
-        parts: list[DataFrame] = []
+        parts: list[Relation] = []
         if q.where:
             rel = self.group(q.where)
             rel = Relation(self.sliced(self.ordered(rel.df, q.modifiers.order_by, rel.vars), q.modifiers), rel.vars)
-            for v in names:
-                if v in rel.vars:
-                    parts.append(rel.df.where(rel.vars[v].bound()).select(rel.vars[v].term().alias("r")))
+            parts = [distinct(Relation(rel.df.where(rel.vars[v].bound()), {v: rel.vars[v]})) for v in names if v in rel.vars]
             if constants:
                 some = rel.df.limit(1).select(F.explode(F.array(*map(term_literal, constants))).alias("r"))
-                parts.append(some)
+                parts.append(Relation(some, {"r": Bound("term", ("r",))}))
         elif constants:
             # constants are scanned for directly: their keys reach the sources
             found = [self.graph.triples(subject=c) for c in constants if not isinstance(c, Literal)] + [self.graph.triples(object=c) for c in constants]
             return reduce(lambda a, b: a.union(b), found).distinct()
         if not parts:
             return self.graph.empty()
-        wanted = reduce(lambda a, b: a.union(b), parts).distinct()
-        every = self.graph.triples()
-        subjects = every.join(wanted, every["s"] == wanted["r"], "left_semi")
-        objects = every.join(wanted, every["o"] == wanted["r"], "left_semi")
-        return subjects.union(objects).distinct()
+        found = [f(p, next(iter(p.vars))) for p in parts for f in (self.graph.triples_of, self.graph.triples_to)]
+        return reduce(lambda a, b: a.union(b), found).distinct()
 
 
 KINDS = {"isiri": "iri", "isuri": "iri", "isliteral": "literal", "isblank": "bnode"}

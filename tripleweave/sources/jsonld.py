@@ -9,6 +9,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import re
 import types
 import typing
 import warnings
@@ -62,6 +63,10 @@ class TypeMapping:
 
 
 # contexts
+#: Names that are resolved already: addresses, blank nodes and keywords.
+ABSOLUTE = r"^(?:https?://|urn:|_:|@)"
+
+
 def parse_context(document) -> Context:
     """The context of a document, given as text or as parsed JSON."""
     document = json.loads(document) if isinstance(document, str) else document
@@ -69,127 +74,154 @@ def parse_context(document) -> Context:
 
 
 def parse_context_object(given) -> Context:
-    if given is None:
-        return Context()
-    if isinstance(given, str):
-        return Context(vocab=given)  # a remote context is never fetched; its address is the vocabulary
+    """A context from an object, a list of contexts or an address.
+
+    A remote context is never fetched; its address is the vocabulary.
+    """
     if isinstance(given, list):
         return merge_contexts(*map(parse_context_object, given))
-    found = Context(given.get("@vocab"), given.get("@base"))
-    for key, value in given.items():
-        if key.startswith("@"):
-            continue
-        if isinstance(value, str):
-            found.terms[key] = TermDefinition(value)
-            if value[-1:] in (":", "/", "#"):
-                found.prefixes[key] = value
-        elif isinstance(value, dict):
-            back = value.get("@reverse")
-            iri = value.get("@id") or back or key
-            found.terms[key] = TermDefinition(iri, value.get("@type"), value.get("@container"), value.get("@language"), back is not None)
-    return found
+    entries = {"@vocab": given} if isinstance(given, str) else given or {}
+    own = {k: v for k, v in entries.items() if not k.startswith("@")}
+    namespaces = {k: v for k, v in own.items() if isinstance(v, str) and v.endswith((":", "/", "#"))}
+    terms = {k: _definition(k, v) for k, v in own.items() if isinstance(v, str | dict)}
+    return Context(entries.get("@vocab"), entries.get("@base"), namespaces, terms)
+
+
+def _definition(name: str, given) -> TermDefinition:
+    parts = {"@id": given} if isinstance(given, str) else given
+    iri = next(filter(None, (parts.get("@id"), parts.get("@reverse"), name)))
+    return TermDefinition(iri, *map(parts.get, ("@type", "@container", "@language")), reverse="@reverse" in parts)
 
 
 def merge_contexts(*contexts: Context) -> Context:
-    out = Context()
-    for c in contexts:
-        out.vocab, out.base = c.vocab or out.vocab, c.base or out.base
-        out.prefixes |= c.prefixes
-        out.terms |= c.terms
-    return out
+    """One context; what comes later counts."""
+
+    def last(name: str) -> str | None:
+        return next((x for c in reversed(contexts) if (x := getattr(c, name))), None)
+
+    def together(name: str) -> dict:
+        return {k: v for c in contexts for k, v in getattr(c, name).items()}
+
+    return Context(last("vocab"), last("base"), together("prefixes"), together("terms"))
+
+
+class Names:
+    """The tables by which a context resolves names, for Python and for expressions alike.
+
+    A name with a known prefix takes its namespace, a term its IRI, and all others the vocabulary.
+    """
+
+    def __init__(self, context: Context):
+        self.namespaces = {f"{p}:": ns for p, ns in context.prefixes.items()}
+        self.vocab = context.vocab or ""
+        self.terms = {name: self._with_namespace(t.iri) or t.iri for name, t in context.terms.items()}
+
+    def _with_namespace(self, name: str) -> str | None:
+        head = name[: name.find(":") + 1]
+        return self.namespaces[head] + name[len(head) :] if head in self.namespaces else None
+
+    def __call__(self, name: str) -> str:
+        if re.match(ABSOLUTE, name):
+            return name
+        return self._with_namespace(name) or self.terms.get(name, self.vocab + name)
+
+    def column(self, name: Column) -> Column:
+        """The same of a column."""
+        head = F.regexp_extract(name, "^[^:]*:", 0)
+        found = [F.when(name.rlike(ABSOLUTE), name)]
+        if self.namespaces:
+            found.append(F.concat(_looked_up(self.namespaces, head), F.substring(name, F.length(head) + 1, F.length(name))))
+        if self.terms:
+            found.append(_looked_up(self.terms, name))
+        return F.coalesce(*found, F.concat(F.lit(self.vocab), name))
+
+
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
 
 def expand_iri(term: str, context: Context) -> str:
-    if term.startswith(("http://", "https://", "urn:", "_:", "@")):
-        return term
-    prefix, colon, local = term.partition(":")
-    if colon and prefix in context.prefixes:
-        return context.prefixes[prefix] + local
-    if term in context.terms:
-        iri = context.terms[term].iri
-        head, colon, local = iri.partition(":")
-        return context.prefixes[head] + local if colon and head in context.prefixes else iri
-    return context.vocab + term if context.vocab else term
+    return Names(context)(term)
 
 
 def compact_iri(iri: str, context: Context) -> str:
-    if iri.startswith(("@", "_:")):
-        return iri
-    for name, definition in context.terms.items():
-        if definition.iri == iri and name not in context.prefixes:
-            return name
-    if context.vocab and iri.startswith(context.vocab) and not set(iri[len(context.vocab) :]) & {":", "/"}:
-        return iri[len(context.vocab) :]
-    fits = [(len(ns), p) for p, ns in context.prefixes.items() if iri.startswith(ns)]
-    return f"{max(fits)[1]}:{iri[max(fits)[0] :]}" if fits else iri
+    """The first short form that there is: a term, a name of the vocabulary, or a prefixed name."""
+    return iri if iri.startswith(("@", "_:")) else next(_short_forms(iri, context), iri)
+
+
+def _short_forms(iri: str, context: Context) -> Iterator[str]:
+    yield from (name for name, t in context.terms.items() if t.iri == iri and name not in context.prefixes)
+    if context.vocab and iri.startswith(context.vocab) and not re.search("[:/]", iri[len(context.vocab) :]):
+        yield iri[len(context.vocab) :]
+    longest = max(((len(ns), p) for p, ns in context.prefixes.items() if iri.startswith(ns)), default=None)
+    if longest:
+        yield f"{longest[1]}:{iri[longest[0] :]}"
 
 
 def context_to_dict(context: Context) -> dict:
-    out: dict = {}
-    if context.base:
-        out["@base"] = context.base
-    if context.vocab:
-        out["@vocab"] = context.vocab
-    for name, t in context.terms.items():
-        long = {"@id": t.iri, "@type": t.type, "@container": t.container, "@language": t.language, "@reverse": t.reverse or None}
-        out[name] = t.iri if not any((t.type, t.container, t.language, t.reverse)) else {k: v for k, v in long.items() if v}
-    return out | {p: ns for p, ns in context.prefixes.items() if p not in out}
+    def long(t: TermDefinition) -> dict:
+        return {"@id": t.iri, "@type": t.type, "@container": t.container, "@language": t.language, "@reverse": t.reverse}
+
+    terms = {name: {k: v for k, v in long(t).items() if v} for name, t in context.terms.items()}
+    short = {name: t["@id"] if t.keys() == {"@id"} else t for name, t in terms.items()}
+    return {k: v for k, v in (("@base", context.base), ("@vocab", context.vocab)) if v} | context.prefixes | short
 
 
 # expansion
+#: Datatypes of plain JSON values; text has none.
+DATATYPES = {bool: XSD.boolean.value, int: XSD.integer.value, float: XSD.double.value}
+
+
+def _listed(value) -> list:
+    return value if isinstance(value, list) else [value]
+
+
+class _Expansion:
+    """Expanded objects under one context."""
+
+    def __init__(self, context: Context):
+        self.context, self.name = context, Names(context)
+
+    def object(self, given: dict) -> dict:
+        keywords = {k: self.keyword(k, v) for k, v in given.items() if k.startswith("@") and k != "@context"}
+        properties: dict[str, list] = {}
+        for key, value in given.items():
+            iri = self.name(key)
+            # a name that nothing resolves is no property
+            if not key.startswith("@") and (iri != key or self.context.vocab or ":" in key):
+                properties.setdefault(iri, []).extend(self.values(value, self.context.terms.get(key)))
+        return keywords | {iri: values for iri, values in properties.items() if values}
+
+    def keyword(self, key: str, value):
+        if key == "@type":
+            return [self.name(t) for t in _listed(value)]
+        if key == "@graph":
+            return [self.object(x) for x in _listed(value) if isinstance(x, dict)]
+        return self.identifier(value) if key == "@id" else value
+
+    def identifier(self, given: str) -> str:
+        iri = self.name(given)
+        relative = iri == given and ":" not in iri
+        return urljoin(self.context.base, iri) if relative and self.context.base else iri
+
+    def values(self, given, term: TermDefinition | None) -> Iterator[dict]:
+        links = term is not None and term.type == "@id"
+        for value in _listed(given):
+            if isinstance(value, dict):
+                yield dict(value) if "@value" in value else {"@id": self.name(value["@id"])} if value.keys() == {"@id"} else self.object(value)
+            elif links and isinstance(value, str):
+                yield {"@id": self.name(value)}
+            elif value is not None:
+                kind = DATATYPES.get(type(value))
+                yield {"@value": value} | ({"@type": kind} if kind else {})
+
+
 def expand(document, context: Context | None = None) -> list[dict]:
-    """Expanded form. A given context goes before the document's own."""
+    """Expanded form, one object a document. A given context goes before the document's own."""
     document = json.loads(document) if isinstance(document, str) else document
     if isinstance(document, list):
         return [x for d in document for x in expand(d, context)]
-    own = context or parse_context(document)
-    found = _object(document, own)
-    return [found]
-
-
-def _object(given: dict, context: Context) -> dict:
-    out: dict = {}
-    for key, value in given.items():
-        if key == "@context":
-            continue
-        if key == "@id":
-            iri = expand_iri(value, context)
-            out["@id"] = urljoin(context.base, iri) if context.base and ":" not in iri and iri == value else iri
-        elif key == "@type":
-            out["@type"] = [expand_iri(t, context) for t in (value if isinstance(value, list) else [value])]
-        elif key == "@graph":
-            out["@graph"] = [_object(x, context) for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)]
-        elif key.startswith("@"):
-            out[key] = value
-        else:
-            iri = expand_iri(key, context)
-            if iri == key and not context.vocab and ":" not in iri:
-                continue
-            term = context.terms.get(key)
-            values = [x for v in (value if isinstance(value, list) else [value]) if (x := _value(v, context, term)) is not None]
-            if values:
-                out[iri] = out.get(iri, []) + values
-    return out
-
-
-def _value(value, context: Context, term: TermDefinition | None):
-    if value is None:
-        return None
-    if isinstance(value, dict):
-        if "@value" in value:
-            return dict(value)
-        if set(value) == {"@id"}:
-            return {"@id": expand_iri(value["@id"], context)}
-        return _object(value, context)
-    if term and term.type == "@id" and isinstance(value, str):
-        return {"@id": expand_iri(value, context)}
-    if isinstance(value, bool):
-        return {"@value": value, "@type": XSD.boolean.value}
-    if isinstance(value, int):
-        return {"@value": value, "@type": XSD.integer.value}
-    if isinstance(value, float):
-        return {"@value": value, "@type": XSD.double.value}
-    return {"@value": value}
+    return [_Expansion(context or parse_context(document)).object(document)]
 
 
 # triples
@@ -248,16 +280,6 @@ def documents_to_triples(docs: DataFrame, column: str = "value", context: Contex
     return _flat_triples(docs.where(flat), column, context).union(_nested_triples(nested, column, context))
 
 
-def _expanded(name: Column, context: Context) -> Column:
-    """``expand_iri`` as an expression."""
-    found = F.when(name.rlike("^(?:https?://|urn:|_:|@)"), name)
-    for prefix, ns in context.prefixes.items():
-        found = found.when(name.startswith(prefix + ":"), F.concat(F.lit(ns), F.substring(name, F.lit(len(prefix) + 2), F.length(name))))
-    for term in context.terms:
-        found = found.when(name == term, expand_iri(term, context))
-    return found.otherwise(F.concat(F.lit(context.vocab), name) if context.vocab else name)
-
-
 def _named(value: Column) -> Column:
     return F.when(value.startswith("_:"), bnode_term(F.substring(value, F.lit(3), F.length(value)))).otherwise(iri_term(value))
 
@@ -267,14 +289,14 @@ def _flat_triples(docs: DataFrame, column: str, context: Context) -> DataFrame:
     spark = docs.sparkSession
     scope = F.concat(F.lit("b"), F.substring(F.sha2(F.col(column), 256), 1, 16), F.lit("n0"))
     parsed = docs.select(F.parse_json(column).alias("j"), scope.alias("own"))
-    ident = F.try_variant_get("j", "$['@id']", "string")
-    parsed = parsed.select("j", F.when(ident.isNull(), bnode_term(F.col("own"))).otherwise(_named(_expanded(ident, context))).alias("s"))
-    pairs = spark.sql("select t.s, v.key as k, v.value as v, schema_of_variant(v.value) as kind from {t} t, lateral variant_explode(t.j) v", t=parsed)
-    single = pairs.where(~F.col("kind").startswith("ARRAY"))
-    many = spark.sql("select t.s, t.k, e.value as v, schema_of_variant(e.value) as kind from {t} t, lateral variant_explode(t.v) e", t=pairs.where(F.col("kind").startswith("ARRAY")))
-    items = single.union(many).where("kind <> 'VOID'").withColumn("text", F.try_variant_get("v", "$", "string"))
+    ident, names = F.try_variant_get("j", "$['@id']", "string"), Names(context)
+    parsed = parsed.select("j", F.when(ident.isNull(), bnode_term(F.col("own"))).otherwise(_named(names.column(ident))).alias("s"))
+    pairs = spark.sql("select t.s, v.key as k, v.value as v from {t} t, lateral variant_explode(t.j) v", t=parsed)
+    # a scalar is a list of one
+    listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    items = pairs.select("s", "k", F.explode(listed).alias("v")).select("s", "k", F.schema_of_variant("v").alias("kind"), F.try_variant_get("v", "$", "string").alias("text")).where("kind <> 'VOID'")
     key = F.col("k")
-    iri = _expanded(key, context)
+    iri = names.column(key)
     plain = F.lit(True) if context.vocab else (iri != key) | F.contains(iri, F.lit(":"))
     items = items.where((key == "@type") | ~key.startswith("@") & plain)
     links = [t for t, d in context.terms.items() if d.type == "@id"]
@@ -282,7 +304,7 @@ def _flat_triples(docs: DataFrame, column: str, context: Context) -> DataFrame:
     datatype = F.when(F.col("kind") == "BIGINT", XSD.integer.value).when(F.col("kind") == "BOOLEAN", XSD.boolean.value)
     none = F.lit(None).cast("string")
     literal = F.struct(F.lit("literal").alias("kind"), F.col("text").alias("value"), datatype.alias("datatype"), none.alias("lang"))
-    target = F.when(is_link, _named(_expanded(F.col("text"), context))).otherwise(literal)
+    target = F.when(is_link, _named(names.column(F.col("text")))).otherwise(literal)
     return items.select("s", F.when(key == "@type", RDF.type.value).otherwise(iri).alias("p"), target.alias("o"))
 
 

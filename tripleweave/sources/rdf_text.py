@@ -1,7 +1,9 @@
-"""N-Triples and Turtle, read and written.
+"""N-Triples, N-Quads, Turtle and TriG, read and written.
 
-N-Triples is split by Spark and parsed by one regular expression a line. A Turtle document only makes sense
-as a whole, so files are parsed by document, many documents side by side.
+N-Triples and N-Quads are split by Spark and parsed by one regular expression a line. A Turtle document only
+makes sense as a whole, so files are parsed by document, many documents side by side; files in which every
+statement ends its line, as those that ``save`` writes, may be split by statement instead. Of quads the triples of
+the default graph are read.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +40,12 @@ def format_of(name: str, path: str = "") -> str:
 
 
 # N-Triples
-LINE = (
+TRIPLE = (
     r"^\s*(?:<([^<>\s]*)>|_:(\S+))\s+<([^<>\s]*)>\s+"
-    r'(?:<([^<>\s]*)>|_:([^\s.]+(?:\.+[^\s.]+)*)|"((?:[^"\\\n\r]|\\.)*)"(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)\s*\.\s*(?:#.*)?$'
+    r'(?:<([^<>\s]*)>|_:([^\s.]+(?:\.+[^\s.]+)*)|"((?:[^"\\\n\r]|\\.)*)"(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)'
 )
+END = r"\s*\.\s*(?:#.*)?$"
+LINE, QUAD_LINE = TRIPLE + END, TRIPLE + r"\s*(<[^<>\s]*>|_:[^\s.]+(?:\.+[^\s.]+)*)?" + END
 
 
 def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -71,6 +75,14 @@ def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(subject.alias("s"), part(3).alias("p"), target.alias("o"))
 
 
+def parse_nquads(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Triples of the default graph of lines of N-Quads text."""
+    text = F.col(column)
+    checked = F.when(text.rlike(QUAD_LINE) | text.rlike(r"^\s*(#.*)?$"), text).otherwise(F.raise_error(F.concat(F.lit("not a quad: "), text)))
+    # a line whose quad has no graph is a line of N-Triples
+    return parse_ntriples(lines.select(checked.alias(column)).where(F.regexp_extract(column, QUAD_LINE, 9) == ""), column)
+
+
 @F.pandas_udf(T.StringType())
 def decoded(values: pd.Series) -> pd.Series:
     """Texts with numeric escapes; rare, so they alone leave the engine."""
@@ -93,7 +105,7 @@ TOKEN = re.compile(
     |(?P<bnode>_:[\w](?:[\w.-]*[\w-])?)
     |(?P<name>(?:[^\W\d_](?:[\w.-]*[\w-])?)?:(?:(?:[\w:%]|\\[~.\-!$&'()*+,;=/?\#@%_])(?:(?:[\w:%.-]|\\[~.\-!$&'()*+,;=/?\#@%_])*(?:[\w:%-]|\\[~.\-!$&'()*+,;=/?\#@%_]))?)?)
     |(?P<word>[A-Za-z]+)
-    |(?P<symbol>\^\^|[.;,\[\]()])""",
+    |(?P<symbol>\^\^|[.;,\[\](){}])""",
     re.X | re.S,
 )
 
@@ -121,8 +133,8 @@ def _resolved(base: str, iri: str) -> str:
 class TurtleParser:
     """One document. ``scope`` keeps its blank nodes apart from those of other documents."""
 
-    def __init__(self, text: str, base: str = "", scope: str = ""):
-        self.base, self.scope, self.prefixes, self.out, self.made = base, scope, {}, [], 0
+    def __init__(self, text: str, base: str = "", scope: str = "", prefixes: dict[str, str] | None = None):
+        self.base, self.scope, self.prefixes, self.out, self.made = base, scope, dict(prefixes or {}), [], 0
         self.tokens, at = [], 0
         while at < len(text):
             m = TOKEN.match(text, at)
@@ -172,35 +184,39 @@ class TurtleParser:
 
     def document(self) -> list[Triple]:
         while self.kind != "end":
-            word = self.text.lower().lstrip("@")
-            if self.kind == "directive" or self.kind == "word" and word in ("prefix", "base"):
-                dotted = self.next().startswith("@")
-                if word == "prefix":
-                    if self.kind != "name" or not self.text.endswith(":"):
-                        raise RDFParseError("a prefix is expected")
-                    name = self.next()[:-1]
-                if self.kind != "iri":
-                    raise RDFParseError("an IRI is expected")
-                iri = _resolved(self.base, self.next()[1:-1])
-                if word == "prefix":
-                    self.prefixes[name] = iri
-                else:
-                    self.base = iri
-                if dotted:
-                    self.need(".")
-                continue
-            if self.kind == "symbol" and self.text == "[":
-                subject = self.node()
-                if not (self.kind == "symbol" and self.text == "."):
-                    self.properties(subject)
-            else:
-                subject = self.node()
-                if isinstance(subject, Literal):
-                    raise RDFParseError("a subject is no literal")
-                self.properties(subject)
-            self.need(".")
+            if not self.directive():
+                self.statement()
+                self.need(".")
         return self.out
 
+    def directive(self) -> bool:
+        word = self.text.lower().lstrip("@")
+        if self.kind != "directive" and not (self.kind == "word" and word in ("prefix", "base")):
+            return False
+        dotted = self.next().startswith("@")
+        if word == "prefix":
+            if self.kind != "name" or not self.text.endswith(":"):
+                raise RDFParseError("a prefix is expected")
+            name = self.next()[:-1]
+        if self.kind != "iri":
+            raise RDFParseError("an IRI is expected")
+        iri = _resolved(self.base, self.next()[1:-1])
+        if word == "prefix":
+            self.prefixes[name] = iri
+        else:
+            self.base = iri
+        if dotted:
+            self.need(".")
+        return True
+
+    def statement(self) -> None:
+        own = self.kind == "symbol" and self.text == "["
+        subject = self.node()
+        if isinstance(subject, Literal):
+            raise RDFParseError("a subject is no literal")
+        if not (own and self.kind == "symbol" and self.text in (".", "}")):
+            self.properties(subject)
+
     def properties(self, subject: RDFNode) -> None:
         while True:
             if self.kind == "word" and self.text == "a":
@@ -216,7 +232,7 @@ class TurtleParser:
                 return
             while self.take(";"):
                 pass
-            if self.kind == "symbol" and self.text in (".", "]"):
+            if self.kind == "symbol" and self.text in (".", "]", "}"):
                 return
 
     def node(self) -> RDFNode:
@@ -255,59 +271,143 @@ class TurtleParser:
         raise RDFParseError(f"unexpected {text or 'end'!r}")
 
 
+class TrigParser(TurtleParser):
+    """A TriG document: statements on their own or in braces are in the default graph, named graphs are passed over."""
+
+    def document(self) -> list[Triple]:
+        while self.kind != "end":
+            if self.directive():
+                continue
+            named = self.kind == "word" and self.text.lower() == "graph"
+            if named:
+                self.next()
+            start = len(self.out)
+            if not named and self.take("{"):
+                self.block()
+            elif named or self.tokens[self.at + 1] == ("symbol", "{"):
+                self.node()
+                self.need("{")
+                self.block()
+                del self.out[start:]
+            else:
+                self.statement()
+                self.need(".")
+        return self.out
+
+    def block(self) -> None:
+        while not self.take("}"):
+            self.statement()
+            if not self.take("."):
+                self.need("}")
+                return
+
+
+PARSERS = {"turtle": TurtleParser, "trig": TrigParser}
+LINES = {"ntriples": (parse_ntriples, LINE), "nquads": (parse_nquads, QUAD_LINE)}
+
+
 def parse_string(store: TripleStore, content: str, format: str = "turtle", base: str = "") -> TripleStore:
     """Add the triples of a document; its prefixes are registered."""
     kind = format_of(format)
-    if kind == "ntriples":
+    if kind in LINES:
+        read, line = LINES[kind]
         rows = store.spark.createDataFrame([(x,) for x in re.split(r"\r\n|\n|\r", content)], "value string")
-        try:
-            found = parse_ntriples(rows).collect()
-        except PySparkException as e:
-            raise RDFParseError(str(e).splitlines()[0]) from e
-        return store.add(store.spark.createDataFrame(found, TRIPLE_SCHEMA))
-    if kind != "turtle":
-        raise RDFParseError(f"reading {kind} is not supported")
-    parser = TurtleParser(content, base)
+        wrong = rows.where(~F.col("value").rlike(line) & ~F.col("value").rlike(r"^\s*(#.*)?$")).first()
+        if wrong is not None:
+            raise RDFParseError(f"not a line of {kind}: {wrong['value']}")
+        return store.add(read(rows))
+    parser = PARSERS[kind](content, base)
     triples = parser.document()
     for prefix, iri in parser.prefixes.items():
         store.register_namespace(prefix, iri)
     return store.add(triples) if triples else store
 
 
-def read_turtle(spark: SparkSession, path: str, base: str = "") -> DataFrame:
-    """Triples of all Turtle files below a path, one task working through whole files."""
+def _frame(triples: list[Triple]) -> pd.DataFrame:
+    named = [(dict(zip(NODE, s, strict=True)), p, dict(zip(NODE, o, strict=True))) for s, p, o in triple_rows(triples)]
+    return pd.DataFrame(named, columns=["s", "p", "o"])
+
+
+def _scope(file: str) -> Column:
+    return F.concat(F.lit("d"), F.hex(F.xxhash64(file)))
+
+
+def read_turtle(spark: SparkSession, path: str, base: str = "", kind: str = "turtle") -> DataFrame:
+    """Triples of all Turtle (or TriG) files below a path, one task working through whole files."""
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for text, scope in zip(frame["value"], frame["scope"], strict=True):
-                rows = triple_rows(TurtleParser(text, base, scope).document())
-                named = [(dict(zip(NODE, s, strict=True)), p, dict(zip(NODE, o, strict=True))) for s, p, o in rows]
-                yield pd.DataFrame(named, columns=["s", "p", "o"])
+                yield _frame(PARSERS[kind](text, base, scope).document())
+
+    return files.select("value", _scope("file").alias("scope")).mapInPandas(run, TRIPLE_SCHEMA)
+
+
+def turtle_prefixes(spark: SparkSession, path: str, base: str = "", kind: str = "turtle") -> DataFrame:
+    """The distinct prefixes that the parser finds in all files below a path."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for text in frame["value"]:
+                parser = PARSERS[kind](text, base)
+                parser.document()
+                yield pd.DataFrame(list(parser.prefixes.items()), columns=["prefix", "iri"])
 
-    return files.select("value", F.concat(F.lit("d"), F.hex(F.xxhash64("file"))).alias("scope")).mapInPandas(run, TRIPLE_SCHEMA)
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "prefix string, iri string").distinct()
+
+
+def read_statements(spark: SparkSession, path: str, base: str = "") -> tuple[DataFrame, dict[str, str]]:
+    """Triples and prefixes of Turtle files of any size in which each statement, and nothing else, ends a line with `` .``
+
+    Files are split by statement. A prefix holds for all files; base directives are not taken.
+    """
+    rows = spark.read.option("lineSep", " .\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    is_prefix = F.col("value").rlike(r"(?i)^\s*@prefix\s")
+    heads = rows.where(is_prefix).select(F.regexp_extract("value", r"(?i)^\s*@prefix\s+([\w.-]*):", 1).alias("prefix"), F.regexp_extract("value", r"<([^>]*)>", 1).alias("iri"))
+    prefixes = {r["prefix"]: r["iri"] for r in heads.distinct().orderBy("prefix", "iri").collect()}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for text, scope, at in zip(frame["value"], frame["scope"], frame["at"], strict=True):
+                parser = TurtleParser(text + " .", base, scope, prefixes)
+                # unnamed nodes belong to their statement, labelled ones to the file
+                parser.fresh = lambda own=parser, at=at: _numbered(own, at)
+                out += parser.document()
+            yield _frame(out)
+
+    body = rows.where(~is_prefix & (F.trim("value") != "") & (F.trim(F.replace("value", F.lit("\n"))) != ""))
+    body = body.select("value", _scope("file").alias("scope"), F.monotonically_increasing_id().alias("at"))
+    return body.mapInPandas(run, TRIPLE_SCHEMA), prefixes
+
+
+def _numbered(parser: TurtleParser, at: int) -> BlankNode:
+    parser.made += 1
+    return BlankNode(f"{parser.scope}s{at}genid{parser.made}")
 
 
 NODE = ("kind", "value", "datatype", "lang")
 
 
-def load(store: TripleStore, path: str, format: str = "auto", base: str = "") -> TripleStore:
-    """Add the triples of a file or of a folder of files."""
+def load(store: TripleStore, path: str, format: str = "auto", base: str = "", statements: bool = False) -> TripleStore:
+    """Add the triples of a file or of a folder of files. ``statements``: Turtle files may be split, see ``read_statements``."""
     kind = format_of(format, path)
     try:
-        if kind == "ntriples":
-            return store.add(parse_ntriples(store.spark.read.text(path)))
-        if kind != "turtle":
-            raise RDFParseError(f"reading {kind} is not supported")
-        heads = store.spark.read.text(path).where(F.col("value").rlike(r"(?i)^\s*@?prefix\s")).limit(10_000).collect()
+        if kind in LINES:
+            return store.add(LINES[kind][0](store.spark.read.text(path)))
+        if statements and kind == "turtle":
+            found, prefixes = read_statements(store.spark, path, base)
+        else:
+            heads = turtle_prefixes(store.spark, path, base, kind).orderBy("prefix", "iri").collect()
+            found, prefixes = read_turtle(store.spark, path, base, kind), {r["prefix"]: r["iri"] for r in heads}
     except PySparkException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(path) from e
         raise
-    for r in heads:
-        if m := re.match(r"(?i)\s*@?prefix\s+([\w.-]*):\s*<([^>]*)>", r["value"]):
-            store.register_namespace(m[1], m[2])
-    return store.add(read_turtle(store.spark, path, base))
+    for prefix, iri in prefixes.items():
+        store.register_namespace(prefix, iri)
+    return store.add(found)
 
 
 # writers
@@ -344,4 +444,4 @@ def save(store: TripleStore, path: str, format: str = "turtle") -> None:
         ntriples_lines(store.df).orderBy("value").write.mode("overwrite").text(path)
 
 
-__all__ = ["RDFParseError", "TurtleParser", "load", "parse_ntriples", "parse_string", "save", "to_ntriples", "to_turtle"]
+__all__ = ["RDFParseError", "TrigParser", "TurtleParser", "load", "parse_nquads", "parse_ntriples", "parse_string", "save", "to_ntriples", "to_turtle"]

@@ -143,6 +143,39 @@ class VirtualGraph(Graph):
             return predicate in (None, RDF.type) and node.value == t.rdf_class or any(p.prefix is not None and node.value.startswith(p.prefix) for p in wanted)
         return False
 
+    def _reached(self, rel: Relation, name: str, bounds) -> list[tuple[TableMap, DataFrame]]:
+        """Tables, and their rows, of which one of ``bounds(table)`` has a value of a variable; told by keys, not by terms."""
+        own, found = rel.vars[name], []
+        for t in self.tables:
+            for b, part in bounds(t):
+                if own.form == "term":
+                    found.append((part, t.df.join(rel.df, b.term() == own.term(), "left_semi")))
+                elif b.form == own.form and b.prefix == own.prefix and len(b.cols) == len(own.cols):
+                    keys = rel.df.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(own.cols)))
+                    same = reduce(lambda x, y: x & y, (t.df[c] == keys[f"__k{i}"] for i, c in enumerate(b.cols)))
+                    found.append((part, t.df.join(keys, same, "left_semi")))
+                elif b.form == own.form and (b.prefix.startswith(own.prefix) or own.prefix.startswith(b.prefix)):
+                    found.append((part, t.df.join(rel.df, b.lexical() == own.lexical(), "left_semi")))
+        return found
+
+    def triples_of(self, rel: Relation, name: str) -> DataFrame:
+        parts = self._reached(rel, name, lambda t: [(t.subject(), t)])
+        return VirtualGraph(self.spark, [replace(t, source=df) for t, df in parts]).triples()
+
+    def triples_to(self, rel: Relation, name: str) -> DataFrame:
+        own = rel.vars[name]
+        if own.form not in ("iri", "bnode"):
+            return super().triples_to(rel, name)
+
+        def links(t: TableMap) -> list:
+            return [(t.object(p), replace(t, properties=(p,))) for p in t.properties if p.prefix is not None]
+
+        parts = [VirtualGraph(self.spark, [replace(t, source=df)]).triples(predicate=IRI(t.properties[0].predicate)) for t, df in self._reached(rel, name, links)]
+        if own.form == "iri" and any(t.rdf_class.startswith(own.prefix) for t in self.tables):  # a class may be a value too
+            wanted = rel.df.select(own.term().alias("__wanted"))
+            parts.append(self.triples(predicate=RDF.type).join(wanted, F.col("o") == F.col("__wanted"), "left_semi"))
+        return reduce(lambda a, b: a.union(b), parts) if parts else self.empty()
+
     # stars
     def stars(self, patterns: list[A.TriplePattern]) -> list[tuple]:
         found: list[_Star] = []
