@@ -4,39 +4,21 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleweave.sources.folders import scratch
+
 #: Largest side, in bytes, that an operator may broadcast after having counted it.
 BROADCAST_BYTES = 32 << 20
 
-_OWN: dict[str, str] = {}
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, the folder that all executors share.
-
-    Only on a single machine, where that setting is absent, a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _OWN.get(spark.sparkContext.applicationId)
-        if base is None:
-            base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tripleweave-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.shared import frugal, shared_path, written
+from tripleweave.llm.shared import frugal, written
+from tripleweave.sources.folders import scratch
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Pieces that a worker remembers at most; beyond that it starts anew.
@@ -156,7 +157,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     version = version_digest(tokenizer)
     fresh = cache is None
-    cache = cache or shared_path(spark, "token-cache")
+    cache = cache or scratch(spark, "token-cache")
     text = F.coalesce(F.col(text_col), F.lit(""))
     content = F.trim(F.regexp_replace(text, "[ \\t\\n\\r]+", " ")) if drops_spaces(tokenizer) else text
     texts = docs.select(F.sha2(content, 256).alias("content"), content.alias("text"))
