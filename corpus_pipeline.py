@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleweave.llm import linededup, mixing, ngramjoin, pieces, tokencounts, toxicity
-from tripleweave.llm.shared import shared_path, small_side, written
+from tripleweave.llm.shared import small_side, written
+from tripleweave.sources.folders import scratch
 
 PIECE_BPE = "piece_bpe_32k.model"
 
@@ -64,7 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = shared_path(spark, f"stage-{name}")
+        path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
