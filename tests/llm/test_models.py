@@ -361,6 +361,115 @@ def test_pipeline(spark):
     assert len(toxic & ids) <= 0.2 * len(toxic)
 
 
+@pytest.fixture(scope="module")
+def odd_folder(spark, tmp_path_factory):
+    """Documents with nulls, repeats, near copies, toxic words and columns that clash, and their labels."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(400):
+        text = "\n".join(" ".join(rng.choice(words, 14)) for _ in range(3))
+        bad, junk = i % 8 == 3, i % 5 == 0
+        text += " zzqk" + words[i % 60] if bad else ""
+        text = text.replace(" ", " ### ") if junk else text
+        rows.append((i, text))
+        if i % 2:
+            labels.append((i, int(not junk), int(bad)))
+    rows += [(400 + i, rows[i][1]) for i in range(0, 30, 3)] + [(500 + i, rows[i][1] + "\n" + " ".join(rng.choice(words, 3))) for i in range(1, 30, 3)]
+    rows += [(600, None), (601, ""), (None, "no id of its own here"), (None, None), rows[7], rows[9], (602, " \n\t"), (603, "shared line of text\n" + rows[2][1]), (604, "shared line of texts\n" + rows[4][1])]
+    labels += [(None, 1, 1), (2, None, None)]
+    folder = tmp_path_factory.mktemp("odd")
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    for name in ("flagged", "tokens", "rate", "copies", "n_lines", "key", "part", "rep", "posteriors"):
+        frame = frame.withColumn(name, F.lit(f"own {name}"))
+    frame.write.parquet(f"file://{folder}/documents.parquet")
+    frame.limit(0).write.parquet(f"file://{folder}/none/documents.parquet")
+    for at in (folder, f"{folder}/none"):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{at}/labels.parquet")
+    return f"file://{folder}"
+
+
+def key(doc_id, text):
+    return (-1 if doc_id is None else doc_id, "" if text is None else text)
+
+
+def test_stages_against_brute_force(spark, odd_folder):
+    """Each stage of the pipeline against plain Python over its own input."""
+    from tests.llm.test_texts import agenda, brute_join, dropped_by_brute_force
+    from tripleweave.llm import pieces, tokencounts
+
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    labels = spark.read.parquet(f"{odd_folder}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+
+    def rows(df):
+        got = df.collect()
+        assert df.columns[: len(docs.columns)] == docs.columns
+        assert all(r[c] == f"own {c}" for r in got for c in own)
+        return sorted(key(r["doc_id"], r["text"]) for r in got), spark.createDataFrame(got, df.schema)
+
+    before = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    # toxicity: word and n-gram sets and a sum of weights, text by text
+    chain = toxicity.train(docs, labels, toxicity.label_chain())
+    flagged = []
+    for i, t in before:
+        held, p = {chain.vocabulary[f] for f in toxicity.features(t) if f in chain.vocabulary}, []
+        for link in chain.links:
+            z = link.bias + sum(float(link.weights[f]) for f in held) + sum(a * b for a, b in zip(link.earlier, p, strict=True))
+            p.append(1 / (1 + math.exp(-z)))
+        flagged.append(bool(toxicity.WORDS.search(t or "")) and p[-1] >= chain.links[-1].threshold)
+    got, kept = rows(stages["toxicity"](spark, docs, odd_folder))
+    assert got == sorted(key(i, t) for (i, t), f in zip(before, flagged, strict=True) if not f) and 30 < sum(flagged) < 80
+    # line dedup
+    before = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    want = sorted(key(i, t) for i, t, lost in dropped_by_brute_force(before) if not lost or t.strip(" "))
+    got, kept = rows(stages["line_dedup"](spark, kept, odd_folder))
+    assert got == want
+    assert all(r["n_chars"] == len(r["text"] or "") for r in kept.collect())
+    # n-gram join
+    before = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    groups = brute_join(before, 5, 80)
+    got, kept = rows(stages["ngram_join"](spark, kept, odd_folder))
+    assert got == sorted(key(i, t) for i, t in before if i is None or groups[i][1] == i)
+    # mixing
+    before = kept.collect()
+    found = {(r["doc_id"], r["text"]): r for r in mixing.mixed_rates(kept, labels, mixing.quality_domain(), mixing.TARGETS, anchor="high").collect()}
+    got, kept = rows(stages["mixing"](spark, kept, odd_folder))
+    assert got == sorted(key(r["doc_id"], r["text"]) for r in before if found[r["doc_id"], r["text"]]["posteriors"]["high"] >= 0.5 or found[r["doc_id"], r["text"]]["copies"] > 0)
+    high = sum(x["tokens"] * x["posteriors"]["high"] for x in found.values())
+    wanted = sum(x["tokens"] * x["rate"] * x["posteriors"]["high"] for x in found.values())
+    assert abs(high - wanted) < 0.02 * high
+    # pieces
+    model = pieces.model(tokencounts.tokenizer_path("piece_bpe_32k.model"))
+    for r in stages["pieces"](spark, kept, odd_folder).collect()[:25]:
+        want, owner = [], np.array([pieces.owner_key(r["doc_id"], r["text"] or "")], np.uint64)
+        for n, word in enumerate(pieces.WORDS.findall(" " + r["text"]) if r["text"] else []):
+            if not all(model.char_at[ord(c)] >= 0 for c in word):
+                want = None
+                break
+            with np.errstate(over="ignore"):
+                draw = pieces.mixed(owner + np.uint64(n) * pieces.GOLD)
+                k = pieces.mixed(np.array([pieces.word_key(word, 1)], np.uint64) + (draw + np.uint64(1)) * pieces.GOLD)[0]
+
+            def skip(a, mid, b, k=k):
+                span = np.array([a << 42 | (mid - a) << 21 | (b - a)], np.uint64)
+                with np.errstate(over="ignore"):
+                    return int(pieces.mixed(k ^ pieces.mixed(span * pieces.GOLD))[0]) < int(0.1 * 2.0**64)
+
+            want += agenda(word, model, skip)
+        assert r["lossless"] and (want is None or r["pieces"] == want)
+
+
+def test_pipeline_of_odd_tables(spark, odd_folder):
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    out = corpus_pipeline.run(spark, odd_folder)
+    assert set(out.columns) == {*docs.columns, "pieces", "lossless"} and out.where("not lossless").count() == 0
+    texts = {r["doc_id"] for r in out.collect()}
+    assert {None, 600, 601} <= texts and 400 not in texts
+    assert corpus_pipeline.run(spark, f"{odd_folder}/none").count() == 0
+
+
 def test_every_query_is_registered():
     found = entry.queries()
     assert [n for n in found if re.match(r"op\d+_", n)] and {int(re.match(r"op(\d+)_", n)[1]) for n in found if n.startswith("op") and re.match(r"op\d+_", n)} == set(range(1, 11))

@@ -243,7 +243,8 @@ def within_one(a, b):
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
-def check_lines(spark, rows):
+def lines_by_brute_force(rows):
+    """Each row with its text without the lines that go, and the numbers of lines, exact and near repeats."""
     first = {}
     for doc_id, text in sorted(((-1 if i is None else i, t or "") for i, t in rows)):
         for n, line in enumerate(text.split("\n")):
@@ -264,6 +265,15 @@ def check_lines(spark, rows):
             else:
                 kept.append(line)
         want.append((i, "\n".join(kept), len(lines), exact, close))
+    return want
+
+
+def dropped_by_brute_force(rows):
+    return [(i, text, exact + near) for i, text, _, exact, near in lines_by_brute_force(rows)]
+
+
+def check_lines(spark, rows):
+    want = lines_by_brute_force(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = linededup.deduplicated(frame)
     assert tuples(got, "doc_id", "text", "n_lines", "n_exact", "n_near") == sorted(map(repr, want))

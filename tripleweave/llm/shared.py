@@ -15,6 +15,7 @@ from tripleweave.sources.folders import scratch
 #: Largest side, in bytes, that an operator may broadcast after having counted it.
 BROADCAST_BYTES = 32 << 20
 
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
