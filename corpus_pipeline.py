@@ -1,7 +1,16 @@
-"""The corpus pipeline: five stages over ``documents``, each over all that its predecessor kept."""
+"""The corpus pipeline: five stages over ``documents``, each over all that its predecessor kept.
+
+Defined results: a null text counts as empty, is never toxic, links with nothing and has no pieces; a null id is
+never labelled and links with nothing; rows that repeat an id and a text pass or go together, except that one with
+a smaller id stands for a group of near copies; an empty table gives an empty one; all other columns, whatever
+their names, pass through unread, but ``n_chars`` follows the text, and the last stage puts its own ``pieces`` and
+``lossless`` in the place of columns of these names.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +25,25 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but id and text under names that no operator uses, and the way back."""
+    held = {c: c if c in ("doc_id", "text") else f"__column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in held.items())), lambda df: df.select(*(F.col(n).alias(c) for c, n in held.items()))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not flag."""
-    chain = toxicity.train(docs, _labels(spark, sf_dir), toxicity.label_chain())
-    return toxicity.scored(docs, chain).where(~F.col("flagged")).select(*docs.columns)
+    plain, back = _aside(docs)
+    chain = toxicity.train(plain, _labels(spark, sf_dir), toxicity.label_chain())
+    return back(toxicity.scored(plain, chain).where(~F.col("flagged")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated and nearly repeated lines; documents of which nothing is left go."""
-    kept = linededup.deduplicated(docs).where((F.col("n_exact") + F.col("n_near") == 0) | (F.trim("text") != ""))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    plain, back = _aside(docs)
+    kept = linededup.deduplicated(plain).where((F.col("n_exact") + F.col("n_near") == 0) | (F.trim("text") != ""))
+    kept = back(kept)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +58,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The target weights are met by thinning the low-quality domain; a document that is more likely clean than not stays.
     """
-    rated = mixing.mixed_rates(docs, _labels(spark, sf_dir), mixing.quality_domain(), mixing.TARGETS, anchor="high")
-    return rated.where((F.coalesce(F.col("posteriors")["high"], F.lit(1.0)) >= 0.5) | (F.col("copies") > 0)).select(*docs.columns)
+    plain, back = _aside(docs)
+    rated = mixing.mixed_rates(plain, _labels(spark, sf_dir), mixing.quality_domain(), mixing.TARGETS, anchor="high")
+    return back(rated.where((F.coalesce(F.col("posteriors")["high"], F.lit(1.0)) >= 0.5) | (F.col("copies") > 0)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
