@@ -28,7 +28,6 @@ import functools
 import heapq
 import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,6 +98,7 @@ class Trees:
         self.roots: dict[str, int] = {}
         self.branches: dict[int, int] = {}
         self.words: list[str] = []
+        self.seed, self.keys = None, Grown(np.uint64)
         self.word, self.parent, self.mask = Grown(np.int32), Grown(np.int32), Grown(np.int64)
         self.first, self.many, self.spans, self.draws = Grown(np.int64), Grown(np.int32), Grown(np.int32), Grown(np.uint64)
         self.begin, self.size, self.ids = Grown(np.int64), Grown(np.int32), Grown(np.uint16)
@@ -145,6 +145,17 @@ def within(x: np.ndarray, members: np.ndarray) -> np.ndarray:
     return members[np.minimum(np.searchsorted(members, x), len(members) - 1)] == x
 
 
+def numbered(flat: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct words, and the number of each word among them."""
+    try:
+        made = pa.array(flat, pa.string()).dictionary_encode()
+        return made.dictionary.to_pylist(), made.indices.to_numpy().astype(np.int64)
+    except UnicodeEncodeError:  # half a surrogate pair
+        names: dict[str, int] = {}
+        at = np.fromiter((names.setdefault(w, len(names)) for w in flat), np.int64, len(flat))
+        return list(names), at
+
+
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions of runs that begin at ``starts``."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
@@ -236,25 +247,40 @@ class PieceModel:
         if self.trees.full():
             self.trees = Trees()
         trees, floor = self.trees, floor_of(dropout)
-        times = Counter(flat)
-        fresh = [w for w, n in times.items() if (n > 1 or not floor) and len(w) <= SHORT and w not in trees.roots]
+        words, at = numbered(flat)
+        times = np.bincount(at, minlength=len(words))
+        number = np.fromiter(map(trees.roots.get, words, itertools.repeat(-1)), np.int64, len(words))
+        worthy = (number < 0) & (np.fromiter(map(len, words), np.int64, len(words)) <= SHORT)
+        if floor:
+            # with dropout, a word that comes once is not worth a tree
+            worthy &= times > 1
+            if trees.seed != seed:
+                trees.seed, trees.keys = seed, Grown(np.uint64)
+                trees.keys.add(np.array([word_key(w, seed) for w in trees.words], np.uint64))
+        fresh = [words[i] for i in np.flatnonzero(worthy).tolist()]
         for part in self.parts(fresh, list(map(len, fresh))):
             seen: list[tuple[np.ndarray, np.ndarray]] = []
             ids = self.agenda(part, 0, 0.0, 0, seen)
             owner, spans = self.sorted_spans(seen)
             names = range(len(trees.words), len(trees.words) + len(part))
             trees.words += part
+            if floor:
+                trees.keys.add(np.array([word_key(w, seed) for w in part], np.uint64))
             trees.roots.update(zip(part, trees.add(names, [-1] * len(part), [0] * len(part), ids, owner, spans).tolist(), strict=True))
-        number = {w: i for i, w in enumerate(times)}
-        at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        node = np.fromiter((trees.roots.get(w, -1) for w in times), np.int64, len(times))[at]
+        if fresh:
+            number[worthy] = np.fromiter(map(trees.roots.__getitem__, fresh), np.int64, len(fresh))
+        node = number[at]
         direct = node < 0
         if floor:
-            own = np.array([word_key(w, seed) for w in times], np.uint64)
+            own = np.zeros(len(words), np.uint64)
+            rooted = number >= 0
+            own[rooted] = trees.keys.held[trees.word.held[number[rooted]]]
+            strange = np.flatnonzero(~rooted)
+            own[strange] = [word_key(words[i], seed) for i in strange.tolist()]
             with np.errstate(over="ignore"):
                 inside = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
                 draws = mixed(np.repeat(owners.astype(np.uint64), count) + inside.astype(np.uint64) * GOLD)
-            keys, often = occurrence_keys(own[at], draws), np.fromiter(times.values(), np.int64, len(times)) >= WORD_TIMES
+            keys, often = occurrence_keys(own[at], draws), times >= WORD_TIMES
             todo = np.flatnonzero(~direct)
             while len(todo):
                 masks, wide = self.skipped(node[todo], keys[todo], floor)
@@ -334,7 +360,7 @@ class PieceModel:
                 start, total = i + 1, 0
 
     def agenda(self, words: list[str], variant: int | np.ndarray, dropout: float, seed: int, seen: list | None = None, own: np.ndarray | None = None, skips: np.ndarray | None = None) -> list[bytes]:
-        """Ids of each word, as 16-bit numbers. All words advance together, by one merge a round.
+        """Ids of each word, as 16-bit numbers. Words of about one length advance together, by one merge a round.
 
         ``variant``: one for all words or one for each; ``own``: the keys of the words, if they are known.
         ``seen`` takes the words and packed spans of all candidates (words up to ``SHORT`` only). ``skips``: sorted
@@ -351,83 +377,99 @@ class PieceModel:
             for i in long:
                 out[i] = self.heaped(words[i], variants[i], dropout, seed)
             return out
-        lengths = np.array([len(w) for w in words], np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = len(chars)
-        sym = self.char_at[chars]
-        begin = np.cumsum(lengths) - lengths
-        word = np.repeat(np.arange(len(words)), lengths)
-        floor = floor_of(dropout)
+        symbols, begin, floor = self.char_at[chars], np.cumsum(lengths) - lengths, floor_of(dropout)
+        keys = None
         if floor:
             own = np.array([word_key(w, seed) for w in words], np.uint64) if own is None else own
-            keys = occurrence_keys(own, variant)
-        place = np.arange(n, dtype=np.int64)
-        done_at, done_sym = [], []
-        ends = np.empty(n, np.int64)  # where the symbol that begins here ends
-        ends[:] = place + 1
-        # candidates are kept beside the symbol on their left, and only those beside a merge are made anew
-        made = np.full(n, -1, np.int32)
-        worth = np.full(n, NONE)
-
-        def weigh(i: np.ndarray) -> None:
-            """Candidates of the symbols at ``i`` and the next ones."""
-            ok = i + 1 < len(sym)
-            i = i[ok]
-            got = self.joined(sym[i], sym[i + 1])
-            got[word[i] != word[i + 1]] = -1
-            if floor or seen is not None:
-                live = np.flatnonzero(got >= 0)
-                at = i[live]
-                start, middle, end = place[at] - begin[word[at]], place[at + 1] - begin[word[at]], ends[place[at + 1]] - begin[word[at]]
-                if seen is not None:
-                    spans = start << 12 | middle << 6 | end
-                    seen.append((word[at], spans))
-                    if skips is not None:
-                        got[live[within(word[at] << 18 | spans, skips)]] = -1
-                if floor:
-                    got[live[mixed(keys[word[at]] ^ span_hash(start, middle - start, end - start)) < floor]] = -1
-            made[i] = got
-            worth[i] = np.where(got >= 0, self.rank[got] << 32 | i, NONE)
-
-        weigh(np.arange(n))
-        while len(sym):
-            heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            best = np.minimum.reduceat(worth, heads)
-            over = best == NONE
-            if over.all():
-                done_at.append(place)
-                done_sym.append(sym)
-                break
-            sizes = np.diff(np.append(heads, len(sym)))
-            at = best[~over] & 0xFFFFFFFF
-            sym[at] = made[at]
-            ends[place[at]] = ends[place[at + 1]]
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            touched = np.zeros(len(sym), bool)
-            touched[at] = True
-            prior = at[at > 0] - 1
-            touched[prior] = True
-            gone = np.repeat(over, sizes)
-            if gone.any():
-                done_at.append(place[gone])
-                done_sym.append(sym[gone])
-                keep &= ~gone
-            touched &= keep
-            sym, place, word, made, worth, touched = sym[keep], place[keep], word[keep], made[keep], worth[keep], touched[keep]
-            live = worth != NONE
-            worth[live] = (worth[live] >> 32 << 32) | np.flatnonzero(live)
-            # a symbol that lost its right neighbour to the end of the array has no candidate
-            if len(sym):
-                made[-1], worth[-1] = -1, NONE
-                weigh(np.flatnonzero(touched))
-        at, ids = np.concatenate(done_at), np.concatenate(done_sym)
+            keys = occurrence_keys(own, np.broadcast_to(np.asarray(variant, np.uint64), len(words)))
+        # words of about one length go together
+        by_length = np.argsort(lengths, kind="stable")
+        found, first = [], 0
+        while first < len(words):
+            last = int(np.searchsorted(lengths[by_length], lengths[by_length[first]] * 5 // 4 + 2, "right"))
+            some = by_length[first:last]
+            found += self.rounds(some, symbols, begin[some], lengths[some], keys[some] if floor else None, floor, seen, skips)
+            first = last
+        at, ids = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(at, kind="stable")
         at, ids = self.spelled(at[order], ids[order], chars)
         cut = np.searchsorted(at, np.cumsum(lengths))
         flat, cut = ids.astype(np.uint16).tobytes(), (cut * 2).tolist()
         return [flat[a:b] for a, b in zip([0, *cut], cut, strict=False)]
 
+    def rounds(self, names: np.ndarray, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray | None, floor: np.uint64, seen: list | None, skips: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and ids of what words become; ``names`` are their numbers. A column a word, a row a place in it."""
+        many, high = len(names), int(size.max())
+        inside = np.arange(high)[:, None] < size
+        sym = np.full((high, many), -1, np.int32)
+        sym.T[inside.T] = symbols[spread(begin, size)]
+        # each symbol knows the places of the next and the last one
+        after = np.repeat(np.arange(1, high + 1, dtype=np.int32), many)
+        before = np.repeat(np.arange(-1, high - 1, dtype=np.int32), many)
+        sym, alive = sym.ravel(), inside.ravel()
+        made, worth = np.full(high * many, -1, np.int32), np.full(high * many, NONE)
+        out = []
+
+        def weigh(word: np.ndarray, place: np.ndarray) -> None:
+            """Candidates of the symbols at ``place`` and the next ones."""
+            at = place * many + word
+            middle = after[at].astype(np.int64)
+            worth[at] = NONE
+            ok = middle < size[word]
+            if not ok.all():
+                word, place, middle, at = word[ok], place[ok], middle[ok], at[ok]
+            other = middle * many + word
+            got = self.joined(sym[at], sym[other])
+            live = np.flatnonzero(got >= 0)
+            word, place, middle, at, got = word[live], place[live], middle[live], at[live], got[live]
+            if keys is not None or seen is not None:
+                end = after[other[live]].astype(np.int64)
+                if seen is not None:
+                    spans = place << 12 | middle << 6 | end
+                    seen.append((names[word], spans))
+                    fine = ~within(names[word] << 18 | spans, skips) if skips is not None else None
+                else:
+                    fine = mixed(keys[word] ^ span_hash(place, middle - place, end - place)) >= floor
+                if fine is not None:
+                    place, at, got = place[fine], at[fine], got[fine]
+            made[at] = got
+            worth[at] = self.rank[got] << 32 | place
+
+        def finished(which: np.ndarray) -> None:
+            left = alive.reshape(high, many)[:, which].T
+            place = begin[which][:, None] + np.arange(high)
+            out.append((place[left], sym.reshape(high, many)[:, which].T[left]))
+
+        all_places, all_words = np.divmod(np.arange(high * many), many)
+        weigh(all_words[alive], all_places[alive])
+        while many:
+            best = worth.reshape(high, many).min(axis=0)
+            live = np.flatnonzero(best != NONE)
+            if len(live) <= many * 0.6:
+                # finished words leave the arrays
+                finished(np.flatnonzero(best == NONE))
+                sym, after, before, alive, made, worth = (x.reshape(high, many)[:, live].ravel() for x in (sym, after, before, alive, made, worth))
+                names, begin, size, best, many = names[live], begin[live], size[live], best[live], len(live)
+                keys = keys[live] if keys is not None else None
+                live = np.arange(many)
+                if not many:
+                    break
+            place = best[live] & 0xFFFFFFFF
+            at = place * many + live
+            other = after[at] * many + live
+            end = after[other]
+            sym[at], after[at] = made[at], end
+            alive[other], worth[other] = False, NONE
+            inner = end < size[live]
+            before[end[inner] * many + live[inner]] = place[inner]
+            prior = before[at].astype(np.int64)
+            weigh(live, place)
+            has = prior >= 0
+            weigh(live[has], prior[has])
+        return out
+
     def spelled(self, at: np.ndarray, ids: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and ids with the bytes of characters that have no piece."""
         strange = np.flatnonzero(ids < 0)
