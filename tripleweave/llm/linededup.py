@@ -132,9 +132,27 @@ def _earlier(one: str, two: str) -> Column:
     return F.struct(f"{one}.dk", f"{one}.line_no") < F.struct(f"{two}.dk", f"{two}.line_no")
 
 
+#: The time of an edit distance grows with the square of a line's length. What two lines have in common on both
+#: sides does not change it, so each of ``PARTS`` parts is taken as the one that differs, and the distance is
+#: that of this part alone where all others are equal.
+PARTS = 16
+WITHIN_ONE = """
+exists(sequence(0, {parts} - 1), i ->
+  left({a}, i * (least(length({a}), length({b})) div {parts})) = left({b}, i * (least(length({a}), length({b})) div {parts}))
+  and right({a}, {rest}) = right({b}, {rest})
+  and levenshtein(
+    substring({a}, int(i * (least(length({a}), length({b})) div {parts})) + 1, int(length({a}) - i * (least(length({a}), length({b})) div {parts}) - {rest})),
+    substring({b}, int(i * (least(length({a}), length({b})) div {parts})) + 1, int(length({b}) - i * (least(length({a}), length({b})) div {parts}) - {rest})),
+    1) >= 0)
+"""
+REST = "int(if(i = {parts} - 1, 0, least(length({a}), length({b})) - (i + 1) * (least(length({a}), length({b})) div {parts})))"
+
+
 def _near(one: str, two: str) -> Column:
-    a, b = F.col(f"{one}.norm"), F.col(f"{two}.norm")
-    return (F.abs(F.length(a) - F.length(b)) <= 1) & (F.levenshtein(a, b, 1) >= 0)
+    """Whether two lines lie within one edit."""
+    names = {"a": f"{one}.norm", "b": f"{two}.norm", "parts": PARTS}
+    within = F.expr(WITHIN_ONE.format(**names, rest=REST.format(**names)))
+    return (F.abs(F.length(names["a"]) - F.length(names["b"])) <= 1) & within
 
 
 def _paired(met: DataFrame) -> DataFrame:
