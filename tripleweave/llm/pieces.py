@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,15 +146,29 @@ def within(x: np.ndarray, members: np.ndarray) -> np.ndarray:
     return members[np.minimum(np.searchsorted(members, x), len(members) - 1)] == x
 
 
-def numbered(flat: list[str]) -> tuple[list[str], np.ndarray]:
-    """The distinct words, and the number of each word among them."""
+def words_of(text: str) -> list[str]:
+    """The words of a text, each without the blank that every word begins with (the first one by encoding)."""
+    return [w[1:] for w in WORDS.findall(" " + text)] if text else []
+
+
+def numbered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words, the numbers of all words in order, and how many words each text has."""
     try:
-        made = pa.array(flat, pa.string()).dictionary_encode()
-        return made.dictionary.to_pylist(), made.indices.to_numpy().astype(np.int64)
+        column = pa.array(texts, pa.string())
     except UnicodeEncodeError:  # half a surrogate pair
-        names: dict[str, int] = {}
-        at = np.fromiter((names.setdefault(w, len(names)) for w in flat), np.int64, len(flat))
-        return list(names), at
+        split, names = [words_of(t) for t in texts], {}
+        at = np.array([names.setdefault(w, len(names)) for ws in split for w in ws], np.int64)
+        return [" " + w for w in names], at, np.array(list(map(len, split)), np.int64)
+    # texts with single blanks between words alone are split as they are
+    odd = pc.or_(pc.or_(pc.match_substring(column, "  "), pc.equal(column, "")), pc.or_(pc.starts_with(column, " "), pc.ends_with(column, " ")))
+    odd = odd.to_numpy(zero_copy_only=False)
+    plain = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+    strange = pa.array([words_of(texts[i]) for i in np.flatnonzero(odd).tolist()], plain.type)
+    order = np.argsort(np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]))
+    split = pa.concat_arrays([plain, strange]).take(pa.array(order)) if len(strange) else plain
+    made = split.flatten().dictionary_encode()
+    count = pc.list_value_length(split).to_numpy().astype(np.int64)
+    return [" " + w for w in made.dictionary.to_pylist()], made.indices.to_numpy().astype(np.int64), count
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -239,18 +254,16 @@ class PieceModel:
 
     def encoded(self, texts: list[str], owners: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text begins and the last one ends."""
-        split = [WORDS.findall(" " + text) if text else [] for text in texts]
-        count = np.array(list(map(len, split)), np.int64)
-        flat = list(itertools.chain.from_iterable(split))
-        if not flat:
+        words, at, count = numbered(texts)
+        if not len(at):
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         if self.trees.full():
             self.trees = Trees()
         trees, floor = self.trees, floor_of(dropout)
-        words, at = numbered(flat)
         times = np.bincount(at, minlength=len(words))
         number = np.fromiter(map(trees.roots.get, words, itertools.repeat(-1)), np.int64, len(words))
-        worthy = (number < 0) & (np.fromiter(map(len, words), np.int64, len(words)) <= SHORT)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        worthy = (number < 0) & (lengths <= SHORT)
         if floor:
             # with dropout, a word that comes once is not worth a tree
             worthy &= times > 1
@@ -278,7 +291,7 @@ class PieceModel:
             strange = np.flatnonzero(~rooted)
             own[strange] = [word_key(words[i], seed) for i in strange.tolist()]
             with np.errstate(over="ignore"):
-                inside = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+                inside = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
                 draws = mixed(np.repeat(owners.astype(np.uint64), count) + inside.astype(np.uint64) * GOLD)
             keys, often = occurrence_keys(own[at], draws), times >= WORD_TIMES
             todo = np.flatnonzero(~direct)
@@ -293,11 +306,10 @@ class PieceModel:
                 todo = todo[found >= 0]
         anew = np.flatnonzero(direct)
         made: list[bytes] = []
-        lengths = [len(flat[i]) for i in anew.tolist()]
-        for some in self.parts(anew.tolist(), lengths):
-            made += self.agenda([flat[i] for i in some], draws[some] if floor else 0, dropout, seed, own=own[at[some]] if floor else None)
+        for some in self.parts(anew.tolist(), lengths[at[anew]].tolist()):
+            made += self.agenda([words[i] for i in at[some].tolist()], draws[some] if floor else 0, dropout, seed, own=own[at[some]] if floor else None)
         held = np.concatenate([trees.ids.all, np.frombuffer(b"".join(made), np.uint16)])
-        size, begin = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        size, begin = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         size[~direct], begin[~direct] = trees.size.held[node[~direct]], trees.begin.held[node[~direct]]
         size[anew] = [len(x) // 2 for x in made]
         begin[anew] = trees.ids.n + np.cumsum(size[anew]) - size[anew]
@@ -606,5 +618,5 @@ def decoded(table: DataFrame, path: str, pieces_col: str = "pieces") -> DataFram
 
 def digests(table: DataFrame) -> DataFrame:
     """What the query reports of encoded documents."""
-    joined = F.array_join(F.transform("pieces", lambda p: p.cast("string")), ",")
+    joined = F.translate(F.col("pieces").cast("string"), "[ ]", "")
     return table.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.size("pieces").cast("long").alias("n_pieces"), F.sha2(joined, 256).alias("pieces_sha256"), "lossless")
