@@ -510,7 +510,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
         before = held["rows"]
         again = repeated(sets, k, parts_for(held["n"])).join(sizes, "doc_id").where(enough).select("doc_id")
         keep = small_side(written(again, "remain"), 16)
-        sets = written(sets.join(keep, "doc_id", "left_semi"), "stored")
+        sets = written(sets.join(keep, "doc_id", "left_semi"), "stored", instead_of=sets)
 
     groups = components(candidates(sets, k, percent, common_shingles(sets, k), parts_for((held["n"] or 0) // 2)), "candidates")
     joined = written(components(links_in_groups(sets, groups, percent), "links"), "joined")

@@ -16,12 +16,24 @@ from tripleweave.sources.folders import scratch
 BROADCAST_BYTES = 32 << 20
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it cuts lineage and survives lost executors."""
+#: Where the tables of this session lie.
+_PATHS: dict[int, str] = {}
+
+
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: it cuts lineage and survives lost executors.
+
+    ``instead_of``: an earlier table that nothing reads any more, which is deleted once this one is there.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(id(instead_of)))
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    return out
 
 
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -70,6 +82,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("src").agg(F.min("dst").alias("m"))
         joined = large.join(least, "src")
         small = joined.where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        state = written(small.union(joined.select("src", F.col("m").alias("dst"))).distinct(), name)
+        state = written(small.union(joined.select("src", F.col("m").alias("dst"))).distinct(), name, instead_of=state)
     roots = state.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return state.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)
