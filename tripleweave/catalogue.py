@@ -12,6 +12,7 @@ from tripleweave.functions.terms import IRI, BlankNode, Literal, Triple, iri_ter
 from tripleweave.functions.vocab import RDF, XSD
 from tripleweave.operators import shacl as S
 from tripleweave.operators.store import TripleStore
+from tripleweave.plans import ast as A
 from tripleweave.sources.tables import BASE, VirtualGraph, sample_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +194,19 @@ sparql("filter_two_variables", "select ?a ?b where { ?x t:n_regionkey ?r ; t:n_n
 sparql("filter_arithmetic", "select ?p where { ?p t:p_size ?z filter(?z * 2 - 1 > 80) }", "select '{B}part/' || p_partkey as p from part where p_size * 2 - 1 > 80", extensions=True)
 sparql("filter_regex", 'select ?n where { ?c t:c_name ?n filter(regex(?n, "99$")) }', "select c_name as n from customer where regexp_matches(c_name, '99$')", extensions=True)
 
+@query("query_tree", "select '{B}part/' || p_partkey as p, p_size as z, 'p,z' as names, true as bound, false as missing from part where p_size > 10 and not (p_size >= 20)")
+def _tree(spark, sf_dir):
+    """A query built as a tree, with the helpers for trees and solutions."""
+    p, z = A.variables("p", "z")
+    size = A.VarExpr("z")
+    test = A.LogicalExpr("and", (A.ComparisonExpr(">", size, A.LiteralExpr(Literal(10))), A.LogicalExpr("not", (A.ComparisonExpr(">=", size, A.LiteralExpr(Literal(20))),))))
+    where = (A.TriplePattern(p, node("p_size"), z), A.FilterPattern(test))
+    names = [v for v in A.get_variables(where) if A.is_variable(A.Var(v))]
+    found = sample_graph(spark, sf_dir).query(A.SelectQuery(A.variables(*names), where)).flat
+    bound, missing = (A.is_bound({"z": Literal(1), "q": None}, v) for v in ("z", "q"))
+    return found.select("*", F.lit(",".join(names)).alias("names"), F.lit(bound).alias("bound"), F.lit(missing).alias("missing"))
+
+
 # optional
 sparql("optional_basic", "select ?d ?q where { ?d t:source ?s optional { ?l t:label_of ?d ; t:quality ?q } }", "select '{B}documents/' || d.doc_id as d, quality as q from documents d left join labels l on l.doc_id = d.doc_id")
 sparql(
@@ -332,6 +346,18 @@ def _unique_lang(spark, sf_dir):
     return found.select(F.col("focus_node.value").alias("focus"), F.col("value.value").alias("value"), "source_constraint", "message", "severity")
 
 
+@query("shacl_shapes_graph", "select true as refused")
+def _shapes_graph(spark, sf_dir):
+    """Shapes are given as values; a graph of shapes is refused."""
+    graph = sample_graph(spark, sf_dir)
+    try:
+        S.validate(graph, TripleStore(spark))
+        refused = False
+    except NotImplementedError:
+        refused = True
+    return spark.createDataFrame([(refused,)], "refused boolean")
+
+
 shape("combined", "Part", "p_size", (S.MinInclusive(10), S.MaxInclusive(40), S.MinCount(1)), violations("MinInclusive", PART, "p_size::varchar", "'Value must be >= 10'", "part where not p_size >= 10") + " union all " + violations("MaxInclusive", PART, "p_size::varchar", "'Value must be <= 40'", "part where not p_size <= 40"))
 shape("severity", "Part", "p_size", S.MinInclusive(10), violations("MinInclusive", PART, "p_size::varchar", "'Value must be >= 10'", "part where not p_size >= 10", "Warning"), severity="Warning")
 

@@ -192,7 +192,7 @@ class Compiler:
 
     def select(self, q: A.SelectQuery) -> tuple[Relation, list[str]]:
         rel = self.group(q.where)
-        names = list(q.variables) or A.get_variables(q.where)
+        names = [v.name if isinstance(v, A.Var) else v for v in q.variables] or A.get_variables(q.where)
         shown = [v for v in names if v in rel.vars]
         m = q.modifiers
         if q.distinct:
