@@ -41,8 +41,8 @@ from tripleweave.llm.shared import frugal
 
 MARK = 0x2581
 NONE = np.int64(1 << 62)
-#: Characters that go through the agenda at a time.
-BATCH_CHARS = 1_000_000
+#: Characters of texts that are taken at a time, and of words that go through the agenda at a time.
+BATCH_CHARS, AGENDA_CHARS = 1_000_000, 300_000
 #: Words of more characters have no tree, and of more than the second number a heap of their own.
 SHORT, LONG = 63, 400
 #: Candidates that a node may have, and bounds of a worker's trees: nodes, candidates and ids.
@@ -363,11 +363,11 @@ class PieceModel:
 
     @staticmethod
     def parts(items: list, sizes: list[int]) -> Iterator[list]:
-        """``items`` in runs of about ``BATCH_CHARS``."""
+        """``items`` in runs of about ``AGENDA_CHARS``."""
         start = total = 0
         for i, size in enumerate(sizes):
             total += size
-            if total >= BATCH_CHARS or i + 1 == len(items):
+            if total >= AGENDA_CHARS or i + 1 == len(items):
                 yield items[start : i + 1]
                 start, total = i + 1, 0
 
