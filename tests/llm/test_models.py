@@ -137,6 +137,26 @@ def test_chain(labelled, spark):
     assert toxicity.scored(docs, flat).where("flagged").count() == 0
 
 
+def test_chain_of_odd_rows(labelled, spark):
+    """Very long texts, repeats, nulls and columns by the names of the scores."""
+    docs, labels = labelled
+    chain = toxicity.train(docs, labels, toxicity.label_chain(), rows=300)
+    bad = next(r["text"] for r in docs.where("doc_id = 5").collect())
+    rows = [(1, bad), (1, bad), (2, " ".join(f"w{i}" for i in range(200_000)) + " " + bad), (3, "x" * 300_000), (4, None), (5, " \n"), (None, bad), (6, "...!")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"p_toxic": F.lit("mine"), "other": F.lit(None).cast("string")})
+    got = toxicity.scored(frame, chain).collect()
+    assert len(got) == len(rows) and all(isinstance(r["p_toxic"], float) and r["other"] is None for r in got)
+    same = [r["p_toxic"] for r in got if r["text"] == bad]
+    assert len(same) == 3 and len(set(same)) == 1
+    for r in got:
+        held, p = {chain.vocabulary[f] for f in toxicity.features(r["text"]) if f in chain.vocabulary}, []
+        for link in chain.links:
+            z = link.bias + sum(float(link.weights[f]) for f in held) + sum(a * b for a, b in zip(link.earlier, p, strict=True))
+            p.append(1 / (1 + math.exp(-max(-40, min(40, z)))))
+        assert abs(p[-1] - r["p_toxic"]) < 1e-6
+    assert not any(r["flagged"] for r in got if r["doc_id"] in (4, 5))
+
+
 def test_chain_on_the_test_data(spark):
     got = queries()["op9_toxicity_chain"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumnRenamed("toxic", "label"), "doc_id").collect()
     right = sum(r["toxic"] == bool(r["label"]) for r in got) / len(got)
