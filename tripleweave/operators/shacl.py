@@ -238,6 +238,33 @@ class ValidationReport:
 
 
 COLUMNS = ["focus_node", "result_path", "value", "source_constraint", "source_shape", "message", "severity", "detail"]
+# The messages of results; braces are filled in their order.
+MESSAGES = {
+    "MinCount": "Property has {} values but requires at least {}",
+    "MaxCount": "Property has {} values but allows at most {}",
+    "Datatype": "Value must have datatype {}",
+    "Class": "Value must be an instance of class {}",
+    "NodeKind": "Value must be of node kind {}",
+    "MinLength": "String length {} is less than minimum {}",
+    "MaxLength": "String length {} exceeds maximum {}",
+    "Pattern": "Value does not match pattern {}",
+    "LanguageIn": "Language tag {} not in allowed languages",
+    "HasValue": "Required value {} not found",
+    "In": "Value not in allowed list",
+    "MinInclusive": "Value must be >= {}",
+    "MaxInclusive": "Value must be <= {}",
+    "MinExclusive": "Value must be > {}",
+    "MaxExclusive": "Value must be < {}",
+    "Equals": "Property values must equal values of {}",
+    "Disjoint": "Property values must be disjoint from {}",
+    "LessThan": "Value must be less than values of {}",
+    "LessThanOrEquals": "Value must be less than values of {}",
+    "Not": "Node must NOT satisfy the constraint",
+    "Or": "Node must satisfy at least one of the OR constraints",
+    "Xone": "Node must satisfy exactly one of the XONE constraints",
+    "Closed": "Property not allowed: {}",
+    "UniqueLang": "Language tags must be unique",
+}
 BOUNDS = {"MinInclusive": ">=", "MaxInclusive": "<=", "MinExclusive": ">", "MaxExclusive": "<"}
 NODE_KINDS = {
     "IRI": ("iri",),
@@ -249,6 +276,13 @@ NODE_KINDS = {
 }
 
 
+def message(c: Constraint, *parts) -> Column:
+    """The message of a constraint, filled with columns or values."""
+    first, *others = MESSAGES[c.name].split("{}")
+    filled = [x for part, text in zip(parts, others, strict=True) for x in (part.cast("string") if isinstance(part, Column) else F.lit(str(part)), F.lit(text))]
+    return F.concat(F.lit(first), *filled)
+
+
 def _shown(value) -> str:
     return value.value if isinstance(value, IRI | Literal) else value.id if isinstance(value, RDFNode) else str(value)
 
@@ -327,11 +361,11 @@ class Validator:
                 per = rel.df.groupBy(*f.columns()).agg(F.count(v.cols[0]).alias("__n"), *(F.max(matches(v, c.value)).alias(f"__h{i}") for i, c in enumerate(wanted)))
             for c in counting:
                 if isinstance(c, HasValue):
-                    test, text = ~F.col(f"__h{wanted.index(c)}"), F.lit(f"Required value {_shown(c.value)} not found")
+                    test, text = ~F.col(f"__h{wanted.index(c)}"), message(c, _shown(c.value))
                 else:
                     low = isinstance(c, MinCount)
                     test = F.col("__n") < c.value if low else F.col("__n") > c.value
-                    text = F.concat(F.lit("Property has "), F.col("__n").cast("string"), F.lit(f" values but {'requires at least' if low else 'allows at most'} {c.value}"))
+                    text = message(c, F.col("__n"), c.value)
                 out.append(self.rows(per.where(test), f.term(), c, shape_id, said(text), path, severity))
         tests = []
         for c in shape.constraints:
@@ -353,14 +387,14 @@ class Validator:
                 a, b, possible = aligned(bound, typed.renamed(), ["v"])
                 on = equal(a.vars["v"], b.vars["v"]) if possible else F.lit(False)
                 bad = a.df.join(b.df, on, "left_anti")
-                out.append(self.rows(bad, a.vars["f"].term(), c, shape_id, said(F.lit(f"Value must be an instance of class {c.class_iri.value}")), path, severity, a.vars["v"].term()))
+                out.append(self.rows(bad, a.vars["f"].term(), c, shape_id, said(message(c, c.class_iri.value)), path, severity, a.vars["v"].term()))
             elif isinstance(c, Equals):
-                text = said(F.lit(f"Property values must equal values of {c.property.value}"))
+                text = said(message(c, c.property.value))
                 out.append(self.rows(self.unequal(focus, rel, c.property), F.col("f"), c, shape_id, text, path, severity))
             elif isinstance(c, Disjoint):
                 other = self.plan.basic([A.TriplePattern(A.Var("f"), c.property, A.Var("v"))])
                 both = join(Relation(rel.df.where(v.bound()), rel.vars | {"v": _sure(v)}), other)
-                out.append(self.rows(both.df, both.vars["f"].term(), c, shape_id, said(F.lit(f"Property values must be disjoint from {c.property.value}")), path, severity))
+                out.append(self.rows(both.df, both.vars["f"].term(), c, shape_id, said(message(c, c.property.value)), path, severity))
             elif isinstance(c, And | Or | Not | Xone):
                 out += self.logical(c, shape_id, focus, path, severity, shape.message)
             elif self.extensions and isinstance(c, LessThan | LessThanOrEquals):
@@ -368,11 +402,11 @@ class Validator:
                 both = join(Relation(rel.df.where(v.bound()), rel.vars | {"v": _sure(v)}), other)
                 a, b = both.vars["v"].number(), both.vars["w"].number()
                 fine = F.coalesce(a < b if isinstance(c, LessThan) else a <= b, F.lit(False))
-                out.append(self.rows(both.df.where(~fine), both.vars["f"].term(), c, shape_id, said(F.lit(f"Value must be less than values of {c.property.value}")), path, severity, both.vars["v"].term()))
+                out.append(self.rows(both.df.where(~fine), both.vars["f"].term(), c, shape_id, said(message(c, c.property.value)), path, severity, both.vars["v"].term()))
             elif self.extensions and isinstance(c, UniqueLang):
                 tagged = rel.df.where(v.bound()).select(f.term().alias("f"), v.term()["lang"].alias("l")).where("l is not null")
                 twice = tagged.groupBy("f", "l").count().where("count > 1").select("f").distinct()
-                out.append(self.rows(twice, F.col("f"), c, shape_id, said(F.lit("Language tags must be unique")), path, severity))
+                out.append(self.rows(twice, F.col("f"), c, shape_id, said(message(c)), path, severity))
             else:
                 warnings.warn(f"constraint {c.name} is not enforced", stacklevel=2)
         return out
@@ -392,29 +426,29 @@ class Validator:
         text = v.lexical()
         if isinstance(c, Datatype):
             own = v.term()["datatype"] if v.form == "term" else F.lit(v.datatype).cast("string")
-            return ~(literal & F.coalesce(own == c.datatype.value, no)), F.lit(f"Value must have datatype {c.datatype.value}")
+            return ~(literal & F.coalesce(own == c.datatype.value, no)), message(c, c.datatype.value)
         if isinstance(c, NodeKind):
             kinds = NODE_KINDS.get(c.kind, ())
-            return (~F.coalesce(v.kind().isin(*kinds), no) if kinds else F.lit(True)), F.lit(f"Value must be of node kind {c.kind}")
+            return (~F.coalesce(v.kind().isin(*kinds), no) if kinds else F.lit(True)), message(c, c.kind)
         if isinstance(c, MinLength):
-            return literal & (F.length(text) < c.value), F.concat(F.lit("String length "), F.length(text).cast("string"), F.lit(f" is less than minimum {c.value}"))
+            return literal & (F.length(text) < c.value), message(c, F.length(text), c.value)
         if isinstance(c, MaxLength):
-            return literal & (F.length(text) > c.value), F.concat(F.lit("String length "), F.length(text).cast("string"), F.lit(f" exceeds maximum {c.value}"))
+            return literal & (F.length(text) > c.value), message(c, F.length(text), c.value)
         if isinstance(c, Pattern):
             pattern = (f"(?{c.flags})" if c.flags else "") + c.pattern
             if not self.sound(pattern):
                 return None
-            return literal & ~text.rlike(pattern), F.lit(f"Value does not match pattern {c.pattern}")
+            return literal & ~text.rlike(pattern), message(c, c.pattern)
         if isinstance(c, LanguageIn):
             lang = v.term()["lang"]
-            return literal & lang.isNotNull() & ~lang.isin(*c.languages), F.concat(F.lit("Language tag "), F.coalesce(lang, F.lit("")), F.lit(" not in allowed languages"))
+            return literal & lang.isNotNull() & ~lang.isin(*c.languages), message(c, F.coalesce(lang, F.lit("")))
         if isinstance(c, In):
-            return ~reduce(lambda a, b: a | b, (matches(v, x) for x in c.values), no), F.lit("Value not in allowed list")
+            return ~reduce(lambda a, b: a | b, (matches(v, x) for x in c.values), no), message(c)
         if c.name in BOUNDS:
             bound = F.lit(float(c.value)) if not isinstance(c.value, str) else number(F.lit(c.value))
             n, op = v.number(), BOUNDS[c.name]
             fine = {">=": n >= bound, "<=": n <= bound, ">": n > bound, "<": n < bound}[op]
-            return ~F.coalesce(fine & ~F.isnan(n), no), F.lit(f"Value must be {op} {c.value}")
+            return ~F.coalesce(fine & ~F.isnan(n), no), message(c, c.value)
         return None
 
     def sound(self, pattern: str) -> bool:
@@ -430,14 +464,14 @@ class Validator:
         """Constraints of a node shape itself: they see no values, only the node."""
         f, shape_id = focus.vars["f"], shape.id.value
         if isinstance(c, MinCount) and c.value > 0:
-            return [self.rows(focus.df, f.term(), c, shape_id, F.lit(f"Property has 0 values but requires at least {c.value}"), None, "Violation")]
+            return [self.rows(focus.df, f.term(), c, shape_id, message(c, 0, c.value), None, "Violation")]
         if isinstance(c, HasValue):
-            return [self.rows(focus.df, f.term(), c, shape_id, F.lit(f"Required value {_shown(c.value)} not found"), None, "Violation")]
+            return [self.rows(focus.df, f.term(), c, shape_id, message(c, _shown(c.value)), None, "Violation")]
         if isinstance(c, Equals):
             other = self.plan.basic([A.TriplePattern(A.Var("f"), c.property, A.Var("v"))])
             found = join(focus, other)
             found = distinct(Relation(found.df, {"f": found.vars["f"]}))
-            return [self.rows(found.df, found.vars["f"].term(), c, shape_id, F.lit(f"Property values must equal values of {c.property.value}"), None, "Violation")]
+            return [self.rows(found.df, found.vars["f"].term(), c, shape_id, message(c, c.property.value), None, "Violation")]
         if isinstance(c, And | Or | Not | Xone):
             return self.logical(c, shape_id, focus, None, "Violation", None)
         if self.extensions and isinstance(c, Closed):
@@ -451,14 +485,14 @@ class Validator:
         f = focus.vars["f"]
         nodes = distinct(Relation(focus.df, {"f": f}))
         bad = self.graph.triples_of(nodes, "f").where(~F.col("p").isin(*allowed) if allowed else F.lit(True))
-        return [self.rows(bad, F.col("s"), c, shape.id.value, F.concat(F.lit("Property not allowed: "), F.col("p")), None, "Violation", F.col("o"))] if c.closed else []
+        return [self.rows(bad, F.col("s"), c, shape.id.value, message(c, F.col("p")), None, "Violation", F.col("o"))] if c.closed else []
 
     def violators(self, shape: Shape, focus: Relation) -> DataFrame | None:
         """Distinct focus nodes with any result under a node shape; None: it has none for certain."""
         found = self.node_shape(shape, focus) if isinstance(shape, NodeShape) else []
         return reduce(lambda a, b: a.union(b), (d.select("focus_node") for d in found)).distinct() if found else None
 
-    def logical(self, c: Constraint, shape_id: str, focus: Relation, path: str | None, severity: str, message: str | None) -> list[DataFrame]:
+    def logical(self, c: Constraint, shape_id: str, focus: Relation, path: str | None, severity: str, own: str | None) -> list[DataFrame]:
         nodes = focus.df.select(focus.vars["f"].term().alias("focus_node"))
         if isinstance(c, And):
             return [d for s in c.shapes if isinstance(s, NodeShape) for d in self.node_shape(s, focus)]
@@ -467,9 +501,8 @@ class Validator:
                 return []
             bad = self.violators(c.shape, focus)
             held = nodes if bad is None else nodes.join(bad, "focus_node", "left_anti")
-            text = "Node must NOT satisfy the constraint"
         elif isinstance(c, Or):
-            held, text = nodes, "Node must satisfy at least one of the OR constraints"
+            held = nodes
             for s in c.shapes:
                 if isinstance(s, NodeShape):
                     bad = self.violators(s, focus)
@@ -477,7 +510,7 @@ class Validator:
                         return []
                     held = held.join(bad, "focus_node", "left_semi")
         elif self.extensions:
-            held, text = nodes.withColumn("__ok", F.lit(0)), "Node must satisfy exactly one of the XONE constraints"
+            held = nodes.withColumn("__ok", F.lit(0))
             for s in c.shapes:
                 if isinstance(s, NodeShape):
                     bad = self.violators(s, focus)
@@ -489,7 +522,7 @@ class Validator:
         else:
             warnings.warn(f"constraint {c.name} is not enforced", stacklevel=2)
             return []
-        return [self.rows(held.distinct(), F.col("focus_node"), c, shape_id, F.lit(message or text), path, severity)]
+        return [self.rows(held.distinct(), F.col("focus_node"), c, shape_id, F.lit(own) if own else message(c), path, severity)]
 
 
 VALUE_CONSTRAINTS = (Datatype, NodeKind, MinLength, MaxLength, Pattern, LanguageIn, In, MinInclusive, MaxInclusive, MinExclusive, MaxExclusive)
