@@ -13,7 +13,7 @@ for each word: a node knows the candidates that come up next and the ids if none
 candidates that are skipped lead to a child. Every occurrence draws for itself and walks down the tree; all
 occurrences of a batch advance together as arrays. Branches that are not in the tree go through the agenda:
 short words of a batch together, one merge a word in each round, words over ``LONG`` characters one by one by
-a heap, in n log n. The trees only save work and are dropped when they reach their bounds.
+a heap, in n log n. The trees only save work and no longer grow when they reach their bounds.
 
 A text's own word-mark character (U+2581) is written as bytes, so that decoding gives back every text
 exactly; the library would turn it into a blank.
@@ -257,17 +257,16 @@ class PieceModel:
         words, at, count = numbered(texts)
         if not len(at):
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        if self.trees.full():
-            self.trees = Trees()
         trees, floor = self.trees, floor_of(dropout)
         times = np.bincount(at, minlength=len(words))
         number = np.fromiter(map(trees.roots.get, words, itertools.repeat(-1)), np.int64, len(words))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        worthy = (number < 0) & (lengths <= SHORT)
+        # frequent words come early, so trees that are full are kept as they are
+        worthy = (number < 0) & (lengths <= SHORT) & (not trees.full())
         if floor:
             # with dropout, a word that comes once is not worth a tree
             worthy &= times > 1
-            if trees.seed != seed:
+            if trees.seed != seed or trees.keys.n != len(trees.words):
                 trees.seed, trees.keys = seed, Grown(np.uint64)
                 trees.keys.add(np.array([word_key(w, seed) for w in trees.words], np.uint64))
         fresh = [words[i] for i in np.flatnonzero(worthy).tolist()]
@@ -340,7 +339,7 @@ class PieceModel:
         for _ in range(FEW_SKIPS + 1):
             few += left > 0
             left &= left - 1
-        new = np.flatnonzero((found < 0) & ((times >= BRANCH_TIMES) | (often[first] & (few <= FEW_SKIPS))))
+        new = np.flatnonzero((found < 0) & (not trees.full()) & ((times >= BRANCH_TIMES) | (often[first] & (few <= FEW_SKIPS))))
         for part in self.parts(new.tolist(), [12] * len(new)):
             own, mask = node[first[part]], masks[first[part]]
             ways = [trees.drawn(n, m) for n, m in zip(own.tolist(), mask.tolist(), strict=True)]
@@ -616,7 +615,6 @@ def decoded(table: DataFrame, path: str, pieces_col: str = "pieces") -> DataFram
     return source.mapInArrow(frugal(run), f"{fields}, decoded string")
 
 
-def digests(table: DataFrame) -> DataFrame:
-    """What the query reports of encoded documents."""
-    joined = F.translate(F.col("pieces").cast("string"), "[ ]", "")
-    return table.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.size("pieces").cast("long").alias("n_pieces"), F.sha2(joined, 256).alias("pieces_sha256"), "lossless")
+def counted(table: DataFrame) -> DataFrame:
+    """What the query reports of encoded documents: the pieces themselves and their number."""
+    return table.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.size("pieces").cast("long").alias("n_pieces"), "pieces", "lossless")
