@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.shared import frugal, small_side, written
+from tripleweave.llm.shared import bounded_batches, frugal, small_side, written
 
 #: Bytes of text to a range of neighbours, which one task reads as a stream.
 RANGE_BYTES = 16 << 20
@@ -50,7 +50,7 @@ def digest(form: str) -> str:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row ``(doc_id, fingerprint)`` for each document, verified byte by byte inside buckets."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +148,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     each text is moved once. The last document of a range meets the first of the next one in a join of these
     alone, two for a range; the driver sees the numbers of the ranges and no text.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranges = max(1, -(-int(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     key, order = F.coalesce("doc_id", F.lit(NO_ID)), [F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))]
     dealt = source.repartitionByRange(ranges, key, F.substring(F.coalesce("text", F.lit("")), 1, PREFIX)).sortWithinPartitions(*order)

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.llm.pieces import mixed
-from tripleweave.llm.shared import components, frugal, small_side, written
+from tripleweave.llm.shared import bounded_batches, components, frugal, small_side, written
 
 #: Shingles that a task holds at a time.
 CHUNK = 1_000_000
@@ -464,7 +464,7 @@ def links_in_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFra
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row; linked: Jaccard of at least ``percent`` hundredths."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, k):

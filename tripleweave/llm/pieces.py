@@ -37,16 +37,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.shared import frugal
+from tripleweave.llm.shared import bounded_batches, frugal
 
 MARK = 0x2581
 NONE = np.int64(1 << 62)
 #: Characters of texts that are taken at a time, and of words that go through the agenda at a time.
-BATCH_CHARS, AGENDA_CHARS = 1_000_000, 300_000
+BATCH_CHARS, AGENDA_CHARS = 1_000_000, 200_000
 #: Words of more characters have no tree, and of more than the second number a heap of their own.
 SHORT, LONG = 63, 400
 #: Candidates that a node may have, and bounds of a worker's trees: nodes, candidates and ids.
-MASKED, NODES, HELD = 52, 300_000, 3_000_000
+MASKED, NODES, HELD = 52, 150_000, 2_000_000
 #: A branch is kept if a batch takes it so often, or if it has few skips in a word that a batch holds so often.
 BRANCH_TIMES, FEW_SKIPS, WORD_TIMES = 2, 2, 16
 #: A word with the blanks before it.
@@ -207,7 +207,7 @@ class PieceModel:
                     pairs[a << 16 | b] = i
         keys = np.array(sorted(pairs), np.int64)
         joined = np.array([pairs[int(k)] for k in keys], np.int32)
-        self.bits = max(10, int(len(keys)).bit_length() + 3)
+        self.bits = max(10, int(len(keys)).bit_length() + 2)
         slots = np.full(1 << self.bits, -1, np.int64)
         value = np.zeros(1 << self.bits, np.int32)
         for k, v in zip(keys.tolist(), joined.tolist(), strict=True):
@@ -317,7 +317,7 @@ class PieceModel:
 
     def skipped(self, node: np.ndarray, keys: np.ndarray, floor: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         """The candidates of each occurrence's node that it skips, as bits; and nodes with too many candidates."""
-        trees, step = self.trees, BATCH_CHARS // 8
+        trees, step = self.trees, 1 << 15
         masks, wide = np.zeros(len(node), np.int64), trees.many.held[node] > MASKED
         for a in range(0, len(node), step):
             first, many = trees.first.held[node[a : a + step]], np.where(wide[a : a + step], 0, trees.many.held[node[a : a + step]])
@@ -579,7 +579,7 @@ def owner_key(doc_id, text: str) -> int:
 def encoded(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``pieces`` (array of ids) and ``lossless`` (decoding gave the text back)."""
     kept = [c for c in docs.columns if c not in ("pieces", "lossless")]
-    source = docs.select(*kept)
+    source = bounded_batches(docs).select(*kept)
     id_at, text_at = kept.index(id_col), kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -602,7 +602,7 @@ def encoded(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, id_
 def decoded(table: DataFrame, path: str, pieces_col: str = "pieces") -> DataFrame:
     """``table`` with ``decoded``, the text of its pieces."""
     kept = [c for c in table.columns if c != "decoded"]
-    source = table.select(*kept)
+    source = bounded_batches(table).select(*kept)
     at = kept.index(pieces_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,8 @@ from tripleweave.sources.folders import scratch
 BROADCAST_BYTES = 32 << 20
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 #: Where the tables of this session lie.
 _PATHS: dict[int, str] = {}
 
@@ -41,6 +43,13 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands Python workers batches of ``BATCH_BYTES`` at most, however long the texts."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for ``mapInArrow``, with the memory that it held given back at the end of a partition.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.shared import frugal, written
+from tripleweave.llm.shared import bounded_batches, frugal, written
 from tripleweave.sources.folders import scratch
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
@@ -154,7 +154,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     ``tokenizer`` is the path of a tokenizer file that every executor has; ``cache`` that of a
     Parquet table of earlier counts, which is extended. Without one, a new cache is made.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     version = version_digest(tokenizer)
     fresh = cache is None
     cache = cache or scratch(spark, "token-cache")

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.shared import frugal, written
+from tripleweave.llm.shared import bounded_batches, frugal, written
 
 TRAIN_ROWS, FEATURES, FOLDS = 4000, 600, 5
 #: Lengths of character n-grams; a feature must occur in so many training rows.
 GRAMS, LEAST_ROWS = (4, 5), 5
 WORDS = re.compile(r"[^\W\d_]+|[^\w\s]+")
 #: Words whose features a worker remembers, and texts that it scores at a time.
-REMEMBERED, BATCH_ROWS = 200_000, 256
+REMEMBERED, BATCH_ROWS = 120_000, 256
 
 
 def grams(word: str) -> set[str]:
@@ -132,7 +132,7 @@ def _cut(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit the chain. ``categories``: name to condition on ``labels``, in the order of the chain."""
-    spark, names = docs.sparkSession, list(categories)
+    spark, names = bounded_batches(docs).sparkSession, list(categories)
     marked = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(*(F.max(c.cast("int")).alias(n) for n, c in categories.items()))
     for n in names:
         marked = marked.where(F.col(n).isNotNull())
@@ -216,7 +216,7 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """``docs`` with ``p_<category>`` for every category and ``flagged``: the last one reaches its threshold."""
     added = [f"p_{link.name}" for link in chain.links]
     kept = [c for c in docs.columns if c not in [*added, "flagged"]]
-    source = docs.select(*kept)
+    source = bounded_batches(docs).select(*kept)
     at, held = kept.index(text_col), source.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
