@@ -127,17 +127,12 @@ class Names:
 
     def column(self, name: Column) -> Column:
         """The same of a column."""
-        head = F.regexp_extract(name, "^[^:]*:", 0)
-        found = [F.when(name.rlike(ABSOLUTE), name)]
-        if self.namespaces:
-            found.append(F.concat(_looked_up(self.namespaces, head), F.substring(name, F.length(head) + 1, F.length(name))))
-        if self.terms:
-            found.append(_looked_up(self.terms, name))
-        return F.coalesce(*found, F.concat(F.lit(self.vocab), name))
-
-
-def _looked_up(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+        found = F.when(name.rlike(ABSOLUTE), name)
+        for head, ns in self.namespaces.items():
+            found = found.when(name.startswith(head), F.concat(F.lit(ns), F.substring(name, F.lit(len(head) + 1), F.length(name))))
+        for term, iri in self.terms.items():
+            found = found.when(name == term, iri)
+        return found.otherwise(F.concat(F.lit(self.vocab), name))
 
 
 def expand_iri(term: str, context: Context) -> str:
