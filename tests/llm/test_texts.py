@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 from collections import defaultdict
 
@@ -391,3 +392,34 @@ def test_tree_finds_what_pairs_find():
     for a, b in ngramjoin.linked(up, sets, 85):
         other.join(a, b)
     assert [forest.find(i) for i in up] == [other.find(i) for i in up]
+
+
+def test_many_copies_of_one_text_with_too_many_edits_to_link():
+    """Half of 2000 copies link with nothing, and none of them is cheap to tell apart by what all hold."""
+    rng = np.random.default_rng(4)
+    held = np.zeros((2000, 4400), bool)
+    held[:, :400] = True
+    for i, row in enumerate(held):
+        edits = rng.integers(2, 12) if i % 2 else rng.integers(50, 110)
+        row[rng.integers(0, 400, edits)] = False
+        row[400 + rng.integers(0, 4000, edits)] = True
+    sets = [np.flatnonzero(row).astype(np.uint64) for row in held]
+    start = time.process_time()
+    links = ngramjoin.linked(list(range(len(sets))), sets, 85)
+    assert time.process_time() - start < 12  # with overlaps counted over whole sets: over 30
+    alike = (held.astype(np.float32) @ held.T.astype(np.float32)).astype(int)
+    sizes = held.sum(1)
+    want, got = ngramjoin.Forest(len(sets)), ngramjoin.Forest(len(sets))
+    for a, b in np.argwhere(100 * alike >= 85 * (sizes[:, None] + sizes - alike)).tolist():
+        want.join(a, b)
+    for a, b in links:
+        got.join(a, b)
+    roots = [want.find(i) for i in range(len(sets))]
+    assert [got.find(i) for i in range(len(sets))] == roots and len(set(roots)) > 900
+
+
+def test_ids_of_a_chunk_travel_once(docs, spark):
+    """As many partitions as a large table has: the same counts, and the ids are not sent to each of them."""
+    few, many = ({r["doc_id"]: r["repeated"] for r in ngramjoin.repeated(docs, 4, parts).collect()} for parts in (1, 64))
+    assert few == many and len(few) > 100
+    assert list(ngramjoin._batches(iter([(0, 1, 2, b"ids", b"x"), (1, 1, 2, None, b"y")]), ngramjoin.BLOCKS))[0]["names"].to_pylist() == [b"ids", None]
