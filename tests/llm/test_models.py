@@ -291,6 +291,19 @@ def test_documents_without_paths_inherit_nothing(spark, tmp_path):
     assert sorted((r["doc_id"], r["licence"], r["source"], r["directory"]) for r in got.collect()) == [(1, "MIT", "own", None), (2, None, "none", None), (2, None, "none", None), (3, None, "none", None)]
 
 
+def test_the_query_passes_whole_licence_texts_on(spark, tmp_path):
+    mit = "\n".join(textwrap.wrap(max(licences.TEMPLATES["MIT"], key=len), 70))
+    mpl = max(licences.TEMPLATES["MPL-2.0"], key=len)
+    rows = [(1, mit, "en", "s"), (2, "plain prose", "en", "s"), (3, "prose", "de", "s"), (4, "This work is licensed under the GNU General Public License, version 3.", "en", "s"), (5, None, "en", "s")]
+    rows += [(6, mpl, "fr", None), (7, "prose", "fr", None), (8, "prose", None, None), (9, "prose", None, "s"), (10, mit + "\nprose of no licence" * 200, "en", "t"), (11, "prose", "en", "t"), (None, "prose", "en", "s")]
+    rows += [(12, "Released under the MIT License.\n" * 40, "en", "u"), (13, "prose", "en", "u")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["licence"], r["source"], r["directory"]) for r in queries()["op6_licences"](spark, f"file://{tmp_path}").collect()}
+    assert got[1] == ("MIT", "own", None) and got[4] == ("GPL-3.0", "own", None) and got[6] == ("MPL-2.0", "own", None)
+    assert got[2] == got[5] == got[None] == ("MIT", "inherited", "s/en") and got[7] == ("MPL-2.0", "inherited", "/fr")
+    assert {got[i] for i in (3, 8, 9, 11, 13)} == {(None, "none", None)} and got[12][:2] == ("MIT", "own") and len(got) == len(rows)
+
+
 # personal data
 def test_personal_data(spark, docs, corpus, empty):
     texts = [t or "" for _, t in corpus] + ["a@b.c..d@e.f a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.4", "4111-1111-1111-1111 4111 1111 1111 1112 " + "1 2 " * 3000, "++1 23 456 78 90 ( +12345 tel 555-123-4567", "é" * 5 + "日本 a@b.cc 😀 q@r.ss", "@" * 2000 + "a" * 3000 + "@" + "b." * 2000 + "c", "1" * 4000]

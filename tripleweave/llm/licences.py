@@ -4,8 +4,9 @@ The lines of a text, its paragraphs and the whole text are compared with templat
 vectors; document frequencies of the templates' words are counted over all texts. Templates are notices of one
 sentence and whole licence texts. A document takes the best template that any of its parts reaches ``threshold``
 with. A document that is mostly licence text, by its lines, its paragraphs or as a whole, is the licence file of its
-directory; documents without a licence of their own take that of the nearest ancestor directory that has one. Tables
-without paths pass nothing on.
+directory; documents without a licence of their own take that of the nearest ancestor directory that has one. Where
+paths are not those of files, ``file_words`` asks for more: only parts of so many words that reach a template of
+so many count as licence text, so that a short notice licenses its own document and no other. Tables without paths pass nothing on.
 
 No part is left out by a pattern. A cosine is at most the root of the squared weights of the template's words that
 the part has. So the commonest words of a template, as many as stay below ``threshold`` together, are not enough, and
@@ -62,6 +63,8 @@ TEMPLATES = {
 }
 SPLIT, PARAGRAPHS = r"[^\p{L}\p{N}.-]+", r"\n[ \t\r]*\n"
 THRESHOLD, FILE_SHARE = 0.6, 0.5
+#: Words that whole licence texts and standard notices have at least, and notices of one sentence never.
+TEXT_WORDS = 30
 
 
 def words(text: Column) -> Column:
@@ -88,11 +91,12 @@ def needed_words(weights: dict[str, float], held_by: dict[str, int], threshold:
     return out
 
 
-def scanned(docs: DataFrame, path: Column | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, known: dict[str, list[str]] | None = None) -> DataFrame:
+def scanned(docs: DataFrame, path: Column | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, known: dict[str, list[str]] | None = None, file_words: int = 0) -> DataFrame:
     """``(doc_id, licence, cosine, source, directory)``; ``source``: own, inherited or none.
 
     ``path`` is None where documents have no paths: none inherits. ``known``: licences and their templates, if not
-    ``TEMPLATES``.
+    ``TEMPLATES``. ``file_words``: words, at least, of the parts and
+    templates that make a licence file.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -112,9 +116,9 @@ def scanned(docs: DataFrame, path: Column | None, id_col: str = "doc_id", text_c
     for name, i, ws in forms:
         weights = {w: ws.count(w) * idf[w] for w in ws}
         size = math.sqrt(sum(v * v for v in weights.values()))
-        rows += [(name, i, w, v / size) for w, v in sorted(weights.items())]
+        rows += [(name, i, len(ws) >= file_words, w, v / size) for w, v in sorted(weights.items())]
         needed |= needed_words({w: v / size for w, v in weights.items()}, counted, threshold)
-    templates = spark.createDataFrame(rows, "licence string, form int, w string, share double")
+    templates = spark.createDataFrame(rows, "licence string, form int, full boolean, w string, share double")
     idfs = spark.createDataFrame([(w, v) for w, v in idf.items()], "w string, idf double")
 
     # texts with one of the words that a match needs, taken apart
@@ -136,15 +140,15 @@ def scanned(docs: DataFrame, path: Column | None, id_col: str = "doc_id", text_c
     # the templates and their words are fixed tables of a few hundred rows
     tf = written(tf.join(F.broadcast(idfs), "w", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(rare))), "licence-weights")
     sizes = tf.groupBy(*key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"), F.sum("tf").alias("n_words"))
-    dots = tf.join(F.broadcast(templates), "w").groupBy(*key, "licence", "form").agg(F.sum(F.col("v") * F.col("share")).alias("dot"))
+    dots = tf.join(F.broadcast(templates), "w").groupBy(*key, "licence", "form", "full").agg(F.sum(F.col("v") * F.col("share")).alias("dot"))
     same = F.lit(True)
     for k in key:
         same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}"))
     scored = dots.alias("d").join(sizes.alias("s"), same)
-    scored = scored.select(*(f"d.{k}" for k in key), "licence", "n_words", F.round(F.col("dot") / F.col("size"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
+    scored = scored.select(*(f"d.{k}" for k in key), "licence", "full", "n_words", F.round(F.col("dot") / F.col("size"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
     best = F.min(F.struct((-F.col("cosine")).alias("c"), "licence"))
-    by_part = scored.groupBy(*key, "n_words").agg(best.alias("b"))
-    by_kind = by_part.groupBy("doc_id", "path", "rk", "kind").agg(F.min("b").alias("b"), F.sum("n_words").alias("licence_words"))
+    by_part = scored.groupBy(*key, "n_words").agg(best.alias("b"), F.max("full").alias("full"))
+    by_kind = by_part.groupBy("doc_id", "path", "rk", "kind").agg(F.min("b").alias("b"), F.sum(F.when(F.col("full") & (F.col("n_words") >= file_words), F.col("n_words"))).alias("licence_words"))
     own = by_kind.groupBy("doc_id", "path", "rk").agg(F.min("b").alias("b"), F.max("licence_words").alias("licence_words"))
     own = written(own.select(F.col("doc_id").alias("own_id"), F.col("path").alias("own_path"), F.col("rk").alias("own_rk"), F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), "licence_words"), "licensed")
 
